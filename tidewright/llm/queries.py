@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import exact_dedup, mixing
+import public_tokenizers
+
+from tidewright.llm import bpe, exact_dedup, mixing, simhash, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -13,12 +15,24 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_golay(spark, sf_dir):
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op5_simhash_golay, op6_byte_bpe, op8_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
