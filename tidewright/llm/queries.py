@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewright.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from tidewright.llm import bpe, chat, exact_dedup, html_text, mixing, quality_nbsvm, quality_rules, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,18 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op3_chat_collapse(spark, sf_dir):
+    return chat.collapse(_table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_nbsvm(spark, sf_dir):
+    return quality_nbsvm.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_golay(spark, sf_dir):
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -23,17 +35,28 @@ def op6_byte_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_source_mix, op2_substring_dedup, op3_chat_collapse, op4_quality_nbsvm, op5_simhash_golay, op6_byte_bpe, op7_quality_rules, op8_toxicity, op9_html_text, op10_exact_dedup)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op5_simhash_golay, op6_byte_bpe, op8_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_source_mix": mixing.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op3_chat_collapse": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
