@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from tidewright.plans import reconcile
+from functools import wraps
 
-MODULES = [reconcile]
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewright.plans import graph, mixtures, pipes, reconcile, series, solvers
+
+MODULES = [reconcile, series, graph, mixtures, pipes, solvers]
+
+
+def _without_zones(query):
+    """query with its timestamps as wall clock in the session's zone, as the tables have them."""
+
+    @wraps(query)
+    def run(spark, sf_dir) -> DataFrame:
+        df = query(spark, sf_dir)
+        zoned = [c for c, kind in df.dtypes if kind == "timestamp"]
+        return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
+
+    return run
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: _without_zones(f) for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
