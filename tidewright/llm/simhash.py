@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.components import components
+from tidewright.operators.components import components
 from tidewright.storage import written
 
 SHINGLE = 3
@@ -211,7 +211,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-    rooted = components(links(nodes))
+    rooted = components(written(links(nodes), "links"))
     linked = rooted.join(nodes, rooted.node == nodes.fp).select("node", "root", "least_id")
     roots = linked.groupBy("root").agg(F.min("least_id").alias("component")).withColumnRenamed("root", "of")
     by_node = rooted.join(roots, rooted.root == roots["of"]).select("node", "component")
