@@ -21,40 +21,40 @@ def _digest(salt: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(salt), *[x for c in columns for x in (c.isNull(), c)])
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, n, h1, h2): the hash of the first place turns, for each turn of each conversation of n turns.
+def listed(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, rendered, hashes): each conversation as one row, with a hash of each turn and its place.
+
+    The one shuffle of texts. A conversation's turns are one row as its
+    rendering is one string.
+    """
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    clean = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit(ESCAPED))
+    one = lambda t: F.concat(F.lit(OPEN), F.coalesce(F.nullif(F.lower(F.trim(clean(t["role"]))), F.lit("")), F.lit("unknown")), F.lit(SHUT), clean(t["text"]), F.lit(END))
+    pair = lambda t, i: F.struct(*[_digest(salt, i, t["role"], t["text"]).alias(f"h{salt}") for salt in (1, 2)])
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n"), F.concat_ws("", F.transform("turns", one)).alias("rendered"), F.transform("turns", pair).alias("hashes"))
+
+
+def prefixes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, place, n, h1, h2): the hash of the first place turns, for each turn of each conversation.
 
     The hash of a prefix is the exclusive or of its turns' hashes, each of which
-    holds the turn's place; as running aggregate it needs one sort by
-    conversation and no collected rows.
+    holds the turn's place: a running aggregate over narrow rows.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    same = F.col("turn").eqNullSafe(F.lag("turn").over(order)) & F.col("role").eqNullSafe(F.lag("role").over(order)) & F.col("text").eqNullSafe(F.lag("text").over(order))
-    single = turns.select("conv_id", "turn", "role", "text").withColumn("again", same & (F.row_number().over(order) > 1)).filter("not again")
-    placed = single.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashes = [F.bit_xor(_digest(salt, F.col("place"), F.col("role"), F.col("text"))).over(so_far).alias(f"h{salt}") for salt in (1, 2)]
-    return placed.select("conv_id", "place", "n", *hashes)
+    turns = conversations.select("conv_id", "n", F.posexplode("hashes").alias("at", "h"))
+    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.select("conv_id", "n", (F.col("at") + 1).cast("long").alias("place"), *[F.bit_xor(f"h.h{salt}").over(so_far).alias(f"h{salt}") for salt in (1, 2)])
 
 
-def maximal(turns: DataFrame) -> DataFrame:
+def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies) of the conversations that are no prefix of a longer one.
 
     Of conversations with equal turns the smallest conv_id stands for all, and
     copies says how many they are.
     """
-    hashed = written(prefixes(turns), "turn-prefixes")
+    hashed = prefixes(conversations)
     whole = hashed.filter("place = n").select("conv_id", "n", "h1", "h2")
     proper = hashed.filter("place < n").select(F.col("place").alias("n"), "h1", "h2").distinct()
-    return whole.join(proper, ["n", "h1", "h2"], "left_anti").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")).select("conv_id", F.col("n").cast("long").alias("n_turns"), "copies")
-
-
-def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, rendered) with the turns of each conversation in order between their marks."""
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    clean = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit(ESCAPED))
-    one = lambda t: F.concat(F.lit(OPEN), F.coalesce(F.nullif(F.lower(F.trim(clean(t["role"]))), F.lit("")), F.lit("unknown")), F.lit(SHUT), clean(t["text"]), F.lit(END))
-    return listed.select("conv_id", F.concat_ws("", F.transform("turns", one)).alias("rendered"))
+    return whole.join(proper, ["n", "h1", "h2"], "left_anti").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")).select("conv_id", F.col("n").alias("n_turns"), "copies")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -66,11 +66,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     null conv_id form one conversation. Other columns are ignored; no rows give
     no rows.
     """
-    kept = maximal(turns)
-    own = turns.select("conv_id", "turn", "role", "text")
-    of = kept.select(F.col("conv_id").alias("of"))
-    texts = render(own.join(of, own["conv_id"].eqNullSafe(of["of"]), "left_semi")).withColumnRenamed("conv_id", "of")
-    return kept.join(texts, kept["conv_id"].eqNullSafe(texts["of"])).select("conv_id", "n_turns", "copies", "rendered")
+    conversations = written(listed(turns), "conversations")
+    kept = maximal(conversations).withColumnRenamed("conv_id", "of")
+    return conversations.join(kept, conversations["conv_id"].eqNullSafe(kept["of"])).select("conv_id", "n_turns", "copies", "rendered")
 
 
 ORACLE = r"""
