@@ -95,6 +95,9 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
 
     Only one block of each anchor goes by the anchor in the next shuffle, the
     rest spread evenly, so that a passage of half the corpus makes no hot key.
+    The rows are the largest that are shuffled, so they are packed: place is a,
+    n and the status, an anchor is written where the key isn't it only, and
+    copies in a row are one factor, a block of the sum of their windows.
     """
     order = np.lexsort((b["a"], docs, b["id2"], b["id1"]))
     docs, b = docs[order], {k: v[order] for k, v in b.items()}
@@ -110,13 +113,20 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
     fresh = np.flatnonzero(status == SHARED)
     _, lead = np.unique(b["anchor"][fresh], return_index=True)
     key[fresh[lead]] = b["anchor"][fresh[lead]]
-    copy = status == COPY
-    columns = {
-        "key": key, "doc": docs, "a": b["a"].astype(np.int32), "n": b["n"].astype(np.int32), "status": status.astype(np.int32),
-        "anchor": np.where(copy, 0, b["anchor"]).astype(np.uint64), "id1": np.where(copy, spread, b["id1"]), "id2": np.where(copy, 0, b["id2"]).astype(np.uint64),
-    }
-    keep = ~again
-    return pa.RecordBatch.from_arrays([pa.array((v.view(np.int64) if v.dtype == np.uint64 else v)[keep]) for v in columns.values()], names=list(columns))
+    apart = (status == SHARED) & (key != b["anchor"])
+    columns = [key, docs, b["a"] << 34 | b["n"] << 2 | status, np.where(apart, b["anchor"], 0).astype(np.uint64), b["id1"], b["id2"]]
+    kept = status != COPY
+    copied = np.flatnonzero(~kept & ~again)
+    copied = copied[np.lexsort((b["a"][copied], docs[copied]))]
+    doc, first, n = docs[copied], b["a"][copied], b["n"][copied]
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    factor = np.add.reduceat(n, cut) if len(cut) else n
+    doc, first = doc[cut], first[cut]
+    even = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
+    none = np.zeros(len(doc), np.uint64)
+    factors = [even, doc, first << 34 | factor << 2 | COPY, none, even, none]
+    signed = lambda v: v.view(np.int64) if v.dtype == np.uint64 else v
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signed(c)[kept], signed(f)])) for c, f in zip(columns, factors, strict=True)], names=["key", "doc", "place", "anchor", "id1", "id2"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +196,13 @@ def duplicate_blocks(docs: DataFrame) -> DataFrame:
     the windows of their first blocks are compared in a third.
     """
     source = keyed(docs)
-    cut = source.select("key", "text").mapInArrow(_cut, "key long, doc long, a int, n int, status int, anchor long, id1 long, id2 long")
-    met = cut.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(f"status <> {SINGLE} or times > 1")
-    place = F.rank().over(Window.partitionBy("id1", "id2").orderBy("doc", "a"))
-    told = written(met.withColumn("copy", (F.col("status") == COPY) | (place > 1)).select("doc", "a", "n", "anchor", "copy"), "blocks")
+    cut = source.select("key", "text").mapInArrow(_cut, "key long, doc long, place long, anchor long, id1 long, id2 long")
+    status = F.col("place").bitwiseAND(3)
+    met = cut.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter((status != SINGLE) | (F.col("times") > 1)).drop("times")
+    nth = F.rank().over(Window.partitionBy("id1", "id2").orderBy("doc", F.shiftright("place", 34)))
+    anchor = F.when(F.col("anchor") == 0, F.col("key")).otherwise(F.col("anchor")).alias("anchor")
+    a, n = F.shiftright("place", 34).cast("int").alias("a"), F.shiftright("place", 2).bitwiseAND((1 << 32) - 1).cast("int").alias("n")
+    told = written(met.withColumn("copy", (status == COPY) | (nth > 1)).select("doc", a, n, anchor, "copy"), "blocks")
     firsts = told.filter("not copy")
     torn = firsts.groupBy("anchor").count().filter("count > 1").select("anchor")
     spans = firsts.join(torn, "anchor", "left_semi").groupBy("doc").agg(F.collect_list(packed(F.col("a"), F.col("n"))).alias("spans")).withColumnRenamed("doc", "of")
