@@ -12,12 +12,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Hang the larger neighbours of each node on the smallest of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = written(least, "least")
     return both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them; edges have u < v."""
     least = edges.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), "m")
+    least = written(least, "least")
     up = edges.join(least, F.col("v") == F.col("k"))
     return up.select(F.col("m").alias("u"), F.col("u").alias("v")).union(least.select(F.col("m").alias("u"), F.col("k").alias("v"))).filter("u <> v").distinct()
 
@@ -28,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is a few joins and grouped minima of two-column rows, and is
     written to the shared folder, so lineage stays short and no links reach the
     driver: only a count and a checksum do, to see that nothing changed. Hot
-    nodes are pre-aggregated for the minimum and split by AQE in the join.
+    nodes are pre-aggregated for the minimum; the minima are written, so that
+    both sides of the join are plain shuffles, which AQE can split.
     Self-links and repeated or turned links are allowed; no links give no rows.
     """
     now = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
