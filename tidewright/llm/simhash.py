@@ -220,6 +220,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .filter("n > 1 or node is not null")
         .select(F.col("fp").alias("of"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("least_id")).alias("component"))
     )
+    named = written(named, "components-named")  # a scan of its own, so that AQE can split a hot fingerprint in the join
     return prints.join(named, prints.fp == named["of"], "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
