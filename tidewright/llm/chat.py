@@ -49,12 +49,14 @@ def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies) of the conversations that are no prefix of a longer one.
 
     Of conversations with equal turns the smallest conv_id stands for all, and
-    copies says how many they are.
+    copies says how many they are. Both sides of the anti-join have a hash once
+    at most, so conversations that are logged very often make no hot key.
     """
     hashed = prefixes(conversations)
     whole = hashed.filter("place = n").select("conv_id", "n", "h1", "h2")
     proper = hashed.filter("place < n").select(F.col("place").alias("n"), "h1", "h2").distinct()
-    return whole.join(proper, ["n", "h1", "h2"], "left_anti").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")).select("conv_id", F.col("n").alias("n_turns"), "copies")
+    once = whole.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
+    return once.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "copies")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
