@@ -90,16 +90,51 @@ def boundary(edges: DataFrame, inside: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(vertex, rank, before): least number of edges, in either direction, from starts(vertex), and the smallest neighbour one step nearer."""
     both = edges.select(F.col("from_v").alias("u"), F.col("to_v").alias("v")).unionByName(edges.select(F.col("to_v").alias("u"), F.col("from_v").alias("v"))).filter("u is not null and v is not null and u <> v").distinct()
-    seen = written(starts.select("vertex").distinct().select("vertex", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("before")), "hops")
+    both = written(both, "hops")
+    layers = Layers(written(starts.select("vertex").distinct().select("vertex", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("before")), "hops"))
     rank = 0
     while True:
-        front = seen.filter(F.col("rank") == rank).select(F.col("vertex").alias("u"))
         rank += 1
-        fresh = both.join(front, "u").groupBy(F.col("v").alias("vertex")).agg(F.min("u").cast("long").alias("before")).join(seen.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(rank).alias("rank"), "before")
-        fresh = written(fresh, "hops")
+        near = both.join(layers.last.select(F.col("vertex").alias("u")), "u").groupBy(F.col("v").alias("vertex")).agg(F.min("u").cast("long").alias("before"))
+        for known in layers.latest:  # a neighbour of one layer is in it or in those beside it
+            near = near.join(known.select("vertex"), "vertex", "left_anti")
+        fresh = written(near.select("vertex", F.lit(rank).alias("rank"), "before"), "hops")
         if fresh.isEmpty():
-            return seen
-        seen = written(seen.unionByName(fresh), "hops")
+            return layers.all()
+        layers.add(fresh)
+
+
+class Layers:
+    """Tables that rounds add one by one; every few of them are written as one, so that the union stays short."""
+
+    def __init__(self, first: DataFrame, every: int = 16) -> None:
+        self.done: list[DataFrame] = []
+        self.open = [first]
+        self.every = every
+        self.latest = [first]
+
+    @property
+    def last(self) -> DataFrame:
+        return self.latest[-1]
+
+    def add(self, layer: DataFrame) -> None:
+        self.open.append(layer)
+        self.latest = [self.latest[-1], layer]
+        if len(self.open) >= self.every:
+            self.done.append(written(self._union(self.open), "layers"))
+            self.open = []
+            if len(self.done) >= self.every:
+                self.done = [written(self._union(self.done), "layers")]
+
+    def all(self) -> DataFrame:
+        return self._union(self.done + self.open)
+
+    @staticmethod
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -110,17 +145,19 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     left = edges.filter("from_v is not null and to_v is not null").select("from_v", "to_v").distinct()
     rest = written(vertices(edges), "levels")
-    done, level = None, 0
+    layers, level = None, 0
     while not rest.isEmpty():
         inner = left.join(rest.select(F.col("vertex").alias("from_v")), "from_v", "left_semi")
-        ready = rest.join(inner.select(F.col("to_v").alias("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level))
-        ready = written(ready, "levels")
+        ready = written(rest.join(inner.select(F.col("to_v").alias("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)), "levels")
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else written(done.unionByName(ready), "levels")
+        if layers is None:
+            layers = Layers(ready)
+        else:
+            layers.add(ready)
         rest = written(rest.join(ready.select("vertex"), "vertex", "left_anti"), "levels")
         level += 1
-    return done if done is not None else rest.withColumn("level", F.lit(0))
+    return layers.all() if layers else rest.withColumn("level", F.lit(0))
 
 
 def cut_apart(edges: DataFrame, splittable: Column) -> DataFrame:
