@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links and repeated or turned links are allowed; no links give no rows.
     """
     now = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    now = written(now, "components")
     seen = None
     while True:
         now = written(_small_star(_large_star(now)), "components")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.storage import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,13 +18,17 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edges(edge, from_v, to_v, flow) from supplier to customer nations; the flow is the quantity shipped."""
+    """edges(edge, from_v, to_v, flow) from supplier to customer nations; the flow is the quantity shipped.
+
+    It is written once, as graph operators go over their edges again and again.
+    """
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("from_v"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("to_v"))
     shipped = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return shipped.groupBy("from_v", "to_v").agg(F.sum("q").alias("flow")).select((F.col("from_v") * 25 + F.col("to_v")).alias("edge"), "from_v", "to_v", "flow")
+    edges = shipped.groupBy("from_v", "to_v").agg(F.sum("q").alias("flow")).select((F.col("from_v") * 25 + F.col("to_v")).alias("edge"), "from_v", "to_v", "flow")
+    return written(edges, "net")
 
 
 def strong(edges: DataFrame, share: float) -> DataFrame:
