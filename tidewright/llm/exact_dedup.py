@@ -47,15 +47,22 @@ def group_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without the copies of smaller ids.
+    """One row of docs, with all its columns, for each normalised text.
 
-    Listings of one doc_id with one text beyond the first would stay by
-    group_copies(); rows are anti-joined by doc_id, so they stay here as well.
-    A row with a null doc_id stays only if no row with an id has its text.
+    The row with the smallest doc_id stays; a null doc_id counts as the largest,
+    so a row without an id stays only if no row with an id has its text. Of
+    rows that share text and doc_id, null or not, one stays: that of the least
+    hash over all columns. Other texts of a doc_id or of rows without an id
+    aren't touched. Rows are grouped by hash and text as in group_copies() and
+    carried through, so nothing is looked up by doc_id; partial aggregation
+    leaves one row for each text and task before the shuffle.
     """
-    gone = group_copies(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    keyed = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    return keyed.select(*[docs[c] for c in docs.columns])
+    text = normalised(F.col("text"))
+    tie = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("\0")) for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), tie)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), order.alias("order"), text.alias("key"))
+    keyed = rows.select("row", "order", "key", F.unhex(F.md5("key")).alias("h"))
+    return keyed.groupBy("h", "key").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 ORACLE = r"""
