@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewright.operators.components import components
 from tidewright.storage import written
@@ -198,29 +199,38 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
 
 
+def least_of_components(prints: DataFrame, order: Column) -> DataFrame:
+    """(of, least): the least order among the rows of the component of fingerprint of; fingerprints of one row without links are left out.
+
+    Nodes get about 70 keys each; the buckets of a key hold distinct
+    fingerprints only. The result is written, a scan of its own, so that AQE can
+    split a hot fingerprint in the join with it.
+    """
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("n"))
+    rooted = components(written(links(nodes), "links"))
+    linked = rooted.join(nodes, rooted.node == nodes.fp).select("node", "root", "own")
+    roots = linked.groupBy("root").agg(F.min("own").alias("shared")).withColumnRenamed("root", "of")
+    by_node = rooted.join(roots, rooted.root == roots["of"]).select("node", "shared")
+    named = (
+        nodes.join(by_node, nodes.fp == by_node.node, "left")
+        .filter("n > 1 or node is not null")
+        .select(F.col("fp").alias("of"), F.when(F.col("node").isNotNull(), F.col("shared")).otherwise(F.col("own")).alias("least"))
+    )
+    return written(named, "components-named")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of docs.
 
     Equal fingerprints become one node first, so copies cost nothing more.
-    Nodes get about 70 keys each; the buckets of a key hold distinct
-    fingerprints only. component_id is the smallest doc_id that can be reached
+    component_id is the smallest doc_id that can be reached
     through links of at most 3 bits. Null and wordless texts have fingerprint 0
     and are linked like any other. A null doc_id is larger than any other; if a
     component has no other, its id is null. Repeated rows get equal results.
     Other columns are ignored, and no rows give no rows.
     """
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-    rooted = components(written(links(nodes), "links"))
-    linked = rooted.join(nodes, rooted.node == nodes.fp).select("node", "root", "least_id")
-    roots = linked.groupBy("root").agg(F.min("least_id").alias("component")).withColumnRenamed("root", "of")
-    by_node = rooted.join(roots, rooted.root == roots["of"]).select("node", "component")
-    named = (
-        nodes.join(by_node, nodes.fp == by_node.node, "left")
-        .filter("n > 1 or node is not null")
-        .select(F.col("fp").alias("of"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("least_id")).alias("component"))
-    )
-    named = written(named, "components-named")  # a scan of its own, so that AQE can split a hot fingerprint in the join
+    named = least_of_components(prints, F.col("doc_id")).withColumnRenamed("least", "component")
     return prints.join(named, prints.fp == named["of"], "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -229,6 +239,29 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with the columns of docs."""
-    gone = near_copies(docs).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    """One row of docs, with all its columns, for each component of near_copies(): that of its smallest doc_id.
+
+    A null doc_id is larger than any other. Of rows that share the smallest
+    doc_id, null or not, that of the least hash over all columns stays. Each
+    row is judged by its own fingerprint: rows are numbered and written with it,
+    and those that go are looked up by number, so other rows with an equal or
+    null doc_id aren't touched.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(n)] for n in ("doc_id", "text"))
+    tie = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names])
+    numbered = plain.select("*", tie.alias("tie"), F.monotonically_increasing_id().alias("number"))
+
+    def with_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(text)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    schema = StructType([*numbered.schema, StructField("fp", LongType())])
+    rows = written(numbered.mapInArrow(with_prints, schema), "fingerprinted")
+    prints = rows.select("fp", "number", F.struct(F.col(doc_id).isNull().alias("without"), doc_id, "tie", "number").alias("order"))
+    least = least_of_components(prints, F.col("order"))
+    gone = prints.join(least, prints.fp == least["of"]).filter(F.col("number") != F.col("least.number")).select(F.col("number").alias("gone"))
+    stay = rows.join(gone, rows.number == gone["gone"], "left_anti")
+    return stay.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
