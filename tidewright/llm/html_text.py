@@ -24,10 +24,16 @@ CLOSED_BY_BLOCKS = frozenset("p li dt dd tr td th option".split())
 IN_ARTICLE, PLAIN, AROUND = 0, 1, 2
 ARTICLE_TAGS = frozenset(["article", "main"])
 AROUND_TAGS = frozenset("nav header footer aside form menu dialog".split())
-_AROUND_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|nav\w*|menu\w*|breadcrumb\w*|pag(?:er|ination)\w*|side-?bar\w*|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comment\w*|reply|replies|respond|disqus|footer\w*|foot|copyright|legal|masthead|site-?header|page-?header|topbar|toolbar|search\w*|tags?|tag-?cloud|skip\w*)(?:$|[\s_-])",
-    re.I,
+#: Kept on the stack for surroundings that hold articles of their own, as comments and teasers; FIRM counts as AROUND. In other surroundings an <article> is the page's.
+FIRM = 3
+FIRM_TAGS = AROUND_TAGS - {"form", "dialog"}
+#: A class or id names surroundings if each part of it is one of these words, or a neutral one beside them.
+_FIRM_NAME = frozenset("related recommend recommended recommendation recommendations comment comments commentlist reply replies respond disqus nav navbar navigation footer sidebar".split())
+_AROUND_NAME = _FIRM_NAME | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup login menu menus breadcrumb breadcrumbs pager pagination widget widgets share shares sharing social foot copyright legal masthead siteheader pageheader topbar toolbar search searchbar tag tags tagcloud skip skiplink".split()
 )
+_NEUTRAL_NAME = frozenset("main site page primary secondary top bottom left right global list box bar side cloud links link area section block wrapper container wrap inner items item posts articles buttons icons form header media post article entry".split())
+_PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _AROUND_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -49,16 +55,34 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _named(value: str) -> int:
+    """FIRM or AROUND if one of the names in a class or id is that of surroundings, PLAIN otherwise."""
+    found = PLAIN
+    for name in value.split():
+        parts = {x.lower() for x in _PART.findall(name) if not x.isdigit()}
+        if parts & _AROUND_NAME or parts == {"side", "bar"} or parts in ({"site", "header"}, {"page", "header"}):
+            if parts <= _AROUND_NAME | _NEUTRAL_NAME:
+                found = max(found, FIRM if parts & _FIRM_NAME else AROUND)
+    return found
+
+
 def _place_of(tag: str, attributes: str, now: int) -> int:
+    """The place inside an element, from where it stands.
+
+    Names and roles never mark <article>, <main> or <body>. <main> is the
+    article wherever it stands, and <article> is unless it stands in FIRM
+    surroundings, so a marked wrapper doesn't take the article with it.
+    """
+    if tag in ARTICLE_TAGS:
+        return IN_ARTICLE if tag == "main" or now != FIRM else now
     if tag in AROUND_TAGS and not (tag == "header" and now == IN_ARTICLE):
-        return AROUND
-    if attributes:
+        return max(FIRM if tag in FIRM_TAGS else AROUND, now)
+    if attributes and tag not in ("body", "html"):
+        place = max((_named(m[1].strip("\"'")) for m in _NAMES.finditer(attributes)), default=PLAIN)
         if (role := _ROLE.search(attributes)) and role[1].lower() in _AROUND_ROLE:
-            return AROUND
-        if tag not in ("body", "html") and any(_AROUND_NAME.search(m[1].strip("\"'")) for m in _NAMES.finditer(attributes)):
-            return AROUND
-    if tag in ARTICLE_TAGS and now != AROUND:
-        return IN_ARTICLE
+            place = max(place, AROUND)
+        if place != PLAIN:
+            return max(place, now)
     return now
 
 
@@ -87,7 +111,7 @@ def flat_blocks(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 inside = " ".join(html.unescape("".join(linked)).split())
-                out.append(Block(text, len(text.split()), len(inside.split()), place(), heading))
+                out.append(Block(text, len(text.split()), len(inside.split()), min(place(), AROUND), heading))
             parts.clear()
             linked.clear()
 
