@@ -33,12 +33,18 @@ _AROUND_NAME = _FIRM_NAME | frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup login menu menus breadcrumb breadcrumbs pager pagination widget widgets share shares sharing social foot copyright legal masthead siteheader pageheader topbar toolbar search searchbar tag tags tagcloud skip skiplink".split()
 )
 _NEUTRAL_NAME = frozenset("main site page primary secondary top bottom left right global list box bar side cloud links link area section block wrapper container wrap inner items item posts articles buttons icons form header media post article entry".split())
+#: A class or id made of these alone says that the element holds an article: weaker names beside it mark nothing.
+_ARTICLE_NAME = frozenset("article content story post entry articlebody maincontent".split())
+_ARTICLE_BESIDE = frozenset("main page site body text inner single wrapper container".split())
 _PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _AROUND_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ROLE = re.compile(r"(?<![\w-])role\s*=\s*[\"']?([\w-]+)", re.I)
+#: What a block begins with if it says whose the page is; outside articles only.
+_COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 @dataclass
@@ -58,12 +64,14 @@ class Block:
 def _named(value: str) -> int:
     """FIRM or AROUND if one of the names in a class or id is that of surroundings, PLAIN otherwise."""
     found = PLAIN
+    holds_article = False
     for name in value.split():
         parts = {x.lower() for x in _PART.findall(name) if not x.isdigit()}
+        holds_article |= bool(parts & _ARTICLE_NAME) and parts <= _ARTICLE_NAME | _ARTICLE_BESIDE
         if parts & _AROUND_NAME or parts == {"side", "bar"} or parts in ({"site", "header"}, {"page", "header"}):
             if parts <= _AROUND_NAME | _NEUTRAL_NAME:
                 found = max(found, FIRM if parts & _FIRM_NAME else AROUND)
-    return found
+    return PLAIN if holds_article and found == AROUND else found
 
 
 def _place_of(tag: str, attributes: str, now: int) -> int:
@@ -86,113 +94,202 @@ def _place_of(tag: str, attributes: str, now: int) -> int:
     return now
 
 
+class Cursor:
+    """Finds the ends of tags in one pass over a page, however they are broken."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none_after = {'"': len(page), "'": len(page)}
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at at has its >, or -1 if there is none.
+
+        As in browsers a quotation mark opens a value right after = only; one
+        that nothing closes is a character like any other, so no text is lost.
+        """
+        page = self.page
+        while m := _STOP.search(page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            before = m.start() - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=" and at < self.none_after[m[0]]:
+                close = page.find(m[0], at)
+                if close < 0:
+                    self.none_after[m[0]] = at
+                else:
+                    at = close + 1
+        return -1
+
+
+class Open:
+    """The open elements: each with the place inside it, found by name or as the innermost block in constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = self.silent = 0
+
+    def place(self) -> int:
+        return self.stack[-1][1] if self.stack else PLAIN
+
+    def push(self, tag: str, place: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, place))
+        self.links += tag == "a"
+        self.silent += tag in SILENT_TAGS
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            self.links -= tag == "a"
+            self.silent -= tag in SILENT_TAGS
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost such element with all inside it; one that isn't a block only within the innermost block."""
+        if self.at.get(tag) and (tag in BLOCK_TAGS or not self.blocks or self.at[tag][-1] > self.blocks[-1]):
+            self.pop(self.at[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """A block closes an open paragraph, and an item, row or cell its like, if that is the innermost block."""
+        if self.blocks and tag not in ("body", "html") and self.stack[self.blocks[-1]][0] == (tag if tag in CLOSED_BY_BLOCKS else "p"):
+            self.pop(self.blocks[-1])
+
+
 def flat_blocks(page: str | None) -> list[Block]:
     """The page's text in order, cut where block elements begin or end, with white space inside made one space.
 
     Unclosed and stray tags are taken as browsers do for the cases that matter
     here: a block element closes an open paragraph or item, an end tag closes
-    what is open inside its element, or nothing if there is no such element.
+    what is open inside its element, or nothing if there is no such element. A
+    < that starts no tag, or one that never ends, is text. Time is linear in the
+    page's length, whatever is in it.
     """
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    links = silent = 0
+    cursor, now = Cursor(page), Open()
     heading = False
 
-    def place() -> int:
-        return stack[-1][1] if stack else PLAIN
-
     def end_block() -> None:
-        nonlocal heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 inside = " ".join(html.unescape("".join(linked)).split())
-                out.append(Block(text, len(text.split()), len(inside.split()), min(place(), AROUND), heading))
+                place = min(now.place(), AROUND)
+                if place == PLAIN and _COPYRIGHT.match(text):
+                    place = AROUND
+                out.append(Block(text, len(text.split()), len(inside.split()), place, heading))
             parts.clear()
             linked.clear()
 
     def say(text: str) -> None:
-        if text and not silent:
+        if text and not now.silent:
             parts.append(text)
-            if links:
+            if now.links:
                 linked.append(text)
 
-    def pop(to: int) -> None:
-        nonlocal links, silent
-        while len(stack) > to:
-            tag = stack.pop()[0]
-            links -= tag == "a"
-            silent -= tag in SILENT_TAGS
-
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
+        open_at = page.find("<", at)
+        if open_at < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        say(page[at:open_at])
+        at = open_at + 1
+        if page.startswith("!--", at):
+            close = page.find("-->", at + 1)
+            at = end if close < 0 else close + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
+        ends = page.startswith("/", at)
+        name = _TAG_NAME.match(page, at + ends)
+        if not name:
+            if page[at : at + 1] in ("!", "?", "/") and (close := page.find(">", at)) >= 0:
+                at = close + 1
+            else:
+                say("<")
+            continue
+        close = cursor.tag_end(name.end())
+        if close < 0:
+            say(page[open_at:])
+            break
+        attributes, at = page[name.end() : close], close + 1
+        tag = name[0].lower()
+        if ends:
             if tag in BLOCK_TAGS:
                 end_block()
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break
+            now.close(tag)
             continue
         if tag in BLOCK_TAGS:
             end_block()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if stack and tag not in CLOSED_BY_BLOCKS | {"body", "html"}:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
-            elif tag in CLOSED_BY_BLOCKS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag or (stack[i][0] == "p" and tag == "p"):
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
-        elif tag in ("br", "img", "wbr"):
-            say(" " if tag != "wbr" else "")
-        if tag in VOID_TAGS or m[3].rstrip().endswith("/"):
+            now.make_room(tag)
+        elif tag in ("br", "img"):
+            say(" ")
+        if tag in VOID_TAGS or attributes.rstrip().endswith("/"):
             continue
-        stack.append((tag, _place_of(tag, m[3], place())))
-        links += tag == "a"
-        silent += tag in SILENT_TAGS
+        now.push(tag, _place_of(tag, attributes, now.place()))
         if tag in RAW_TAGS:
-            close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
-            at = close.start() if close else end
+            found = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            at = found.start() if found else end
     end_block()
     return out
 
 
 #: The labelled table that the tree is trained on: words, link density, words and density of the block before and of the one after, place, heading; 1 for article text.
 LABELLED = [
-    (120, 0.00, 80, 0.00, 95, 0.00, 0, 0, 1), (45, 0.02, 120, 0.00, 60, 0.00, 0, 0, 1), (1, 0.00, 60, 0.00, 40, 0.00, 0, 0, 1), (3, 0.00, 2, 0.00, 30, 0.00, 0, 0, 1),
-    (12, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (8, 0.00, 1, 1.00, 70, 0.00, 0, 1, 1), (5, 0.00, 6, 0.00, 50, 0.00, 0, 1, 1), (200, 0.05, 10, 0.00, 12, 0.00, 0, 0, 1),
-    (30, 0.20, 44, 0.00, 51, 0.01, 0, 0, 1), (2, 0.00, 1, 1.00, 1, 1.00, 0, 0, 1), (15, 0.30, 70, 0.00, 65, 0.00, 0, 0, 1), (9, 0.00, 9, 0.00, 9, 0.00, 0, 0, 1),
+    # In the article: whatever has few links, of any length beside anything; links that stand alone between text; headings.
+    (120, 0.00, 80, 0.00, 95, 0.00, 0, 0, 1), (45, 0.02, 120, 0.00, 60, 0.00, 0, 0, 1), (30, 0.20, 44, 0.00, 51, 0.01, 0, 0, 1), (200, 0.05, 10, 0.00, 12, 0.00, 0, 0, 1),
+    (1, 0.00, 60, 0.00, 40, 0.00, 0, 0, 1), (3, 0.00, 2, 0.00, 30, 0.00, 0, 0, 1), (5, 0.00, 90, 0.00, 4, 0.00, 0, 0, 1), (7, 0.00, 3, 0.00, 2, 0.00, 0, 0, 1),
+    (12, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (4, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1), (9, 0.00, 9, 0.00, 3, 1.00, 0, 0, 1), (2, 0.00, 1, 1.00, 1, 1.00, 0, 0, 1),
+    (6, 0.00, 110, 0.00, 0, 0.00, 0, 0, 1), (8, 0.00, 1, 1.00, 70, 0.00, 0, 1, 1), (5, 0.00, 6, 0.00, 2, 0.00, 0, 1, 1), (15, 0.45, 70, 0.00, 65, 0.00, 0, 0, 1),
+    (10, 0.40, 3, 0.00, 4, 0.00, 0, 0, 1), (3, 0.33, 20, 0.00, 2, 0.00, 0, 0, 1), (6, 0.50, 30, 0.00, 25, 0.05, 0, 0, 1), (22, 0.48, 1, 1.00, 40, 0.00, 0, 0, 1),
+    (6, 1.00, 45, 0.00, 60, 0.00, 0, 0, 1), (12, 0.90, 30, 0.00, 25, 0.00, 0, 0, 1), (3, 1.00, 80, 0.00, 14, 0.10, 0, 0, 1), (7, 1.00, 1, 1.00, 50, 0.00, 0, 1, 1),
+    (9, 1.00, 2, 1.00, 1, 1.00, 0, 1, 1), (4, 0.75, 33, 0.00, 9, 0.00, 0, 0, 1), (5, 1.00, 18, 0.05, 27, 0.00, 0, 0, 1), (2, 1.00, 66, 0.00, 41, 0.00, 0, 0, 1),
     (4, 1.00, 40, 0.00, 5, 1.00, 0, 0, 0), (3, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0), (6, 0.90, 80, 0.00, 4, 1.00, 0, 0, 0), (1, 1.00, 1, 1.00, 60, 0.00, 0, 0, 0),
+    (2, 1.00, 2, 1.00, 30, 0.00, 0, 0, 0), (8, 1.00, 7, 1.00, 6, 1.00, 0, 0, 0), (5, 0.80, 4, 0.90, 12, 0.00, 0, 0, 0), (4, 1.00, 25, 0.00, 3, 0.90, 0, 0, 0),
+    (8, 0.00, 20, 0.00, 6, 0.60, 0, 0, 1), (3, 0.00, 1, 1.00, 5, 0.50, 0, 0, 1), (2, 0.00, 4, 0.60, 3, 0.80, 0, 0, 1), (14, 0.10, 2, 0.70, 9, 0.90, 0, 0, 1),
+    (3, 1.00, 4, 0.00, 9, 0.00, 0, 0, 1), (5, 1.00, 2, 0.00, 3, 0.10, 0, 0, 1), (2, 1.00, 14, 1.00, 30, 0.00, 0, 0, 0), (9, 1.00, 30, 0.90, 8, 0.00, 0, 0, 0),
+    (2, 1.00, 2, 0.00, 2, 0.00, 0, 0, 1), (9, 1.00, 9, 0.00, 2, 0.00, 0, 0, 1), (2, 1.00, 40, 0.00, 9, 0.00, 0, 0, 1), (9, 1.00, 2, 0.00, 40, 0.00, 0, 0, 1),
+    (2, 0.60, 9, 0.00, 40, 0.20, 0, 0, 1), (9, 1.00, 0, 0.00, 40, 0.00, 0, 0, 1), (9, 1.00, 40, 0.20, 0, 0.00, 0, 0, 1), (2, 1.00, 1, 0.00, 1, 0.00, 0, 0, 1),
+    (9, 1.00, 2, 1.00, 9, 0.00, 0, 0, 0), (2, 1.00, 9, 0.70, 2, 0.00, 0, 0, 0), (9, 1.00, 40, 1.00, 9, 0.00, 0, 0, 0), (2, 0.60, 2, 0.00, 9, 1.00, 0, 0, 0),
+    (9, 1.00, 9, 0.00, 40, 1.00, 0, 0, 0), (2, 1.00, 40, 0.00, 9, 0.60, 0, 0, 0), (9, 0.70, 40, 0.00, 12, 1.00, 0, 0, 0), (2, 1.00, 9, 0.00, 2, 1.00, 0, 0, 0),
+    (9, 1.00, 2, 0.00, 2, 1.00, 0, 0, 0), (2, 1.00, 9, 1.00, 12, 0.70, 0, 0, 0), (9, 1.00, 12, 1.00, 40, 1.00, 0, 0, 0), (2, 1.00, 40, 1.00, 40, 0.00, 0, 0, 0),
+    (6, 0.60, 4, 0.70, 20, 0.00, 0, 0, 0), (4, 0.60, 30, 1.00, 12, 0.00, 0, 0, 0), (8, 0.55, 9, 0.60, 3, 0.00, 0, 0, 0), (2, 0.60, 1, 0.60, 1, 0.00, 0, 0, 0),
+    # Nowhere known: text of some length; short blocks that text stands beside, whatever its length; links that stand alone between text; not what is short among links, nor lists of links.
     (80, 0.00, 60, 0.00, 75, 0.02, 1, 0, 1), (40, 0.05, 35, 0.00, 50, 0.00, 1, 0, 1), (25, 0.00, 50, 0.00, 40, 0.00, 1, 0, 1), (150, 0.00, 2, 1.00, 3, 1.00, 1, 0, 1),
-    (18, 0.00, 40, 0.00, 60, 0.00, 1, 0, 1), (9, 0.00, 3, 1.00, 90, 0.00, 1, 1, 1), (6, 0.00, 50, 0.00, 45, 0.00, 1, 1, 1), (11, 0.00, 30, 0.00, 33, 0.00, 1, 0, 1),
-    (2, 1.00, 2, 1.00, 1, 1.00, 1, 0, 0), (5, 0.80, 3, 1.00, 40, 0.00, 1, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 1, 0, 0), (7, 0.50, 20, 0.00, 6, 0.60, 1, 0, 0),
-    (6, 0.00, 3, 0.00, 4, 0.00, 1, 0, 0), (9, 0.00, 1, 1.00, 2, 0.50, 1, 0, 0), (20, 0.60, 10, 0.70, 12, 0.60, 1, 0, 0), (3, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0),
+    (18, 0.00, 40, 0.00, 60, 0.00, 1, 0, 1), (11, 0.00, 30, 0.00, 33, 0.00, 1, 0, 1), (22, 0.00, 1, 1.00, 2, 1.00, 1, 0, 1), (16, 0.00, 3, 1.00, 2, 1.00, 1, 0, 1),
+    (9, 0.00, 3, 1.00, 90, 0.00, 1, 1, 1), (6, 0.00, 50, 0.00, 45, 0.00, 1, 1, 1), (3, 0.00, 60, 0.00, 0, 0.00, 1, 0, 1), (4, 0.00, 45, 0.00, 2, 1.00, 1, 0, 1),
+    (5, 0.00, 6, 0.00, 7, 0.00, 1, 0, 1), (8, 0.00, 4, 0.00, 30, 0.00, 1, 0, 1), (2, 0.00, 1, 1.00, 55, 0.00, 1, 0, 1), (7, 0.00, 5, 0.00, 3, 1.00, 1, 0, 1),
+    (30, 0.30, 20, 0.00, 25, 0.10, 1, 0, 1), (24, 0.25, 1, 1.00, 40, 0.00, 1, 0, 1), (1, 0.00, 12, 0.00, 14, 0.00, 1, 0, 1), (6, 0.00, 2, 0.90, 9, 0.00, 1, 0, 1),
+    (2, 1.00, 2, 1.00, 1, 1.00, 1, 0, 0), (5, 0.80, 3, 1.00, 40, 0.00, 1, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0), (7, 0.50, 20, 0.00, 6, 0.60, 1, 0, 0),
+    (4, 0.00, 2, 1.00, 3, 1.00, 1, 0, 0), (9, 0.00, 1, 1.00, 2, 0.60, 1, 0, 0), (3, 0.00, 1, 1.00, 1, 1.00, 1, 0, 0), (6, 0.00, 4, 1.00, 2, 0.90, 1, 0, 0),
+    (20, 0.60, 10, 0.70, 12, 0.60, 1, 0, 0), (4, 1.00, 30, 0.00, 5, 1.00, 1, 0, 0), (3, 1.00, 40, 0.00, 2, 1.00, 1, 0, 0), (2, 1.00, 5, 1.00, 33, 0.00, 1, 0, 0),
+    (4, 0.00, 2, 1.00, 8, 0.60, 1, 0, 0), (8, 0.00, 30, 0.00, 6, 0.60, 1, 0, 1), (5, 0.00, 3, 0.60, 2, 0.70, 1, 0, 0), (6, 0.00, 9, 0.20, 4, 0.60, 1, 0, 1),
+    (9, 1.00, 45, 0.00, 60, 0.00, 1, 0, 1), (12, 0.90, 30, 0.00, 25, 0.05, 1, 0, 1), (8, 1.00, 3, 0.00, 5, 0.00, 1, 0, 1), (7, 1.00, 50, 0.00, 4, 0.00, 1, 0, 1),
+    (10, 1.00, 2, 0.00, 40, 0.00, 1, 0, 1), (11, 0.00, 8, 1.00, 9, 1.00, 1, 0, 0), (8, 0.00, 12, 1.00, 7, 0.80, 1, 0, 0),
+    (9, 1.00, 2, 1.00, 9, 0.00, 1, 0, 0), (2, 1.00, 9, 0.70, 40, 0.00, 1, 0, 0), (9, 1.00, 40, 1.00, 40, 0.00, 1, 0, 0), (2, 0.60, 2, 0.00, 9, 1.00, 1, 0, 0),
+    (9, 1.00, 40, 0.00, 40, 1.00, 1, 0, 0), (2, 1.00, 40, 0.00, 30, 0.60, 1, 0, 0), (9, 0.70, 12, 0.00, 12, 1.00, 1, 0, 0), (2, 1.00, 2, 0.00, 2, 0.00, 1, 0, 1),
+    (2, 0.80, 30, 0.00, 60, 0.00, 1, 0, 1), (6, 1.00, 3, 1.00, 40, 0.00, 1, 1, 1), (6, 1.00, 40, 0.00, 40, 0.00, 1, 1, 1), (6, 1.00, 3, 1.00, 4, 1.00, 1, 1, 0),
+    (6, 0.60, 5, 0.80, 12, 0.00, 1, 0, 0), (3, 0.60, 2, 0.60, 9, 0.00, 1, 0, 0), (20, 0.60, 9, 0.90, 30, 0.10, 1, 0, 0), (2, 0.60, 1, 0.60, 0, 0.00, 1, 0, 0),
+    (2, 0.00, 1, 0.00, 2, 1.00, 1, 0, 1), (3, 0.00, 4, 0.00, 6, 1.00, 1, 0, 1), (1, 0.00, 9, 0.00, 1, 0.60, 1, 0, 1), (2, 0.00, 20, 0.30, 3, 0.80, 1, 0, 1), (5, 0.00, 0, 0.00, 4, 1.00, 1, 0, 1),
+    # In what surrounds articles: nothing.
     (60, 0.00, 80, 0.00, 20, 0.00, 2, 0, 0), (12, 0.00, 30, 0.00, 40, 0.00, 2, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 2, 0, 0), (5, 0.00, 90, 0.00, 0, 0.00, 2, 0, 0),
     (25, 0.10, 40, 0.00, 0, 0.00, 2, 0, 0), (110, 0.00, 45, 0.00, 70, 0.00, 2, 0, 0), (3, 0.00, 0, 0.00, 6, 0.00, 2, 1, 0), (14, 0.90, 12, 1.00, 15, 0.80, 2, 0, 0),
+    (40, 0.00, 3, 0.00, 2, 0.00, 2, 0, 0), (7, 0.00, 6, 0.00, 8, 0.00, 2, 0, 0), (9, 0.00, 1, 1.00, 100, 0.00, 2, 1, 0), (2, 0.00, 100, 0.00, 1, 1.00, 2, 0, 0),
+    (5, 0.00, 20, 0.00, 4, 1.00, 2, 0, 0), (9, 0.00, 2, 0.00, 7, 0.80, 2, 1, 0), (30, 0.00, 40, 0.00, 3, 1.00, 2, 0, 0), (4, 0.00, 1, 1.00, 5, 1.00, 2, 0, 0),
+    (20, 0.00, 3, 1.00, 8, 0.60, 2, 0, 0), (4, 0.00, 9, 0.00, 6, 0.60, 2, 0, 0), (6, 0.60, 8, 0.00, 9, 0.00, 2, 0, 0), (3, 1.00, 40, 0.00, 30, 0.00, 2, 0, 0),
 ]
 
 
@@ -200,7 +297,7 @@ def _features(b: Block, before: Block | None, after: Block | None) -> tuple:
     return (b.words, b.density, before.words if before else 0, before.density if before else 0.0, after.words if after else 0, after.density if after else 0.0, b.place, int(b.heading))
 
 
-def train(rows: list[tuple], depth: int = 6) -> tuple | float:
+def train(rows: list[tuple], depth: int = 10) -> tuple | float:
     """A tree of (feature, threshold, left, right) that parts rows by the least Gini impurity; a leaf is the share of 1."""
     x, y = np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
 
