@@ -17,16 +17,26 @@ from tidewright.storage import written
 
 #: Labelled documents that the lexicon is learned from, at most: those whose hashed ids come first. A fit's bound, not a corpus bound.
 SAMPLE = 12_000
-#: Orders of shingles by which copies in the sample are found.
-MINIMA = 8
-#: Terms in the lexicon, at most; keeps the automaton a constant.
-MOST_TERMS = 300
-#: A word or stem needs this share of its (balanced) documents toxic, and so many toxic ones that an innocent word would have at most this chance, over the number of documents, of them.
-LEAST_SHARE, STEM_SHARE, MOST_CHANCE = 0.97, 0.998, 0.01
-#: A stem stands for at least this many different words and has 4 to 7 letters.
-LEAST_FORMS, STEM_LETTERS = 4, range(4, 8)
+#: Two texts of the sample are copies if this share of their 5-word shingles is the same, as estimated from MINIMA orders; candidates share one of the first FIRST minima.
+COPY_SHARE, MINIMA, FIRST, SHINGLE = 0.5, 64, 8, 5
+#: A term's count in toxic documents may come about by chance, for one that isn't toxic, with this probability over the number of all words.
+MOST_CHANCE = 0.01
+#: The least share of toxic documents, counted as if both classes were equally large, of those with a word; of those with many forms of a stem, and of the forms themselves.
+LEAST_SHARE, STEM_SHARE = 0.97, 0.9
+#: Shorter words aren't terms.
+LEAST_LETTERS = 3
+#: A stem has 3 to 8 letters, stands for at least so many different words, and at least so many toxic documents hold many of them.
+STEM_LETTERS, LEAST_FORMS, LEAST_DOCS = range(3, 9), 3, 2
+#: Two or more forms of a stem count as many if they are at least this share of a document's different words; a long text may hold two by chance.
+DENSE = 0.003
+#: A stem gives way to one that is a letter longer and has this share of its forms.
+NEARLY_ALL = 0.9
+#: A clean document counts as half a toxic one in a term's worth, and so many clean ones are added.
+CLEAN_WEIGHT, PRIOR = 0.5, 0.3
 #: Letters that a whole word needs to be looked for with one edit, and the share of clean documents that may hold such a variant.
 FUZZY_LETTERS, INNOCENT = 5, 0.001
+#: Terms of one table of the automaton; more terms take more tables.
+TABLE_TERMS = 300
 #: What a hit in quotation, or one edit away, is worth of a direct one.
 QUOTED, EDITED = 0.3, 0.85
 #: Tokens on each side of a hit that are searched for signs of quotation or of abuse.
@@ -40,18 +50,49 @@ CLOSING = "\"'”“»›’‘«"
 REPORTING = frozenset("said says called calls wrote quote quoted quoting word term slur phrase sagte nannte schrieb zitat wort dit appelé écrit mot citation dijo llamó escribió palabra cita".split())
 ADDRESSING = frozenset("you your you're du dich dein ihr tu te ton ta vous tú usted ustedes".split())
 
-_TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‹›‚‘’…–—¡¿"
+_TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "“”„«»‹›‚‘’…–—¡¿"
 
 
 @dataclass
 class Lexicon:
-    """Terms in natural order: (letters, is a stem, worth, may be one edit away)."""
+    """Terms in natural order: (letters, is a stem, worth, may be one edit away).
+
+    more is what many forms of a term are worth together, of the term whose
+    forms a term counts among: its stem, or itself. Both may be left out.
+    """
 
     terms: list[tuple[str, bool, float, bool]] = field(default_factory=list)
+    more: list[float] = field(default_factory=list)
+    of: list[int] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.more = self.more or [t[2] for t in self.terms]
+        self.of = self.of or list(range(len(self.terms)))
 
 
 class Automaton:
-    """The Levenshtein automata of all terms, intersected with their trie and made deterministic.
+    """The automata of all terms, as tables of TABLE_TERMS terms each, so that any number of terms takes time in proportion."""
+
+    def __init__(self, lexicon: Lexicon, table_terms: int = TABLE_TERMS) -> None:
+        self.stem = np.array([t[1] for t in lexicon.terms], bool)
+        self.tables = [(i, Table(lexicon.terms[i : i + table_terms])) for i in range(0, len(lexicon.terms), table_terms)]
+
+    def match(self, words: list[str]) -> np.ndarray:
+        """(n, 2): the term's number, or -1, and the edits, for each word: stems first, then whole words, then those one edit away."""
+        best = np.tile(np.array([[-1, 0]], np.int64), (len(words), 1))
+        rank = np.full(len(words), 3)
+        for first, table in self.tables:
+            found = table.match(words).astype(np.int64)
+            hit = found[:, 0] >= 0
+            found[hit, 0] += first
+            own = np.where(hit, np.where(self.stem[np.maximum(found[:, 0], 0)], 0, 1 + found[:, 1]), 3)
+            better = own < rank
+            best[better], rank[better] = found[better], own[better]
+        return best
+
+
+class Table:
+    """The Levenshtein automata of some terms, intersected with their trie and made deterministic.
 
     A state is a set of (trie node, edits). Whole words may be one insertion,
     deletion or substitution away if their term allows it; stems match exactly,
@@ -59,8 +100,8 @@ class Automaton:
     so that many words advance one character at a time together.
     """
 
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.terms = lexicon.terms
+    def __init__(self, terms: list[tuple[str, bool, float, bool]]) -> None:
+        self.terms = terms
         children: list[dict[str, int]] = [{}]
         whole: dict[int, int] = {}
         stems: dict[int, int] = {}
@@ -147,10 +188,10 @@ class Scanner:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.automaton = Automaton(lexicon)
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.known: dict[str, tuple[int, int, str] | None] = {}
 
-    def hits(self, text: str | None) -> list[tuple[int, int, bool]]:
-        """(term, edits, in quotation) for each hit of the whole text."""
+    def hits(self, text: str | None) -> list[tuple[int, int, str, bool]]:
+        """(term, edits, form, in quotation) for each hit of the whole text."""
         if not text or not self.lexicon.terms:
             return []
         tokens = text.lower().split()
@@ -159,8 +200,9 @@ class Scanner:
             if len(self.known) > CACHE:
                 self.known.clear()
                 fresh = list(distinct)
-            said = self.automaton.match([t.strip(_TRIM) for t in fresh])
-            self.known.update(zip(fresh, ((int(i), int(e)) if i >= 0 else None for i, e in said), strict=True))
+            forms = [t.strip(_TRIM) for t in fresh]
+            said = self.automaton.match(forms).tolist()
+            self.known.update(zip(fresh, ((i, e, form) if i >= 0 else None for (i, e), form in zip(said, forms, strict=True)), strict=True))
         bad = {t: m for t in distinct if (m := self.known[t])}
         if not bad:
             return []
@@ -183,75 +225,127 @@ class Scanner:
         return 2 * (opens and closes) + reported - any(w in ADDRESSING for w in words) >= 1
 
     def score(self, text: str | None) -> float:
-        """1 - the product of (1 - worth) over direct hits, or the best quoted hit's share if that is more."""
-        miss, quoted = 1.0, 0.0
-        for term, edits, in_quotes in self.hits(text):
-            worth = self.lexicon.terms[term][2] * (EDITED if edits else 1.0)
+        """1 - the product of (1 - worth) over terms with direct hits, or the best quoted hit's share if that is more.
+
+        A stem is worth more if many different forms of it are hit; a term that
+        is hit one edit away only, less.
+        """
+        forms: dict[int, set[str]] = defaultdict(set)
+        exact, quoted = set(), 0.0
+        for term, edits, form, in_quotes in self.hits(text):
             if in_quotes:
-                quoted = max(quoted, worth * QUOTED)
+                quoted = max(quoted, self.lexicon.terms[self.lexicon.of[term]][2] * (EDITED if edits else 1.0) * QUOTED)
             else:
-                miss *= 1 - worth
+                forms[self.lexicon.of[term]].add(form)
+                if not edits:
+                    exact.add(self.lexicon.of[term])
+        miss, words = 1.0, n_words(text) if any(len(f) > 1 for f in forms.values()) else 0
+        for term, found in forms.items():
+            many = len(found) > 1 and len(found) >= DENSE * words
+            miss *= 1 - (self.lexicon.more[term] if many else self.lexicon.terms[term][2]) * (1.0 if term in exact else EDITED)
         return max(1 - miss, quoted)
 
 
+def n_words(text: str) -> int:
+    """Number of different words of LEAST_LETTERS letters or more."""
+    return len({w for t in set(text.lower().split()) if len(w := t.strip(_TRIM)) >= LEAST_LETTERS})
+
+
+def log_chance(hits: int, trials: int, share: float) -> float:
+    """The logarithm of the chance of at least so many hits, each with that share."""
+    log_of = lambda k: math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(share) + (trials - k) * math.log1p(-share)
+    logs = [log_of(k) for k in range(hits, min(trials, hits + 200) + 1)]
+    return max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs))
+
+
+def worth(bad: int, good: int) -> float:
+    return bad / (bad + CLEAN_WEIGHT * good + PRIOR)
+
+
+def _heads(words: DataFrame) -> DataFrame:
+    """words with a row for each stem that a word may have: its first letters, fewer than all."""
+    heads = F.transform(F.filter(F.array(*[F.lit(n) for n in STEM_LETTERS]), lambda n: n < F.length("word")), lambda n: F.substring("word", F.lit(1), n))
+    return words.select("*", F.explode(heads).alias("stem"))
+
+
+def stems_of(candidates: dict[str, int], told: dict[str, tuple]) -> dict[str, tuple[float, float]]:
+    """What few and what many forms of each stem are worth.
+
+    candidates has the number of forms in toxic documents, told the numbers of
+    documents (toxic with few, clean with few, toxic with many, clean with
+    many). Stems that a longer one nearly equals give way to it, and those that
+    begin with a shorter one that is left are dropped.
+    """
+    near = {s[:-1] for s in told if s[:-1] in told and candidates[s] >= NEARLY_ALL * candidates[s[:-1]]}
+    kept: dict[str, tuple[float, float]] = {}
+    for stem in sorted(set(told) - near, key=lambda s: (len(s), s)):
+        if not any(stem[:n] in kept for n in STEM_LETTERS if n < len(stem)):
+            few_bad, few_good, more_bad, more_good = told[stem]
+            one = worth(few_bad, few_good)
+            kept[stem] = one, max(one, worth(more_bad, more_good))
+    return kept
+
+
 def learn(sample: DataFrame) -> Lexicon:
     """The lexicon of sample(doc_id, text, toxic), a written table of bounded size.
 
-    Document counts of words and of their first letters are summed on the
-    executors; only those that pass the thresholds, MOST_TERMS at most, reach
-    the driver. A term's worth is the share of toxic documents among those that
-    hold it, counted as if both classes were equally large. A second pass counts
-    the clean documents that hold a word one edit from a term: terms whose
-    variants are ordinary words are matched exactly.
+    A term is a word, or the first letters that several words share. It is
+    counted once for each form of it in each document, on the executors; a term
+    is taken if its count in toxic documents is too large for chance and clean
+    ones have few of them. Only terms that reach the least count that could
+    pass are collected: at most the words of the sample's toxic documents over
+    that count. A second pass counts the clean documents that hold a word one
+    edit from a term: terms whose variants are ordinary words are matched
+    exactly. Words that a stem covers stay for the sake of their variants.
     """
     sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
         return Lexicon()
-    least = math.ceil(math.log(MOST_CHANCE / (toxic + clean)) / math.log(toxic / (toxic + clean)))
-    token = F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    words = (
-        sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))).alias("token"))
-        .select("toxic", token.alias("word"))
-        .filter("length(word) >= 3")
-    )
-    by_doc = sample.select(F.monotonically_increasing_id().alias("row"), "toxic", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("tokens"))
-    heads = by_doc.select("toxic", F.explode("tokens").alias("token"), "row").select("toxic", "row", token.alias("word"))
-    share = (F.col("bad") / toxic) / (F.col("bad") / toxic + F.col("good") / clean)
-    counted = words.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
-    kept = counted.filter((F.col("bad") >= least) & (share >= LEAST_SHARE)).orderBy(F.desc("bad"), "word").limit(4 * MOST_TERMS)
-    whole = {r["word"]: (r["bad"], r["good"]) for r in kept.collect()}
-    stem = heads.select("toxic", "row", "word", F.explode(F.array(*[F.substring("word", 1, n) for n in STEM_LETTERS])).alias("stem")).filter(F.length("stem") < F.length("word"))
-    stems = (
-        stem.groupBy("stem", "row", "toxic").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-        .groupBy("stem")
-        .agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"), F.size(F.collect_set(F.when(F.col("toxic"), F.col("low")))).alias("forms"))
-        .filter((F.col("bad") >= least) & (share >= STEM_SHARE) & (F.col("forms") >= LEAST_FORMS))
-        .orderBy(F.length("stem"), F.desc("bad"), "stem")
-        .limit(4 * MOST_TERMS)
-        .collect()
-    )
-    terms: list[tuple[str, bool, float, bool]] = []
-    worth = lambda bad, good: (bad / toxic) / (bad / toxic + (good + 0.1) / clean)
-    for r in stems:
-        if not any(r["stem"].startswith(t[0]) for t in terms):
-            terms.append((r["stem"], True, worth(r["bad"], r["good"]), False))
-    for word, (bad, good) in whole.items():
-        if not any(is_stem and word.startswith(t) for t, is_stem, *_ in terms):
-            terms.append((word, False, worth(bad, good), len(word) >= FUZZY_LETTERS))
-    terms = sorted(sorted(terms, key=lambda t: -t[2])[:MOST_TERMS])
-    trial = Lexicon(terms)
+    tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    letters = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    in_doc = F.array_distinct(F.filter(letters, lambda w: F.length(w) >= LEAST_LETTERS))
+    words = written(sample.select("doc_id", "toxic", in_doc.alias("words")).select("doc_id", "toxic", F.size("words").alias("size"), F.explode("words").alias("word")), "toxicity-words")
+    bad, good = F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")
+    counted = written(words.groupBy("word").agg(bad, good), "toxicity-counts")
+    total = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("words")).first()
+    if not total["bad"] or not total["good"]:
+        return Lexicon()
+    part = total["bad"] / (total["bad"] + total["good"])
+    limit = math.log(MOST_CHANCE / total["words"])
+    least = max(LEAST_DOCS, math.ceil(limit / math.log(part)))
+    unlikely = lambda r: log_chance(r["bad"], r["bad"] + r["good"], part) <= limit
+    share = lambda b, g, bads, goods: (F.col(b) / bads) / (F.col(b) / bads + F.col(g) / goods)
+    whole = {r["word"]: worth(r["bad"], r["good"]) for r in counted.filter((F.col("bad") >= least) & (share("bad", "good", toxic, clean) >= LEAST_SHARE)).collect() if unlikely(r)}
+    forms = _heads(counted).groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("forms"))
+    likely = forms.filter((F.col("bad") >= least) & (F.col("forms") >= LEAST_FORMS) & (share("bad", "good", total["bad"], total["good"]) >= STEM_SHARE))
+    candidates = {r["stem"]: r["bad"] for r in likely.collect() if unlikely(r)}
+    told = {}
+    if candidates:
+        asked = sample.sparkSession.createDataFrame([(s,) for s in sorted(candidates)], "stem string")
+        by_doc = _heads(words).join(F.broadcast(asked), "stem").groupBy("stem", "doc_id", "toxic", "size").count()
+        many = (F.col("count") > 1) & (F.col("count") >= DENSE * F.col("size"))
+        kinds = {"few_bad": F.col("toxic") & ~many, "few_good": ~F.col("toxic") & ~many, "more_bad": F.col("toxic") & many, "more_good": ~F.col("toxic") & many}
+        by_stem = by_doc.groupBy("stem").agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+        passing = by_stem.filter((F.col("more_bad") >= LEAST_DOCS) & (share("more_bad", "more_good", toxic, clean) >= STEM_SHARE))
+        told = {r["stem"]: tuple(r[k] for k in kinds) for r in passing.collect()}
+    stems = stems_of(candidates, told)
+    head = {w: next((w[:n] for n in STEM_LETTERS if n < len(w) and w[:n] in stems), None) for w in whole}
+    rows = sorted([(s, True, one, False, more, s) for s, (one, more) in stems.items()] + [(w, False, v, len(w) >= FUZZY_LETTERS, v, head[w]) for w, v in whole.items() if w not in stems])
+    place = {r[0]: i for i, r in enumerate(rows)}
+    terms, more, of = [r[:4] for r in rows], [r[4] for r in rows], [place[r[5]] if r[5] else i for i, r in enumerate(rows)]
+    trial = Lexicon(terms, more, of)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = Scanner(trial), defaultdict(int)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for term in {t for t, edits, _ in scanner.hits(text) if edits}:
+            for text in batch.column("text"):
+                for term in {t for t, edits, _, _ in scanner.hits(text.as_py()) if edits}:
                     seen[term] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
     innocent = {r["term"]: r["n"] for r in sample.filter("not toxic").select("text").mapInArrow(variants, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return Lexicon([(t, s, w, f and innocent.get(i, 0) <= max(1, INNOCENT * clean)) for i, (t, s, w, f) in enumerate(terms)])
+    return Lexicon([(t, s, w, f and innocent.get(i, 0) <= max(1, INNOCENT * clean)) for i, (t, s, w, f) in enumerate(terms)], more, of)
 
 
 def held_out(doc_id):
@@ -259,8 +353,9 @@ def held_out(doc_id):
 
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least of a text's hashed 3-word shingles under MINIMA orders."""
+    """The least of a text's hashed shingles under MINIMA orders; a text of fewer words is one shingle."""
     turns = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weights = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
         out = []
         for first, end, raw, offsets in text_steps(batch.column("text")):
@@ -268,33 +363,42 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = word_hashes(raw, starts, ends)
             for a, b in zip(of[:-1], of[1:], strict=True):
                 w = h[a:b]
-                k = w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7) if len(w) > 2 else w
+                n = max(len(w) - SHINGLE + 1, 1)
+                k = mix64(sum(w[i : i + n] * weights[i] for i in range(min(SHINGLE, len(w))))) if len(w) else w
                 out.append([int(mix64(k ^ t).min().view(np.int64)) for t in turns] if len(k) else [])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "minima"])
 
 
 def without_copies(rows: list) -> list[int]:
-    """Ids, in order, of rows(doc_id, minima) that share no minimum with an earlier one."""
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for r in sorted(rows):
-        own = set(enumerate(r["minima"]))
-        if not own & seen:
-            kept.append(r["doc_id"])
-        seen |= own
+    """Ids, in order, of rows(doc_id, minima) that are no copy of an earlier one that stays: fewer than COPY_SHARE of their minima are the same."""
+    buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
+    kept, minima = [], np.zeros((len(rows), MINIMA), np.int64)
+    for doc_id, own in sorted(rows):
+        if own:
+            keys = list(enumerate(own[:FIRST]))
+            near = np.unique(np.array([j for k in keys for j in buckets.get(k, ())], np.int64))
+            if len(near) and ((minima[near] == np.array(own, np.int64)).mean(1) >= COPY_SHARE).any():
+                continue
+            for k in keys:
+                buckets[k].append(len(kept))
+            minima[len(kept)] = own
+        kept.append(doc_id)
     return sorted(set(kept))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic) of at most sample labelled documents that aren't held out, one of each group of near copies.
 
-    Copies would make each of their words look like evidence of its own.
+    Copies would make each of their words look like evidence of its own. Labels
+    that are listed more than once count once, a document with both labels is
+    toxic; of a doc_id's listings in docs the least text stands for it.
     """
-    rows = labels.select("doc_id", (F.col("toxic") == 1).alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    rows = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     first = rows.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(first), "doc_id"), "toxicity-sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = written(found, "toxicity-sample")
     singles = without_copies(texts.select("doc_id", "text").mapInArrow(_minima, "doc_id long, minima array<long>").collect())
-    return texts.filter(F.col("doc_id").isin(singles)) if len(singles) < 1000 else texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in singles], "doc_id long")), "doc_id", "left_semi")
+    return texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in singles], "doc_id long")), "doc_id", "left_semi")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
