@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.textkit import words_of
+from tidewright.storage import written
 
 #: Frequent words of four languages, in natural order.
 COMMON = {
@@ -46,6 +47,9 @@ LEAST_FOR_CLASSES, LEAST_FOR_WORDS = 20, 60
 MOST_CLASSES, MOST_WORDS = 0.15, 0.35
 SHORT_CLASSES, SHORT_WORDS = 3.8, 3.0
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BINS = CLASSES + len(WORDS) + 1
+
 
 def repeat_words(ids: np.ndarray) -> int:
     """Words within 5-word windows that come twice or more; ids number the distinct words from 0, so windows compare exactly."""
@@ -92,14 +96,16 @@ def base_failed(counts: list[int]) -> bool:
     return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms, in bits: 0 for equal, 1 for disjoint ones; 1 if one of them is empty."""
-    if not p.sum() or not q.sum():
-        return 1.0
-    p, q = p / p.sum(), q / q.sum()
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of histograms p (one, or a row each) from q, in bits: 0 for equal, 1 for disjoint ones; 1 if one of them is empty."""
+    p, q = np.atleast_2d(np.asarray(p, float)), np.asarray(q, float)
+    sizes = p.sum(1)
+    if not q.sum():
+        return np.ones(len(p))
+    p, q = p / np.where(sizes, sizes, 1.0)[:, None], q / q.sum()
     m = (p + q) / 2
-    part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1.0) / np.where(m > 0, m, 1.0)), 0.0).sum(1)
+    return np.where(sizes > 0, np.sqrt(np.maximum(0.0, (part(p) + part(np.broadcast_to(q, p.shape))) / 2)), 1.0)
 
 
 def is_typical(counts: list[int], classes: np.ndarray) -> bool:
@@ -110,43 +116,65 @@ def is_typical(counts: list[int], classes: np.ndarray) -> bool:
 class References:
     """Histograms of each language with common words, as sums over the corpus."""
 
-    def __init__(self, rows: list[tuple[str, list[int], list[int]]]) -> None:
-        self.by_lang = {lang: (np.array(classes, float), np.array(common, float)) for lang, classes, common in sorted(rows)}
+    def __init__(self, sums: dict[str, np.ndarray]) -> None:
+        self.by_lang = sorted((lang, np.asarray(v[:CLASSES], float), np.asarray(v[CLASSES:], float)) for lang, v in sums.items())
+
+    def passes(self, n_words: np.ndarray, histograms: np.ndarray) -> np.ndarray:
+        """Whether each text is close enough to the language whose common words are closest, or too short to say."""
+        short = n_words < LEAST_FOR_CLASSES
+        if not self.by_lang or not len(n_words):
+            return np.ones(len(n_words), bool)
+        by_word = np.stack([distance(histograms[:, CLASSES:], common) for _, _, common in self.by_lang])
+        by_class = np.stack([distance(histograms[:, :CLASSES], classes) for _, classes, _ in self.by_lang])
+        closest, row = by_word.argmin(0), np.arange(len(n_words))
+        n = np.maximum(n_words, 1)
+        like_class = by_class[closest, row] <= MOST_CLASSES + SHORT_CLASSES / n
+        like_word = by_word[closest, row] <= MOST_WORDS + SHORT_WORDS / n
+        return short | (like_class & (like_word | (n_words < LEAST_FOR_WORDS)))
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, histograms, typical = [], [], []
+        for text in batch.column("text"):
+            own, classes, common = measure(text.as_py())
+            counts.append(own)
+            histograms.append(np.concatenate([classes, common]).astype(np.int64).tobytes())
+            typical.append(is_typical(own, classes))
+        columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("lang"), *columns, pa.array(histograms, pa.binary()), pa.array(typical, pa.bool_())], names=["doc_id", "lang", *COUNTS, "histogram", "typical"]
+        )
+
 
-    def closest(self, classes: np.ndarray, common: np.ndarray) -> tuple[str | None, float, float]:
-        """The language whose common words are closest, and the distances of classes and of common words from it."""
-        best = min(((distance(common, c), lang) for lang, (_, c) in self.by_lang.items()), default=None)
-        if best is None:
-            return None, 0.0, 0.0
-        return best[1], distance(classes, self.by_lang[best[1]][0]), best[0]
+def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the counts, the histogram (BINS numbers of 8 bytes) and typical for each row of docs, written: the one pass over texts."""
+    schema = ", ".join(["doc_id long", "lang string", *[f"{c} long" for c in COUNTS], "histogram binary", "typical boolean"])
+    return written(docs.select("doc_id", "lang", "text").mapInArrow(_measured, schema), "measures")
 
-    def passes(self, n_words: int, classes: np.ndarray, common: np.ndarray) -> bool:
-        if n_words < LEAST_FOR_CLASSES:
-            return True
-        _, by_class, by_word = self.closest(classes, common)
-        return by_class <= MOST_CLASSES + SHORT_CLASSES / n_words and (n_words < LEAST_FOR_WORDS or by_word <= MOST_WORDS + SHORT_WORDS / n_words)
+
+def _histograms(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("histogram").to_pylist()), np.int64).reshape(-1, BINS)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            counts, classes, common = measure(text.as_py())
-            if is_typical(counts, classes):
-                totals.setdefault(lang, np.zeros(CLASSES + len(WORDS) + 1, np.int64))
-                totals[lang] += np.concatenate([classes, common])
+        langs, histograms = np.array(batch.column("lang").to_pylist(), object), _histograms(batch)
+        for lang in set(langs):
+            totals[lang] = totals.get(lang, 0) + histograms[langs == lang].sum(0)
     rows = [(lang, i, int(v)) for lang, sums in totals.items() for i, v in enumerate(sums)]
     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[], [], []], (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "place", "n"])
 
 
-def references(docs: DataFrame) -> References:
+def references(measured: DataFrame) -> References:
     """Sums over all typical documents of the languages with common words; a few numbers for each language and task are shuffled."""
-    known = docs.select("lang", "text").filter(F.col("lang").isin(list(COMMON)))
+    known = measured.filter(F.col("typical") & F.col("lang").isin(list(COMMON))).select("lang", "histogram")
     rows = known.mapInArrow(_sums, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
-    by_lang: dict[str, list[int]] = {}
+    sums: dict[str, np.ndarray] = {}
     for r in rows:
-        by_lang.setdefault(r["lang"], [0] * (CLASSES + len(WORDS) + 1))[r["place"]] = r["n"]
-    return References([(lang, v[:CLASSES], v[CLASSES:]) for lang, v in by_lang.items()])
+        sums.setdefault(r["lang"], np.zeros(BINS))[r["place"]] = r["n"]
+    return References(sums)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -154,25 +182,22 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
     References are the summed histograms of all documents of a language; a text
     is compared with the one whose common words are closest, so its own label
-    doesn't matter. Null and empty texts have no words and fail the base rules.
-    Texts below the guards' lengths pass by the base rules alone, and so do all
-    if docs has none of the languages. Repeated rows get equal results; other
-    columns are ignored; no rows give no rows.
+    doesn't matter. Texts are read once: what is counted in them is written,
+    summed and judged from there. A text is measured whole, one at a time, in
+    memory of some 30 times its size. Null and empty texts have no words and
+    fail the base rules. Texts below the guards' lengths pass by the base rules
+    alone, and so do all if docs has none of the languages. Repeated rows get
+    equal results; other columns are ignored; no rows give no rows.
     """
-    known = docs.sparkSession.sparkContext.broadcast(references(docs))
+    measured = measures(docs)
+    known = docs.sparkSession.sparkContext.broadcast(references(measured))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, failed, kept = [], [], []
-            for text in batch.column("text"):
-                counts, classes, common = measure(text.as_py())
-                rows.append(counts)
-                failed.append(base_failed(counts))
-                kept.append(not failed[-1] and known.value.passes(counts[0], classes, common))
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+            n_words, repeats = (batch.column(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            failed = (n_words < 10) | (100 * repeats > 20 * n_words)
+            kept = ~failed & known.value.passes(n_words, _histograms(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in COUNTS], pa.array(failed), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "kept"])
+
+    counted = measured.select("doc_id", *COUNTS, "histogram")
+    return counted.mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
