@@ -42,7 +42,7 @@ _CLASS[0x80:0xC0] = CLASSES  # continuation bytes count nowhere
 REFERENCE_SYMBOLS, REFERENCE_CAPITALS = 0.05, 0.3
 
 #: A text shorter than this, in words, is judged by the base rules alone; character classes need the first, common words the second.
-LEAST_FOR_CLASSES, LEAST_FOR_WORDS = 20, 60
+LEAST_FOR_CLASSES, LEAST_FOR_WORDS = 20, 30
 #: The largest Jensen-Shannon distances (square roots of divergences in bits, 0 to 1) from the closest language, and what a text of n words may have more, over n: short texts stray further by chance.
 MOST_CLASSES, MOST_WORDS = 0.15, 0.35
 SHORT_CLASSES, SHORT_WORDS = 3.8, 3.0
