@@ -26,7 +26,8 @@ def group_copies(docs: DataFrame) -> DataFrame:
     Null texts are empty texts. The smallest doc_id stays; a null doc_id counts
     as the largest. Rows that repeat one doc_id and text are the same document
     listed more than once: each is counted and all of them have kept = true if
-    that id stays. Other columns of docs are ignored. No rows give no rows.
+    that id stays. A very long text is normalised and hashed whole, and is one
+    row of the shuffle. Other columns of docs are ignored. No rows give no rows.
     """
     text = normalised(F.col("text"))
     hashed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.unhex(F.md5("text")).alias("h"))
@@ -55,7 +56,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     hash over all columns. Other texts of a doc_id or of rows without an id
     aren't touched. Rows are grouped by hash and text as in group_copies() and
     carried through, so nothing is looked up by doc_id; partial aggregation
-    leaves one row for each text and task before the shuffle.
+    leaves one row for each text and task before the shuffle. A very long text
+    is one row, whole.
     """
     text = normalised(F.col("text"))
     tie = F.xxhash64(*[F.coalesce(docs[c].cast("string"), F.lit("\0")) for c in docs.columns])

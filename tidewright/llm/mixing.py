@@ -72,33 +72,38 @@ def unit_draw(key: Column, seed: str = SEED) -> Column:
 
 
 def repeats(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies: floor(rate) and one more with the fraction's chance.
+    """The columns of docs as c0, c1 and so on, with size, source_size, target and copies: floor(rate) and one more with the fraction's chance.
 
     rate is target / source_size, the same for all rows of a source; a source
     without words has rate 0. Null texts have size 0, null sources form one
-    source that comes last. Reruns give the same draws; rows that repeat a
-    doc_id have the same draw. Empty docs give no rows. Columns of docs with
-    the names of results are replaced.
+    source that comes last. Reruns give the same draws: a draw depends on the
+    doc_id alone, so rows that repeat a doc_id, and all rows without one, have
+    the same draw in a source. A text of any length is one row whose words are
+    counted in place. Empty docs give no rows.
     """
-    plain = docs.drop("size", "source_size", "target", "copies")
-    targets = source_targets(plain.select("source", n_words(F.col("text")).alias("size"))).withColumnRenamed("source", "mix_source")
-    sized = plain.withColumn("size", n_words(F.col("text")))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text, source = (names[docs.columns.index(n)] for n in ("doc_id", "text", "source"))
+    plain = docs.toDF(*names)
+    sized = plain.withColumn("size", n_words(F.col(text)))
+    targets = source_targets(plain.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"]))
-        .drop("mix_source")
-        .withColumn("copies", (F.floor(rate) + F.when(unit_draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+        sized.join(targets, sized[source].eqNullSafe(targets["source"]))
+        .drop("source")
+        .withColumn("copies", (F.floor(rate) + F.when(unit_draw(F.col(doc_id), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
     )
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (the document's words in the mix, repeats counted)."""
-    return repeats(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """doc_id, size, source_size, target and taken (the document's words in the mix, repeats counted), one row for each of docs."""
+    return repeats(docs.select("doc_id", "text", "source")).select(F.col("c0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with the columns of docs."""
-    return repeats(docs).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs, each as often as its copies say, with the columns of docs, whatever their names."""
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")
+    taken = repeats(docs).filter("copies > 0").select("*", each)
+    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = r"""
