@@ -64,3 +64,59 @@ def test_large_bucket_spans_without_all_pairs():
     ball = np.array([1 << i for i in range(60)] + [0, 2**63 | 2**62 | 2**61 | 2**60 | 1], np.uint64)
     found = simhash.spanning_links(ball)
     assert len(found) == 60
+
+
+def test_a_wide_bucket_is_searched_exactly():
+    rng = np.random.default_rng(4)
+    far = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    near = far[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    chain = [np.uint64(0)]
+    for bit in range(60):
+        chain.append(chain[-1] ^ np.uint64(1 << bit))
+    fps = np.unique(np.concatenate([far, near, np.array(chain, np.uint64)]))
+
+    def parts(links):
+        root = {int(f): int(f) for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {f: find(f) for f in root}
+
+    found = simhash.bucket_links(fps)
+    assert all((a ^ b).bit_count() <= 3 for a, b in found)
+    assert parts(found) == parts(simhash.spanning_links(fps))
+
+
+def test_a_hot_bucket_and_a_very_long_text(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(words, 2000))
+    docs = [(0, " ".join(rng.choice(words, 400_000)))]
+    for i in range(1, 700):
+        copy = list(base)
+        copy[int(rng.integers(2000))] = f"z{i}"
+        docs.append((i, " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    prints = {i: simhash.fingerprint(t) for i, t in docs}
+    by_print = {}
+    for i, p in sorted(prints.items()):
+        by_print.setdefault(p, i)
+    distinct = np.array(sorted(by_print), np.uint64)
+    root = {int(p): int(p) for p in distinct}
+    changed = True
+    while changed:
+        changed = False
+        for p in distinct:
+            for q in distinct[np.bitwise_count(distinct ^ p) <= 3]:
+                a, b = root[int(p)], root[int(q)]
+                if by_print[a] != by_print[b]:
+                    root[int(p)] = root[int(q)] = a if by_print[a] < by_print[b] else b
+                    changed = True
+    assert got == {i: by_print[root[p]] for i, p in prints.items()}
+    assert len(set(got.values())) < 40

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewright.operators.components import components
-from tidewright.storage import written
+from tidewright.storage import discarded, written
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -24,6 +24,8 @@ GENERATOR = 0b110001110101
 
 #: Buckets up to this many fingerprints are compared by shifted arrays, larger ones by a search that drops what it has reached.
 SMALL_BUCKET = 6
+#: Larger buckets than this are searched by the four quarters of a fingerprint, one of which two within 3 bits share.
+WIDE_BUCKET = 512
 
 
 def fingerprint(text: str | None) -> int:
@@ -159,6 +161,21 @@ def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
+    """spanning_links() of a bucket of any size: beyond WIDE_BUCKET, of those with an equal quarter, so that fingerprints far apart aren't compared."""
+    if len(fps) <= WIDE_BUCKET:
+        return spanning_links(fps)
+    links = []
+    for quarter in range(4):
+        part = fps >> np.uint64(16 * quarter) & np.uint64(0xFFFF)
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b - a > 1:
+                links += spanning_links(fps[order[a:b]])
+    return links
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the buckets in rows sorted by (key, fp); a bucket may go over batches."""
 
@@ -172,7 +189,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near &= np.bitwise_count(fps[:-d] ^ fps[d:]) <= MOST_BITS
             out.append(np.stack([fps[:-d][near], fps[d:][near]], 1))
         for i in np.flatnonzero(runs > SMALL_BUCKET):
-            if links := spanning_links(fps[edge[i] : edge[i + 1]]):
+            if links := bucket_links(fps[edge[i] : edge[i + 1]]):
                 out.append(np.array(links, np.uint64))
         found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
         if not len(found):
@@ -195,28 +212,35 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v) of fingerprints within 3 bits; all links within a bucket of few, a spanning set in larger ones."""
     keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
 
 
 def least_of_components(prints: DataFrame, order: Column) -> DataFrame:
     """(of, least): the least order among the rows of the component of fingerprint of; fingerprints of one row without links are left out.
 
     Nodes get about 70 keys each; the buckets of a key hold distinct
-    fingerprints only. The result is written, a scan of its own, so that AQE can
-    split a hot fingerprint in the join with it.
+    fingerprints only. The rows of a large component meet its least order in one
+    join by their root, which AQE can split as both sides are plain shuffles of
+    written tables; they are dealt by node again before they are written, so that
+    no later task reads a component. The result is written, a scan of its
+    own, so that AQE can split a hot fingerprint in the join with it. Joins are
+    hinted to merge: no side grows into a broadcast.
     """
     nodes = prints.groupBy("fp").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("n"))
-    rooted = components(written(links(nodes), "links"))
-    linked = rooted.join(nodes, rooted.node == nodes.fp).select("node", "root", "own")
-    roots = linked.groupBy("root").agg(F.min("own").alias("shared")).withColumnRenamed("root", "of")
-    by_node = rooted.join(roots, rooted.root == roots["of"]).select("node", "shared")
+    nodes = written(nodes, "nodes")
+    found = written(links(nodes), "links")
+    rooted = components(found)
+    linked = rooted.join(nodes.hint("merge"), rooted.node == nodes.fp).select("node", "root", "own")
+    roots = written(linked.groupBy(F.col("root").alias("of")).agg(F.min("own").alias("shared")), "roots")
+    by_node = written(rooted.join(roots.hint("merge"), rooted.root == roots["of"]).select("node", "shared").repartition("node"), "by-node")
     named = (
-        nodes.join(by_node, nodes.fp == by_node.node, "left")
+        nodes.join(by_node.hint("merge"), nodes.fp == by_node.node, "left")
         .filter("n > 1 or node is not null")
         .select(F.col("fp").alias("of"), F.when(F.col("node").isNotNull(), F.col("shared")).otherwise(F.col("own")).alias("least"))
     )
-    return written(named, "components-named")
+    named = written(named, "components-named")
+    discarded(nodes, found, roots, by_node)
+    return named
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -231,7 +255,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     named = least_of_components(prints, F.col("doc_id")).withColumnRenamed("least", "component")
-    return prints.join(named, prints.fp == named["of"], "left").select(
+    return prints.join(named.hint("merge"), prints.fp == named["of"], "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
