@@ -1,12 +1,16 @@
 """Substring dedup: relative Lempel-Ziv parsing against all earlier blocks of the corpus.
 
 Every document is cut into blocks whose limits depend on nearby words only, so
-that a passage is cut alike wherever it stands. The first occurrence of a block
-is a reference block. Parsing a document, every block that an earlier reference
-block equals is copied from it; copies in a row make one long factor. A factor
-may reach into the blocks at its ends: there, windows of the length asked for
-are compared one by one. What lies within factors of at least that length is a
-duplicate span.
+that a passage is cut alike wherever it stands. The blocks are the index: of
+equal ones, the earliest is the reference block, known by its document and
+place. A document's blocks that equal an earlier one match it there; where a
+passage ends inside a block no block is equal, so there, at the ends of
+factors, the windows of the length asked for are looked up one by one. Matches
+that continue each other in the same reference are one longer match, and a
+document is parsed greedily from left to right: at each word the match that
+reaches furthest gives the next factor (place, length, reference document and
+place), and words that no match covers are literals. All matches are at least a
+window long, so what factors cover are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.textkit import mix64, powers, text_steps, word_bounds, word_hashes, words_of
+from tidewright.llm.textkit import hashed_rows, mix64, powers, text_steps, words_of
 from tidewright.storage import written
 
 #: Words of a window: the least length of a factor that counts.
@@ -96,8 +100,10 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
     Only one block of each anchor goes by the anchor in the next shuffle, the
     rest spread evenly, so that a passage of half the corpus makes no hot key.
     The rows are the largest that are shuffled, so they are packed: place is a,
-    n and the status, an anchor is written where the key isn't it only, and
-    copies in a row are one factor, a block of the sum of their windows.
+    n and the status, an anchor is written where the key isn't it only. A copy
+    needs neither anchor nor ids: there stand the document and the place of the
+    block that it equals, and copies that continue each other there are one row,
+    of the sum of their windows.
     """
     order = np.lexsort((b["a"], docs, b["id2"], b["id1"]))
     docs, b = docs[order], {k: v[order] for k, v in b.items()}
@@ -118,13 +124,13 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
     kept = status != COPY
     copied = np.flatnonzero(~kept & ~again)
     copied = copied[np.lexsort((b["a"][copied], docs[copied]))]
-    doc, first, n = docs[copied], b["a"][copied], b["n"][copied]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    factor = np.add.reduceat(n, cut) if len(cut) else n
-    doc, first = doc[cut], first[cut]
+    doc, first, n, ref, ref_a = docs[copied], b["a"][copied], b["n"][copied], docs[head[copied]], b["a"][head[copied]]
+    same = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1] + n[:-1]) & (ref[1:] == ref[:-1]) & (ref_a[1:] - ref_a[:-1] == n[:-1])
+    cut = np.flatnonzero(np.concatenate([[True], ~same])) if len(doc) else np.zeros(0, np.int64)
+    run = np.add.reduceat(n, cut) if len(cut) else n
+    doc, first, ref, ref_a = doc[cut], first[cut], ref[cut], ref_a[cut]
     even = mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
-    none = np.zeros(len(doc), np.uint64)
-    factors = [even, doc, first << 34 | factor << 2 | COPY, none, even, none]
+    factors = [even, doc, first << 34 | run << 2 | COPY, ref, even, ref_a]
     signed = lambda v: v.view(np.int64) if v.dtype == np.uint64 else v
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signed(c)[kept], signed(f)])) for c, f in zip(columns, factors, strict=True)], names=["key", "doc", "place", "anchor", "id1", "id2"])
 
@@ -134,8 +140,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("key").to_numpy(zero_copy_only=False)
         for first, end, raw, offsets in text_steps(batch.column("text")):
-            starts, ends, of = word_bounds(raw, offsets)
-            found = blocks(word_hashes(raw, starts, ends), of)
+            found = blocks(*hashed_rows(raw, offsets))
             if len(found["a"]):
                 docs.append(ids[first:end][found.pop("row")])
                 parts.append(found)
@@ -148,14 +153,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit ids of the windows in the given blocks of each text; equal ones within a task's part are copies of the first."""
+    """128-bit ids of the windows in the given blocks of each text; equal ones within a task's part are copies of the first, and say where it is."""
     for batch in batches:
         ids = batch.column("key").to_numpy(zero_copy_only=False)
         spans = batch.column("spans")
         found = []
         for first, end, raw, offsets in text_steps(batch.column("text")):
-            starts, ends, of = word_bounds(raw, offsets)
-            hashes = word_hashes(raw, starts, ends)
+            hashes, of = hashed_rows(raw, offsets)
             one, two = (Rolling(hashes, b) for b in BASES)
             at, doc = [], []
             for row in range(first, end):
@@ -174,8 +178,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         keep = new | (docs != docs[head]) | (s != s[head])
         w1 = np.where(new, w1, mix64(docs.astype(np.uint64) * np.uint64(BASES[1]) + s.astype(np.uint64)))
-        columns = {"w1": w1.view(np.int64), "w2": np.where(new, w2, 0).astype(np.uint64).view(np.int64), "doc": docs, "a": s.astype(np.int32), "copy": ~new}
-        yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in columns.values()], names=list(columns))
+        columns = {"w1": w1.view(np.int64), "w2": np.where(new, w2, 0).astype(np.uint64).view(np.int64), "doc": docs, "a": s.astype(np.int32)}
+        refs = {"ref": pa.array(docs[head][keep], mask=new[keep]), "ref_a": pa.array(s[head][keep].astype(np.int32), mask=new[keep])}
+        yield pa.RecordBatch.from_arrays([*[pa.array(v[keep]) for v in columns.values()], *refs.values()], names=[*columns, *refs])
 
 
 def packed(a: Column, n: Column) -> Column:
@@ -187,49 +192,129 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def duplicate_blocks(docs: DataFrame) -> DataFrame:
-    """(doc, a, n): n windows from word a on, in document doc (the key), that start earlier elsewhere.
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc, a, n, ref, ref_a): n windows from word a on, in document doc (the key), that start earlier too: in document ref from word ref_a on.
 
     Blocks meet by their anchors in one shuffle and those of anchors that come
-    more than once, a small part, by their ids in another. What is copied is
-    known then but for anchors in different blocks, at the ends of passages:
-    the windows of their first blocks are compared in a third.
+    more than once, a small part, by their ids in another. What equals a
+    reference block is known then but for anchors in different blocks, at the
+    ends of passages: the windows of their first blocks are compared in a third.
     """
     source = keyed(docs)
     cut = source.select("key", "text").mapInArrow(_cut, "key long, doc long, place long, anchor long, id1 long, id2 long")
     status = F.col("place").bitwiseAND(3)
     met = cut.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter((status != SINGLE) | (F.col("times") > 1)).drop("times")
-    nth = F.rank().over(Window.partitionBy("id1", "id2").orderBy("doc", F.shiftright("place", 34)))
-    anchor = F.when(F.col("anchor") == 0, F.col("key")).otherwise(F.col("anchor")).alias("anchor")
-    a, n = F.shiftright("place", 34).cast("int").alias("a"), F.shiftright("place", 2).bitwiseAND((1 << 32) - 1).cast("int").alias("n")
-    told = written(met.withColumn("copy", (status == COPY) | (nth > 1)).select("doc", a, n, anchor, "copy"), "blocks")
-    firsts = told.filter("not copy")
+    a, n = F.shiftright("place", 34), F.shiftright("place", 2).bitwiseAND((1 << 32) - 1)
+    earliest = F.first(F.struct("doc", a.alias("a"))).over(Window.partitionBy("id1", "id2").orderBy("doc", a))
+    known = status == COPY
+    placed = met.withColumn("earliest", earliest).select(
+        "doc",
+        a.cast("int").alias("a"),
+        n.cast("int").alias("n"),
+        F.when(F.col("anchor") == 0, F.col("key")).otherwise(F.col("anchor")).alias("anchor"),
+        F.when(known, F.col("anchor")).otherwise(F.col("earliest.doc")).alias("ref"),
+        F.when(known, F.col("id2")).otherwise(F.col("earliest.a")).cast("int").alias("ref_a"),
+    )
+    told = written(placed, "blocks")
+    is_reference = (F.col("ref") == F.col("doc")) & (F.col("ref_a") == F.col("a"))
+    firsts = told.filter(is_reference)
     torn = firsts.groupBy("anchor").count().filter("count > 1").select("anchor")
     spans = firsts.join(torn, "anchor", "left_semi").groupBy("doc").agg(F.collect_list(packed(F.col("a"), F.col("n"))).alias("spans")).withColumnRenamed("doc", "of")
     texts = source.join(spans, source.key == spans["of"]).select("doc_id", "key", "text", "spans")
-    windows = texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, copy boolean")
-    later = windows.withColumn("copy", F.col("copy") | (F.rank().over(Window.partitionBy("w1", "w2").orderBy("doc", "a")) > 1))
-    return told.filter("copy").select("doc", "a", "n").union(later.filter("copy").select("doc", "a", F.lit(1).alias("n")))
+    windows = texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, ref long, ref_a int")
+    first = F.first(F.struct("doc", "a")).over(Window.partitionBy("w1", "w2").orderBy("doc", "a"))
+    later = windows.withColumn("first", first).select("doc", "a", F.lit(1).alias("n"), F.coalesce("ref", "first.doc").alias("ref"), F.coalesce("ref_a", "first.a").alias("ref_a"))
+    return told.select("doc", "a", "n", "ref", "ref_a").union(later).filter(~is_reference)
 
 
-def _marked(n_words: int, spans: pa.Scalar) -> np.ndarray:
-    """Which words the windows of packed blocks cover."""
-    p = np.asarray(spans.values.to_numpy(zero_copy_only=False), np.int64)
-    a, n = p >> 32, p & 0xFFFFFFFF
-    edges = np.zeros(n_words + 1, np.int64)
-    np.add.at(edges, np.minimum(a, n_words), 1)
-    np.add.at(edges, np.minimum(a + n + WINDOW - 1, n_words), -1)
-    return np.cumsum(edges[:-1]) > 0
+def parse(n_words: int, a: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_a: np.ndarray) -> np.ndarray:
+    """The greedy parse of a document of n_words from its matches: rows (word, length, ref, ref word).
+
+    Matches that overlap or touch at the same distance in the same reference
+    are one. From left to right, the match that covers the next word and
+    reaches furthest gives a factor up to its end; without one the parse goes on
+    where the next match begins.
+    """
+    if not len(a):
+        return np.zeros((0, 4), np.int64)
+    end = np.minimum(a + n + WINDOW - 1, n_words)
+    order = np.lexsort((a, ref_a - a, ref))
+    a, end, ref, shift = a[order], end[order], ref[order], (ref_a - a)[order]
+    group = np.cumsum(np.concatenate([[0], (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1])]))
+    reach = np.maximum.accumulate(end + group * (n_words + 1)) - group * (n_words + 1)
+    head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (a[1:] > reach[:-1])]))
+    a, ref, shift, end = a[head], ref[head], shift[head], reach[np.concatenate([head[1:], [len(reach)]]) - 1]
+    order = np.lexsort((ref, -end, a))
+    factors, at, furthest, best = [], 0, 0, -1
+    starts, ends = a[order].tolist(), end[order].tolist()
+    i = 0
+    while True:
+        while i < len(starts) and starts[i] <= at:
+            if ends[i] > furthest:
+                furthest, best = ends[i], i
+            i += 1
+        if furthest > at:
+            row = order[best]
+            factors.append((at, furthest - at, int(ref[row]), at + int(shift[row])))
+            at = furthest
+        elif i < len(starts):
+            at = starts[i]
+        else:
+            return np.array(factors, np.int64)
+
+
+def _parsed(n_words: int, found: pa.StructArray | None) -> np.ndarray:
+    """parse() of a document's matches as they are gathered."""
+    if found is None:
+        return np.zeros((0, 4), np.int64)
+    return parse(n_words, *[found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "n", "ref", "ref_a")])
+
+
+def _covered(n_words: int, factors: np.ndarray) -> np.ndarray:
+    """Which words the factors cover."""
+    gone = np.zeros(n_words, bool)
+    for at, length in factors[:, :2].tolist():
+        gone[at : at + length] = True
+    return gone
+
+
+def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, rows = [], []
+        for key, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found"), strict=True):
+            own = _parsed(len(words_of(text.as_py())), found.values)
+            doc += [key] * len(own)
+            rows.append(own)
+        table = np.concatenate([np.zeros((0, 4), np.int64), *rows])
+        refs = pa.array(table[:, 2], mask=table[:, 2] == LAST_ID)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(table[:, 0]), pa.array(table[:, 1]), refs, pa.array(table[:, 3])], names=["doc_id", "word", "n_words", "ref_id", "ref_word"])
+
+
+def _with_matches(docs: DataFrame, how: str) -> DataFrame:
+    found = matches(docs).groupBy("doc").agg(F.collect_list(F.struct("a", "n", "ref", "ref_a")).alias("found")).withColumnRenamed("doc", "of")
+    source = keyed(docs)
+    return source.join(found, source.key == found["of"], how).select("doc_id", "text", "found")
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """doc_id, word, n_words, ref_id and ref_word: the factors of docs' relative Lempel-Ziv parse, in no order.
+
+    n_words words from the word-th on (from 0) stand in document ref_id, too,
+    from its ref_word-th on, earlier in the order of doc_id and place; words
+    without a factor are literals. What is said of rows at without_repeats()
+    holds here. The rows of a repeated doc_id are parsed each.
+    """
+    return _with_matches(docs, "inner").mapInArrow(_factored, "doc_id long, word long, n_words long, ref_id long, ref_word long")
 
 
 def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             words = words_of(text.as_py())
             n_words.append(len(words))
-            if spans.is_valid:
-                gone = _marked(len(words), spans)
+            if found.is_valid:
+                gone = _covered(len(words), _parsed(len(words), found.values))
                 words = list(compress(words, (~gone).tolist()))
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
@@ -253,13 +338,12 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     doc_id comes after all others. Rows that repeat a doc_id count as one
     document listed more than once: they are no copies of each other, and what
     is found in one of them goes from all. Other columns are ignored; no rows
-    give no rows. Equality of blocks and windows is that of 128-bit hashes.
+    give no rows. A text is one task's work, in memory of some 25 bytes for each
+    byte of it. Equality of blocks (at most 32 words) and windows is that of
+    128-bit hashes of the words' XXH64.
     """
-    source = keyed(docs)
-    gone = duplicate_blocks(docs).groupBy("doc").agg(F.collect_list(packed(F.col("a"), F.col("n"))).alias("spans")).withColumnRenamed("doc", "of")
-    joined = source.join(gone, source.key == gone["of"], "left").select("doc_id", "key", "text", "spans")
     last = "kept_sha256" if digest else "kept_text"
-    return joined.mapInArrow(_digested if digest else _stripped, f"doc_id long, n_words long, n_removed long, {last} string")
+    return _with_matches(docs, "left").mapInArrow(_digested if digest else _stripped, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
 ORACLE = r"""

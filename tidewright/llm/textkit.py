@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The white space that separates words: a space and the controls from tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
@@ -23,6 +25,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def hashed_words(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """XXH64 of each word of a text; its words exist as objects for one piece of the text at a time."""
+    out, at = [], 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + piece) if at + piece < len(text) else None
+        end = cut.start() if cut else len(text)
+        words = text[at:end].split()
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def hashed_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hashed_words() of consecutive rows, and the first word of each row (one entry more than rows)."""
+    whole = raw.tobytes()
+    rows = [hashed_words(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    of = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    return (np.concatenate(rows) if rows else np.zeros(0, np.uint64)), of
+
+
 def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
