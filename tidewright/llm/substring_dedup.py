@@ -102,14 +102,15 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
     The rows are the largest that are shuffled, so they are packed: place is a,
     n and the status, an anchor is written where the key isn't it only. A copy
     needs neither anchor nor ids: there stand the document and the place of the
-    block that it equals, and copies that continue each other there are one row,
-    of the sum of their windows.
+    last block before it that it equals, and copies that continue each other
+    there are one row, of the sum of their windows.
     """
     order = np.lexsort((b["a"], docs, b["id2"], b["id1"]))
     docs, b = docs[order], {k: v[order] for k, v in b.items()}
     new = np.concatenate([[True], (b["id1"][1:] != b["id1"][:-1]) | (b["id2"][1:] != b["id2"][:-1])])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = ~new & (docs == docs[head]) & (b["a"] == b["a"][head])
+    listed = ~new & np.concatenate([[False], (docs[1:] == docs[:-1]) & (b["a"][1:] == b["a"][:-1])])
+    run = np.maximum.accumulate(np.where(listed, 0, np.arange(len(docs))))
+    again, before = ~new & new[run], run - 1
     status = np.where(new, SINGLE, COPY)
     _, place, times = np.unique(b["anchor"], return_inverse=True, return_counts=True)
     shared = times[place] > 1
@@ -124,7 +125,7 @@ def _combined(docs: np.ndarray, b: dict[str, np.ndarray]) -> pa.RecordBatch:
     kept = status != COPY
     copied = np.flatnonzero(~kept & ~again)
     copied = copied[np.lexsort((b["a"][copied], docs[copied]))]
-    doc, first, n, ref, ref_a = docs[copied], b["a"][copied], b["n"][copied], docs[head[copied]], b["a"][head[copied]]
+    doc, first, n, ref, ref_a = docs[copied], b["a"][copied], b["n"][copied], docs[before[copied]], b["a"][before[copied]]
     same = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1] + n[:-1]) & (ref[1:] == ref[:-1]) & (ref_a[1:] - ref_a[:-1] == n[:-1])
     cut = np.flatnonzero(np.concatenate([[True], ~same])) if len(doc) else np.zeros(0, np.int64)
     run = np.add.reduceat(n, cut) if len(cut) else n
