@@ -1,7 +1,7 @@
 """Graph operators on edges(edge, from_v, to_v); a null end makes an edge one-sided.
 
-Iterations are driver loops whose every round is a join of narrow tables that
-is written to the shared folder; the driver sees counts only.
+Iterations over large networks are driver loops whose every round is a join of
+narrow tables that is written to the shared folder; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.operators.components import components as _star_components
-from tidewright.storage import written
+from tidewright.storage import discarded, written
+
+#: A network of at most so many edges is gone through on the driver, in one pass; rounds of jobs are for larger ones. The number is checked each time.
+DRIVER_EDGES = 100_000
+
+
+def _few(edges: DataFrame) -> list[tuple] | None:
+    """(from_v, to_v) of all edges, ends that are null included, if they are few."""
+    rows = edges.select("from_v", "to_v").limit(DRIVER_EDGES + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= DRIVER_EDGES else None
+
+
+def _neighbours(pairs: list[tuple]) -> dict:
+    near: dict = {}
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
+def _walk(near: dict, starts: list) -> dict:
+    """{vertex: (rank, smallest neighbour one step nearer)} from starts on."""
+    found, front, rank = {v: (0, None) for v in starts}, list(starts), 0
+    while front:
+        rank += 1
+        fresh: dict = {}
+        for v in front:
+            for w in near.get(v, ()):
+                if w not in found:
+                    fresh[w] = min(fresh.get(w, v), v)
+        found |= {w: (rank, v) for w, v in fresh.items()}
+        front = list(fresh)
+    return found
+
+
+def _peeled(pairs: list[tuple]) -> dict:
+    """{vertex: level}; raises on cycles."""
+    after: dict = {}
+    left: dict = {}
+    for a, b in pairs:
+        left.update({v: left.get(v, 0) for v in (a, b) if v is not None})
+    for a, b in {(a, b) for a, b in pairs if a is not None and b is not None}:
+        after.setdefault(a, []).append(b)
+        left[b] += 1
+    level, ready = {}, [v for v, n in left.items() if n == 0]
+    at = 0
+    while ready:
+        level |= dict.fromkeys(ready, at)
+        at += 1
+        coming = []
+        for v in ready:
+            for w in after.get(v, ()):
+                left[w] -= 1
+                if left[w] == 0:
+                    coming.append(w)
+        ready = coming
+    if len(level) < len(left):
+        raise ValueError("the graph has a cycle")
+    return level
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -62,6 +121,13 @@ def oriented(edges: DataFrame, flow: str = "flow") -> DataFrame:
 def components(edges: DataFrame, keep: Column | None = None) -> DataFrame:
     """(vertex, component): connected parts of the graph of the edges that keep allows; isolated vertices are parts of their own."""
     allowed = edges if keep is None else edges.filter(keep)
+    if (few := _few(allowed)) is not None:
+        near, root = _neighbours(few), {}
+        for v in sorted(near):
+            if v not in root:
+                root |= dict.fromkeys(_walk(near, [v]), v)
+        table = edges.sparkSession.createDataFrame([(int(v), int(r)) for v, r in root.items()], "vertex long, root long")
+        return vertices(edges).join(F.broadcast(table), "vertex", "left").select("vertex", F.coalesce("root", F.col("vertex").cast("long")).alias("component"))  # at most two for each of DRIVER_EDGES
     rooted = _star_components(allowed.filter("from_v is not null and to_v is not null").select(F.col("from_v").cast("long").alias("u"), F.col("to_v").cast("long").alias("v")))
     return vertices(edges).join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("vertex", F.coalesce("root", F.col("vertex").cast("long")).alias("component"))
 
@@ -89,6 +155,10 @@ def boundary(edges: DataFrame, inside: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(vertex, rank, before): least number of edges, in either direction, from starts(vertex), and the smallest neighbour one step nearer."""
+    kind = edges.schema["from_v"].dataType.simpleString()
+    if (few := _few(edges)) is not None:
+        found = _walk(_neighbours(few), [r["vertex"] for r in starts.select("vertex").distinct().collect()])
+        return edges.sparkSession.createDataFrame([(v, r, b) for v, (r, b) in found.items()], f"vertex {kind}, rank int, before long")
     both = edges.select(F.col("from_v").alias("u"), F.col("to_v").alias("v")).unionByName(edges.select(F.col("to_v").alias("u"), F.col("from_v").alias("v"))).filter("u is not null and v is not null and u <> v").distinct()
     both = written(both, "hops")
     layers = Layers(written(starts.select("vertex").distinct().select("vertex", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("before")), "hops"))
@@ -143,6 +213,8 @@ def levels(edges: DataFrame) -> DataFrame:
     Each round peels the vertices without edges left from the remaining part
     and hands the rest one more level.
     """
+    if (few := _few(edges)) is not None:
+        return edges.sparkSession.createDataFrame(list(_peeled(few).items()), f"vertex {edges.schema['from_v'].dataType.simpleString()}, level int")
     left = edges.filter("from_v is not null and to_v is not null").select("from_v", "to_v").distinct()
     rest = written(vertices(edges), "levels")
     layers, level = None, 0
@@ -155,7 +227,8 @@ def levels(edges: DataFrame) -> DataFrame:
             layers = Layers(ready)
         else:
             layers.add(ready)
-        rest = written(rest.join(ready.select("vertex"), "vertex", "left_anti"), "levels")
+        peeled, rest = rest, written(rest.join(ready.select("vertex"), "vertex", "left_anti"), "levels")
+        discarded(peeled)
         level += 1
     return layers.all() if layers else rest.withColumn("level", F.lit(0))
 

@@ -7,10 +7,8 @@ the windows are cut into slices of time first (see around()).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +27,18 @@ def period(tags: DataFrame) -> DataFrame:
 
 
 def grid(bounds: DataFrame, step_seconds: int) -> DataFrame:
-    """(step, t) from t_start on, every step_seconds, t_end exclusive."""
-    last = F.col("t_end") - F.expr("interval 1 microsecond")
-    listed = bounds.filter("t_start < t_end").select(F.posexplode(F.sequence("t_start", last, F.expr(f"interval {step_seconds} seconds"))))
-    return listed.select(F.col("pos").cast("long").alias("step"), F.col("col").alias("t"))
+    """(step, t) from t_start on, every step_seconds, t_end exclusive.
+
+    The two bounds come to the driver, so that the steps are a range that is
+    dealt over tasks, however many there are.
+    """
+    kind = bounds.schema["t_start"].dataType
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    row = bounds.select(micros("t_start").alias("a"), micros("t_end").alias("b")).first()
+    spark = bounds.sparkSession
+    n = 0 if row is None or row["a"] is None or row["b"] is None else max(0, -(-(row["b"] - row["a"]) // (step_seconds * 1_000_000)))
+    start = F.lit(row["a"] if n else 0)
+    return spark.range(n).select(F.col("id").alias("step"), F.timestamp_micros(start + F.col("id") * step_seconds * 1_000_000).cast(kind).alias("t"))
 
 
 def around(points: DataFrame, tags: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
@@ -124,40 +130,29 @@ def centred_mean(tags: DataFrame, width: int) -> DataFrame:
 def smoothed(tags: DataFrame, alpha: float, slice_seconds: int = 86_400) -> DataFrame:
     """(tag, ts, value, smooth) with smooth = alpha * value + (1 - alpha) * smooth before, from the first value on.
 
-    The recurrence is linear: each slice of time runs from zero on its own, and
-    what the slices before leave decays over it. Only the slices' ends, one row
-    each, are gone through tag by tag.
+    The recurrence is linear: within a part of a slice of time, smooth is a
+    running sum of values weighted by powers of 1 / (1 - alpha), and what the
+    parts before leave decays over it. Parts are short enough for the powers.
+    Only the parts' ends, one row each, are gone through tag by tag. Ties in ts
+    are taken in order of value.
     """
+    if alpha >= 1:
+        return tags.filter("value is not null").select("tag", "ts", "value", F.col("value").alias("smooth"))
     keep = 1.0 - alpha
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, y, i = None, 0.0, 0
-        for rows in parts:
-            own, place = np.empty(len(rows)), np.empty(len(rows), np.int64)
-            for k, (tag, piece, x) in enumerate(zip(rows["tag"].tolist(), rows["slice"].tolist(), rows["value"].tolist(), strict=True)):
-                if now != (tag, piece):
-                    now, y, i = (tag, piece), 0.0, 0
-                y = alpha * x + keep * y
-                i += 1
-                own[k], place[k] = y, i
-            yield rows.assign(own=own, place=place)
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slice").reset_index(drop=True)
-        y, before = rows["first"].iloc[0] if len(rows) else 0.0, []
-        for n, end in zip(rows["n"], rows["end"], strict=True):
-            before.append(y)
-            y = end + keep**n * y
-        return pd.DataFrame({"tag": rows["tag"], "slice": rows["slice"], "carried": before})
-
-    tag = tags.schema["tag"].dataType.simpleString()
-    ts = tags.schema["ts"].dataType.simpleString()
+    longest = max(1, min(100_000, int(500 / -math.log(keep)))) if keep < 1 else 100_000
+    within = Window.partitionBy("tag", "slice")
     sliced = tags.filter("value is not null").select("tag", "ts", "value", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds).alias("slice"))
-    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    alone = sliced.repartition(parts, "tag", "slice").sortWithinPartitions("tag", "slice", "ts").mapInPandas(run, f"tag {tag}, ts {ts}, value double, slice long, own double, place long")
-    ends = alone.groupBy("tag", "slice").agg(F.count(F.lit(1)).alias("n"), F.max_by("own", "place").alias("end"), F.min_by("value", "place").alias("first"))
-    carried = ends.groupBy("tag").applyInPandas(carry, f"tag {tag}, slice long, carried double")
-    return alone.join(carried, ["tag", "slice"]).select("tag", "ts", "value", (F.col("own") + F.pow(F.lit(keep), "place") * F.col("carried")).alias("smooth"))
+    placed = sliced.withColumn("nth", F.row_number().over(within.orderBy("ts", "value")) - 1).withColumn("part", F.floor(F.col("nth") / longest)).withColumn("place", F.col("nth") % longest + 1)
+    part = Window.partitionBy("tag", "slice", "part")
+    so_far = part.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    power = lambda n: F.pow(F.lit(keep), n)
+    alone = placed.withColumn("own", alpha * power(F.col("place")) * F.sum(F.col("value") * power(-F.col("place"))).over(so_far))
+    ends = alone.groupBy("tag", "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("own", "place").alias("end"), F.min_by("value", "place").alias("first"))
+    listed = ends.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("slice", "part", "n", "end", "first"))).alias("ends"))
+    start = F.array(F.get("ends", 0)["first"])
+    left = F.aggregate("ends", start, lambda acc, e: F.concat(acc, F.array(e["end"] + power(e["n"]) * F.element_at(acc, -1))))
+    carried = listed.select("tag", F.explode(F.arrays_zip("ends", left.alias("left"))).alias("e")).filter("e.ends is not null").select("tag", "e.ends.slice", "e.ends.part", F.col("e.left").alias("carried"))
+    return alone.join(carried, ["tag", "slice", "part"]).select("tag", "ts", "value", (F.col("own") + power(F.col("place")) * F.col("carried")).alias("smooth"))
 
 
 def lag_correlations(a: DataFrame, b: DataFrame, most_lag: int) -> DataFrame:

@@ -52,8 +52,8 @@ def _points(spark, sf_dir):
     """Every tag at every hour from the day's start on, as points to look up."""
     rows = tags(spark, sf_dir)
     bounds = rows.agg(F.date_trunc("hour", F.min("ts")).alias("t_start"), F.date_trunc("hour", F.max("ts")).alias("t_end"))
-    hours = bounds.select(F.sequence("t_start", "t_end", F.expr("interval 1 hour")).alias("hours"))
-    return rows, rows.select("tag").distinct().join(F.broadcast(hours)).select("tag", F.explode("hours").alias("t"))
+    hours = series.grid(bounds.select("t_start", (F.col("t_end") + F.expr("interval 1 hour")).alias("t_end")), 3600).select("t")
+    return rows, rows.select("tag").distinct().crossJoin(hours)  # each tag at each hour is what is asked for
 
 
 def interp_linear(spark, sf_dir):
