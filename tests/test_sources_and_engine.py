@@ -6,11 +6,11 @@ import pytest
 from tidewright.engine import Engine
 from tidewright.sources import results, schemes, tags
 
-TOPOLOGY = {"Src1": {"to": 0}, "Pipe": {"from": 0, "to": 1}, "Uzr": {"from": 1, "to": 2}, "Sink": {"from": 2}, "Src2": {"to": 1}}
+TOPOLOGY = {"WellA": {"to": 0}, "Main": {"from": 0, "to": 1}, "Gate": {"from": 1, "to": 2}, "Depot": {"from": 2}, "WellB": {"to": 1}}
 OBJECTS = {
-    "pipe": {"Pipe": {"X_start": 0, "X_end": 3000, "Diameter": 0.7, "Tags": {"vol_flow_std_in": {"Tag": "F1", "Dim": "m3/h"}}}},
-    "source": {"Src1": {"std_volflow": 0.5, "density": 870}, "Src2": {"std_volflow": 0.1, "is_initially_zeroflow": True}, "Sink": {"pressure": 1e5}},
-    "lumped": {"Uzr": {}},
+    "pipe": {"Main": {"X_start": 0, "X_end": 3000, "Diameter": 0.7, "Tags": {"vol_flow_std_in": {"Tag": "F1", "Dim": "m3/h"}}}},
+    "source": {"WellA": {"std_volflow": 0.5, "density": 870}, "WellB": {"std_volflow": 0.1, "is_initially_zeroflow": True}, "Depot": {"pressure": 1e5}},
+    "lumped": {"Gate": {}},
 }
 
 
@@ -19,24 +19,24 @@ def folder(tmp_path):
     (tmp_path / "topology.json").write_text(json.dumps(TOPOLOGY))
     for kind, named in OBJECTS.items():
         (tmp_path / f"{kind}_data.json").write_text(json.dumps(named))
-    (tmp_path / "tags.json").write_text(json.dumps({"Uzr": {"density_std_out": "R1", "valve_state_scada": "V1"}}))
+    (tmp_path / "tags.json").write_text(json.dumps({"Gate": {"density_std_out": "R1", "valve_state_scada": "V1"}}))
     return tmp_path
 
 
 def test_scheme(spark, folder):
     s = schemes.read_scheme(spark, str(folder), str(folder / "tags.json"))
     edges = {r["name"]: r for r in s.edges.collect()}
-    assert {n for n, r in edges.items() if r["edge_type"] == "Edge1"} == {"Src1", "Src2", "Sink"}
+    assert {n for n, r in edges.items() if r["edge_type"] == "Edge1"} == {"WellA", "WellB", "Depot"}
     assert sorted(r["edge"] for r in edges.values()) == [0, 0, 1, 1, 2]
-    assert {tuple(r) for r in s.tags.collect()} == {("Pipe", "vol_flow_std", "Inlet", "F1", "m3/h"), ("Uzr", "density_std", "Outlet", "R1", "")}
-    assert [tuple(r) for r in s.controls.collect()] == [("Uzr", "valve_state_scada", "V1")]
+    assert {tuple(r) for r in s.tags.collect()} == {("Main", "vol_flow_std", "Inlet", "F1", "m3/h"), ("Gate", "density_std", "Outlet", "R1", "")}
+    assert [tuple(r) for r in s.controls.collect()] == [("Gate", "valve_state_scada", "V1")]
     assert s.objects["source"].filter("is_initially_zeroflow").count() == 1
     assert schemes.lumped_states(s.objects).collect()[0]["is_opened"]
 
 
 @pytest.mark.parametrize(("change", "message"), [({"Extra": {"from": 0, "to": 2}}, "edges without"), (None, "objects without")])
 def test_integrity(spark, folder, change, message):
-    edges = TOPOLOGY | change if change else {k: v for k, v in TOPOLOGY.items() if k != "Src2"}
+    edges = TOPOLOGY | change if change else {k: v for k, v in TOPOLOGY.items() if k != "WellB"}
     (folder / "topology.json").write_text(json.dumps(edges))
     with pytest.raises(ValueError, match=message):
         schemes.read_scheme(spark, str(folder))
@@ -67,9 +67,9 @@ def test_synthetic_tags_are_reproducible(spark):
 
 
 def test_bounds(spark):
-    text = json.dumps({"layers": [{"step": "1", "transport_measurements": [{"edge": "Pipe", "type": "vol_flow_std_in", "value": 0.5}, {"vertex": 2, "type": "density_std", "value": 860}], "controls": {"valves": {"V": {"opening": 0.5}}, "sources": {"S": {"pressure": 1e6}}}}, {"step": "2", "controls": {"valves": {"V": {"opening": 0}}}}]})
+    text = json.dumps({"layers": [{"step": "1", "transport_measurements": [{"edge": "Main", "type": "vol_flow_std_in", "value": 0.5}, {"vertex": 2, "type": "density_std", "value": 860}], "controls": {"valves": {"V": {"opening": 0.5}}, "sources": {"S": {"pressure": 1e6}}}}, {"step": "2", "controls": {"valves": {"V": {"opening": 0}}}}]})
     measurements, controls = schemes.bounds(spark, text, inline=True)
-    assert {(r["step"], r["name"], r["vertex"], r["mtype"], r["side"], r["value"]) for r in measurements.collect()} == {("1", "Pipe", None, "vol_flow_std", "Inlet", 0.5), ("1", None, 2, "density_std", None, 860.0)}
+    assert {(r["step"], r["name"], r["vertex"], r["mtype"], r["side"], r["value"]) for r in measurements.collect()} == {("1", "Main", None, "vol_flow_std", "Inlet", 0.5), ("1", None, 2, "density_std", None, 860.0)}
     assert {(r["step"], r["kind"], r["name"], r["is_opened"], r["pressure"]) for r in controls.collect()} == {("1", "valve", "V", True, None), ("1", "source", "S", None, 1e6), ("2", "valve", "V", False, None)}
     with pytest.raises(Exception, match="pumps"):
         schemes.bounds(spark, json.dumps({"controls": {"pumps": {"P": "x"}, "valves": {"V": {"opening": 1}}}}), inline=True)[1].collect()
@@ -85,15 +85,15 @@ def test_results_round_trip(spark, tmp_path):
 
 
 def test_engine_steps_carry_density_along():
-    objects = {"pipe": {"Pipe": {"X_start": 0, "X_end": 3000, "Diameter": 0.7}}, "valve": {"Uzr": {"initial_opening": 1.0, "xi": 2.0, "diameter": 0.5}}, "source": OBJECTS["source"]}
+    objects = {"pipe": {"Main": {"X_start": 0, "X_end": 3000, "Diameter": 0.7}}, "valve": {"Gate": {"initial_opening": 1.0, "xi": 2.0, "diameter": 0.5}}, "source": OBJECTS["source"]}
     engine = Engine.from_json(json.dumps(TOPOLOGY), json.dumps(objects))
     assert engine.solve()
-    assert math.isclose(engine.flows["Uzr"], 0.6, abs_tol=1e-6) and engine.pressures[0] > engine.pressures[1] > 1e5
+    assert math.isclose(engine.flows["Gate"], 0.6, abs_tol=1e-6) and engine.pressures[0] > engine.pressures[1] > 1e5
     n = math.ceil(3000 * math.pi * 0.49 / 4 / 0.5 / 60)
     for _ in range(2 * n):
         assert engine.step(60.0)
-    assert abs(engine.cells["Pipe"][-1] - 870) < 1 and engine.trust["Pipe"][-1] > 0.95
-    assert json.loads(engine.results())["layers"][0]["buffers"]["pipes"]["Pipe"]["profiles"]["density_std_confidence"][-1] == "true"
+    assert abs(engine.cells["Main"][-1] - 870) < 1 and engine.trust["Main"][-1] > 0.95
+    assert json.loads(engine.results())["layers"][0]["buffers"]["pipes"]["Main"]["profiles"]["density_std_confidence"][-1] == "true"
     again = Engine.from_json(json.dumps(TOPOLOGY), json.dumps(objects))
     again.restore(engine.state())
     assert again.time == engine.time

@@ -54,13 +54,20 @@ class Engine:
         return cls(edges)
 
     def control(self, bounds: str) -> None:
-        """Apply controls {valves: {name: {opening}}, sources: {name: {pressure, std_vol_flow, density_std_out}}}; what isn't named stays."""
+        """Apply controls {valves, resistances, check_valves: {name: {opening or is_opened}}, pumps: {name: {is_running, frequency}}, sources: {name: {pressure, std_vol_flow, density_std_out}}}; what isn't named stays."""
         given = json.loads(bounds)
         given = given.get("controls", given)
-        if given.get("pumps") or given.get("improvers"):
-            raise ValueError("controls of pumps and improvers aren't supported")
-        for name, c in given.get("valves", {}).items():
+        if given.get("improvers"):
+            raise ValueError("controls of improvers aren't supported")
+        for name, c in {**given.get("valves", {}), **given.get("resistances", {}), **given.get("check_valves", {})}.items():
             self.edges[name]["params"]["opening"] = c["opening"] if "opening" in c else float(c["is_opened"])
+        for name, c in given.get("pumps", {}).items():
+            if self.edges.get(name, {}).get("kind") != "pump":
+                raise ValueError(f"controls of pumps name what isn't one: {name}")
+            if "is_running" in c:
+                self.edges[name]["params"]["is_started"] = bool(c["is_running"])
+            if "frequency" in c:
+                self.edges[name]["params"]["frequency"] = float(c["frequency"])
         for name, c in given.get("sources", {}).items():
             e = self.edges[name]
             if "pressure" in c:
@@ -72,7 +79,8 @@ class Engine:
     def solve(self, bounds: str = "{}") -> bool:
         """Steady pressures and flows; pipes are filled with what comes in at their start."""
         self.control(bounds)
-        self.pressures, self.flows, converged = hydraulics.solve_network(list(self.edges.values()), start=self.pressures or None)
+        start = {v: p for v, p in self.pressures.items() if p is not None}
+        self.pressures, self.flows, converged = hydraulics.solve_network(list(self.edges.values()), start=start or None)
         for name, e in self.edges.items():
             if e["kind"] == "pipe" and name not in self.cells:
                 n, _ = advection.uniform_cells(e["params"]["length"])

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewright.functions.scalar import GRAVITY
+from tidewright.functions import profiles
+from tidewright.functions.scalar import GRAVITY, OPEN_ABOVE
 
 #: A flow changes by at least this per pascal, which keeps closed edges solvable.
 LEAST_SLOPE = 1e-9
-NEWTON_ROUNDS, NEWTON_STEP = 100, 1e-6
+#: Pascals over which the first round's slopes are taken, each way.
+FIRST_REACH = 1e5
+NEWTON_ROUNDS, NEWTON_STEP, LAST_STEPS = 100, 1e-6, 3
 
 
 def _signed_root(x: float) -> float:
@@ -31,7 +35,7 @@ def quadratic_law(p_in: float, p_out: float, params: dict) -> float:
 
 def local_law(p_in: float, p_out: float, params: dict) -> float:
     """A valve or another local resistance; closed below an opening of a thousandth."""
-    if params.get("opening", 1.0) <= 1e-3:
+    if params.get("opening", 1.0) <= OPEN_ABOVE:
         return 0.0
     area = math.pi * params["diameter"] ** 2 / 4
     return area * _signed_root(2 * (p_in - p_out) / (params["xi"] * params.get("density", 850.0)))
@@ -85,92 +89,238 @@ def pipe_law(p_in: float, p_out: float, params: dict) -> float:
     return bracketed_root(f, -reach, reach)
 
 
+#: Effective diameter and resistance of a stopped pump; flows, in m3/h, that head curves hold for.
+STOPPED_DIAMETER, STOPPED_RESISTANCE = 0.1, 100.0
+CURVE_FLOWS = (0.0, 6000.0)
+HOUR = 3600.0
+
+
+def pump_curve(params: dict) -> list[tuple]:
+    """The head curve, in metres over m3/h, of a scheme's head_characteristic or of numbers head_0 to head_3."""
+    given = params.get("head_characteristic")
+    coefficients = list(given) if given is not None else [params[f"head_{i}"] for i in range(4) if f"head_{i}" in params]
+    if not coefficients:
+        raise ValueError("a pump needs a head_characteristic")
+    return profiles.head_curve([*coefficients, *[0.0] * (4 - len(coefficients))], *CURVE_FLOWS)
+
+
+def pump_ratio(params: dict) -> float:
+    """Relative frequency times what is left of the wheel; the frequency is relative as schemes have it (initial_frequency), or changed by control (frequency)."""
+    return params.get("frequency", params.get("initial_frequency") or 1.0) * (1.0 - (params.get("rotor_wheel_reducing") or 0.0))
+
+
 def pump_law(p_in: float, p_out: float, params: dict) -> float:
-    """A running pump's flow by its falling head curve head = a - b * Q**2; a stopped one is an open resistance."""
+    """A running pump's flow at the head between its ends, on its curve at its speed; a stopped one is an open resistance, whatever the direction."""
     rho = params.get("density", 850.0)
-    if not params.get("is_started", True):
-        return local_law(p_in, p_out, {"diameter": 0.1, "xi": 100.0, "density": rho})
-    ratio = params.get("frequency", 50.0) / params.get("nominal_frequency", 50.0)
-    return _signed_root((params["head"] * ratio**2 - (p_out - p_in) / (rho * GRAVITY)) / params["fall"])
+    if not params.get("is_started", params.get("is_initially_started", True)):
+        return local_law(p_in, p_out, {"diameter": STOPPED_DIAMETER, "xi": STOPPED_RESISTANCE, "density": rho})
+    if "fall" in params:  # head - fall * Q**2, in m3/s
+        return _signed_root((params["head"] * pump_ratio(params) ** 2 - (p_out - p_in) / (rho * GRAVITY)) / params["fall"])
+    if "curve" not in params:
+        params["curve"] = pump_curve(params)
+    return profiles.flow_at(params["curve"], (p_out - p_in) / (rho * GRAVITY), pump_ratio(params)) / HOUR
 
 
-LAWS: dict[str, Callable[[float, float, dict], float]] = {"resistance": quadratic_law, "local": local_law, "valve": local_law, "check_valve": local_law, "pipe": pipe_law, "pump": pump_law}
+def pump_power(flow: float, params: dict) -> float:
+    """Watts that a running pump takes: lifting the flow by its head, over its efficiency."""
+    rate = flow * HOUR
+    head = profiles.head_at(params.get("curve") or pump_curve(params), rate, pump_ratio(params))
+    efficiency = sum(c * rate**i for i, c in enumerate(params["efficiency_characteristic"]))
+    return params.get("density", 850.0) * GRAVITY * head * flow / efficiency
 
 
-def solve_network(edges: list[dict], spread: float = 0.0, start: dict | None = None) -> tuple[dict, dict, bool]:
-    """(pressure by vertex, flow by edge, whether it converged).
+LAWS: dict[str, Callable[[float, float, dict], float]] = {"resistance": quadratic_law, "local": local_law, "valve": local_law, "check_valve": local_law, "pipe": pipe_law, "pump": pump_law}
 
-    edges have edge, from_v, to_v and either kind and params (two-sided), or,
-    one-sided, pressure or flow. Each part without a given pressure is an error.
-    Newton steps are halved while they don't lessen the residual.
+#: Fixed value: kinds that a closing cuts in two.
+SPLITTABLE = frozenset(["local", "valve", "check_valve"])
+#: A part of more unknown pressures than this is solved by conjugate gradients over its edges, a smaller one by elimination.
+ELIMINATE = 300
+
+
+def is_closed(e: dict) -> bool:
+    return e["kind"] in SPLITTABLE and (e.get("params") or {}).get("opening", 1.0) <= OPEN_ABOVE
+
+
+@dataclass
+class Part:
+    """A connected part of a network without its closed edges: numbers of its vertices, edges between them, given pressures and inflows."""
+
+    vertices: list
+    edges: list[dict] = field(default_factory=list)
+    given: dict = field(default_factory=dict)
+    inflow: dict = field(default_factory=dict)
+
+
+def split(edges: list[dict]) -> list[Part]:
+    """The parts that closed objects leave, in order of their smallest vertex."""
+    root: dict = {}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for e in edges:
+        ends = [v for v in (e["from_v"], e["to_v"]) if v is not None]
+        for v in ends:
+            root.setdefault(v, v)
+        if len(ends) == 2 and not is_closed(e):
+            a, b = find(ends[0]), find(ends[1])
+            root[max(a, b)] = min(a, b)
+    parts = {}
+    for v in sorted(root):
+        parts.setdefault(find(v), Part([])).vertices.append(v)
+    for e in edges:
+        ends = [v for v in (e["from_v"], e["to_v"]) if v is not None]
+        part = parts[find(ends[0])]
+        if len(ends) == 2:
+            if not is_closed(e):
+                part.edges.append(e)
+        elif e.get("pressure") is not None:
+            part.given[ends[0]] = float(e["pressure"])
+        elif e.get("flow"):
+            part.inflow[ends[0]] = part.inflow.get(ends[0], 0.0) + (1.0 if e["from_v"] is None else -1.0) * float(e["flow"])
+    return list(parts.values())
+
+
+def _solved(size: int, a: np.ndarray, b: np.ndarray, slope_in: np.ndarray, slope_out: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The Newton step: a and b are the places of edges' ends among the unknown pressures, -1 for a given one."""
+    if size > ELIMINATE and np.allclose(slope_in, -slope_out, rtol=1e-6):
+        x, inner = np.zeros(size), (a >= 0, b >= 0)
+        diagonal = np.zeros(size)
+        np.add.at(diagonal, a[inner[0]], slope_in[inner[0]])
+        np.add.at(diagonal, b[inner[1]], slope_in[inner[1]])
+
+        def times(v):
+            through = slope_in * (np.where(inner[0], v[a], 0.0) - np.where(inner[1], v[b], 0.0))
+            out = np.zeros(size)
+            np.add.at(out, a[inner[0]], through[inner[0]])
+            np.add.at(out, b[inner[1]], -through[inner[1]])
+            return out
+
+        left = r.copy()
+        z = left / diagonal
+        way, now = z.copy(), left @ z
+        for _ in range(10 * size):
+            if np.abs(left).max() <= 1e-13 * max(1e-300, np.abs(r).max()):
+                break
+            moved = times(way)
+            share = now / (way @ moved)
+            x += share * way
+            left -= share * moved
+            z = left / diagonal
+            now, before = left @ z, now
+            way = z + now / before * way
+        return x
+    jacobian = np.zeros((size, size))
+    for i, j, g, h in zip(a, b, slope_in, slope_out, strict=True):
+        for v, sign in ((i, -1.0), (j, 1.0)):
+            if v >= 0:
+                if i >= 0:
+                    jacobian[v, i] += sign * g
+                if j >= 0:
+                    jacobian[v, j] += sign * h
+    return np.linalg.solve(jacobian, -r)
+
+
+def solve_part(part: Part, spread: float = 0.0, start: dict | None = None) -> tuple[dict, dict, bool]:
+    """(pressure by vertex, flow by edge, whether it converged) of a part with a given pressure, by Newton's method.
+
+    Unknown pressures are numbered first. Slopes are taken over a reach that
+    starts wide and is halved each round, as roots are steep at rest. Steps are
+    halved while they don't lessen the residual; once converged, a few full steps
+    with close slopes follow as long as they lessen it.
     """
-    two = [e for e in edges if e["from_v"] is not None and e["to_v"] is not None]
-    one = [e for e in edges if (e["from_v"] is None) != (e["to_v"] is None)]
-    vertices = sorted({v for e in edges for v in (e["from_v"], e["to_v"]) if v is not None})
-    given: dict = {}
-    inflow = dict.fromkeys(vertices, 0.0)
-    for e in one:
-        v, sign = (e["to_v"], 1.0) if e["from_v"] is None else (e["from_v"], -1.0)
-        if e.get("pressure") is not None:
-            given[v] = float(e["pressure"])
-        elif e.get("flow") is not None:
-            inflow[v] += sign * float(e["flow"])
-    if not given:
-        raise ValueError("a network needs a given pressure")
-    unknown = [v for v in vertices if v not in given]
+    unknown = [v for v in part.vertices if v not in part.given]
     place = {v: i for i, v in enumerate(unknown)}
-    mean = float(np.mean(list(given.values())))
+    known = {v: p for v, p in part.given.items()}
+    inflow = np.array([part.inflow.get(v, 0.0) for v in unknown])
+    a, b = (np.array([place.get(e[c], -1) for e in part.edges], int) for c in ("from_v", "to_v"))
+    fixed = [np.array([known.get(e[c], 0.0) for e in part.edges]) for c in ("from_v", "to_v")]
     rng = np.random.default_rng(10)
-    x = np.array([(start or {}).get(v, mean) for v in unknown]) + spread * (rng.random(len(unknown)) - 0.5)
+    x = np.array([(start or {}).get(v, float(np.mean(list(known.values())))) for v in unknown]) + spread * (rng.random(len(unknown)) - 0.5)
 
-    def pressure(v, x):
-        return given[v] if v in given else x[place[v]]
+    def ends(x):
+        return np.where(a >= 0, x[a] if len(x) else 0.0, fixed[0]), np.where(b >= 0, x[b] if len(x) else 0.0, fixed[1])
 
-    def law(e, a, b):
-        return LAWS[e["kind"]](a, b, e.get("params") or {})
+    def law(i, p, q):
+        e = part.edges[i]
+        if e.get("params") is None:
+            e["params"] = {}
+        return LAWS[e["kind"]](float(p), float(q), e["params"])
+
+    def flows(p, q):
+        return np.array([law(i, p[i], q[i]) for i in range(len(part.edges))])
 
     def residual(x):
-        r = np.array([inflow[v] for v in unknown])
-        for e in two:
-            q = law(e, pressure(e["from_v"], x), pressure(e["to_v"], x))
-            if e["from_v"] in place:
-                r[place[e["from_v"]]] -= q
-            if e["to_v"] in place:
-                r[place[e["to_v"]]] += q
+        q = flows(*ends(x))
+        r = inflow.copy()
+        np.add.at(r, a[a >= 0], -q[a >= 0])
+        np.add.at(r, b[b >= 0], q[b >= 0])
         return r
 
-    r, converged = residual(x), not unknown
-    for _ in range(NEWTON_ROUNDS if unknown else 0):
-        jacobian = np.zeros((len(unknown), len(unknown)))
-        for e in two:
-            a, b = pressure(e["from_v"], x), pressure(e["to_v"], x)
-            h = max(1.0, 1e-6 * max(abs(a), abs(b)))
-            slope_in = max((law(e, a + h, b) - law(e, a - h, b)) / (2 * h), LEAST_SLOPE)
-            slope_out = min((law(e, a, b + h) - law(e, a, b - h)) / (2 * h), -LEAST_SLOPE)
-            for v, sign in ((e["from_v"], -1.0), (e["to_v"], 1.0)):
-                if v in place:
-                    if e["from_v"] in place:
-                        jacobian[place[v], place[e["from_v"]]] += sign * slope_in
-                    if e["to_v"] in place:
-                        jacobian[place[v], place[e["to_v"]]] += sign * slope_out
-        step = np.linalg.lstsq(jacobian, -r, rcond=None)[0]
+    r, converged, last = (residual(x) if unknown else np.zeros(0)), not unknown, 0
+    for i in range(NEWTON_ROUNDS if unknown else 0):
+        p, q = ends(x)
+        least = 1e-11 * np.maximum(np.abs(p), np.abs(q)) + 1e-9
+        h = 100 * least if converged else np.maximum(least, FIRST_REACH / 2**i)
+        slope_in = np.maximum((flows(p + h, q) - flows(p - h, q)) / (2 * h), LEAST_SLOPE)
+        slope_out = np.minimum((flows(p, q + h) - flows(p, q - h)) / (2 * h), -LEAST_SLOPE)
+        step = _solved(len(unknown), a, b, slope_in, slope_out, r)
         share = 1.0
         while share > 1e-3 and np.abs(residual(x + share * step)).sum() > np.abs(r).sum() * (1 - 1e-4 * share):
             share /= 2
+        if converged and (share < 1.0 or last == LAST_STEPS):
+            break
         x = x + share * step
         r = residual(x)
-        if np.sqrt(((share * step / np.maximum(1, np.abs(x))) ** 2).sum()) / len(unknown) < NEWTON_STEP and np.abs(r).max() < 1e-5 * max(1.0, max(map(abs, inflow.values()))):
-            converged = True
-            break
-    pressures = {v: float(pressure(v, x)) for v in vertices}
-    flows = {e["edge"]: law(e, pressures[e["from_v"]], pressures[e["to_v"]]) for e in two}
-    net = dict.fromkeys(vertices, 0.0)
-    for e in two:
-        net[e["from_v"]] -= flows[e["edge"]]
-        net[e["to_v"]] += flows[e["edge"]]
-    for e in one:
-        v, sign = (e["to_v"], 1.0) if e["from_v"] is None else (e["from_v"], -1.0)
-        flows[e["edge"]] = float(e["flow"]) if e.get("pressure") is None and e.get("flow") is not None else sign * -(net[v] + inflow[v])
+        last += converged
+        converged |= bool(np.sqrt(((share * step / np.maximum(1, np.abs(x))) ** 2).sum()) / len(unknown) < NEWTON_STEP and np.abs(r).max() < 1e-5 * max(1.0, float(np.abs(inflow).max())))
+    pressures = {v: float(known[v]) if v in known else float(x[place[v]]) for v in part.vertices}
+    return pressures, {e["edge"]: law(i, pressures[e["from_v"]], pressures[e["to_v"]]) for i, e in enumerate(part.edges)}, bool(converged)
+
+
+def solve_network(edges: list[dict], spread: float = 0.0, start: dict | None = None) -> tuple[dict, dict, bool]:
+    """(pressure by vertex, flow by edge, whether all parts converged).
+
+    edges have edge, from_v, to_v and either kind and params (two-sided), or,
+    one-sided, pressure or flow. Closed objects cut the network, and each part
+    is solved on its own. A part without a given pressure carries no flow and
+    has no pressures (None); it is an error if flow is given there. A check
+    valve is a resistance that is open or closed, it doesn't close by itself.
+    """
+    parts = split(edges)
+    if not any(p.given for p in parts):
+        raise ValueError("a network needs a given pressure")
+    pressures, flows, converged = {}, {e["edge"]: 0.0 for e in edges}, True
+    for part in parts:
+        if part.given:
+            p, q, fine = solve_part(part, spread, start)
+            pressures |= p
+            flows |= q
+            converged &= fine
+        elif any(part.inflow.values()):
+            raise ValueError(f"flow is given but no pressure in the part of vertex {part.vertices[0]}")
+        else:
+            pressures |= dict.fromkeys(part.vertices)
+    net = dict.fromkeys(pressures, 0.0)
+    for e in edges:
+        if e["from_v"] is not None and e["to_v"] is not None:
+            net[e["from_v"]] -= flows[e["edge"]]
+            net[e["to_v"]] += flows[e["edge"]]
+    for part in parts:
+        for v, q in part.inflow.items():
+            net[v] += q
+    shared = {}
+    for e in edges:
+        if (e["from_v"] is None) != (e["to_v"] is None):
+            v, sign = (e["to_v"], 1.0) if e["from_v"] is None else (e["from_v"], -1.0)
+            if e.get("pressure") is None:
+                flows[e["edge"]] = float(e.get("flow") or 0.0)
+            else:  # of several at one vertex the first brings what is missing
+                flows[e["edge"]] = 0.0 if v in shared else -sign * net[v]
+                shared[v] = True
     return pressures, flows, converged
 
 
@@ -184,7 +334,7 @@ def nodal_pressures(edges: DataFrame, keys: list[str]) -> DataFrame:
             e["from_v"], e["to_v"] = (None if e[c] is None else int(e[c]) for c in ("from_v", "to_v"))
         pressures, _, converged = solve_network(listed)
         head = {k: rows[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, "vertex": v, "pressure": p, "converged": converged} for v, p in pressures.items()])
+        return pd.DataFrame([{**head, "vertex": v, "pressure": p, "converged": converged} for v, p in pressures.items()])[[*keys, "vertex", "pressure", "converged"]]
 
     types = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
     return edges.groupBy(*keys).applyInPandas(run, f"{types}, vertex long, pressure double, converged boolean")
