@@ -98,14 +98,14 @@ def fv_steps(cells: np.ndarray, inlet: np.ndarray, outlet: np.ndarray, velocity:
 GROUP_ROWS = 1_000_000
 
 
-def advected(inlets: DataFrame, pipes: DataFrame, dt: float, initial: float, substeps: bool = False, profiles: bool = False, states: DataFrame | None = None) -> DataFrame:
+def advected(inlets: DataFrame, pipes: DataFrame, dt: float, initial: float, substeps: bool = False, profiles: bool | str = False, states: DataFrame | None = None) -> DataFrame:
     """(pipe, step, inlet, outlet, confident) for inlets(pipe, step, flow, value, confident) of pipes(pipe, length, diameter).
 
     Step 0 fills the pipe with its inlet's value, or with initial if it has
     none; confidence starts at 0. A null value is what came before. With
     substeps, a step above a Courant number of 1 is cut into equal parts;
-    otherwise it is an error. profiles adds the cells and their trust. Pipes
-    with a row in states(pipe, profile, trust, inlet) go on from there instead.
+    otherwise it is an error. profiles adds the cells and their trust, or, if it
+    is "last", those of each pipe's last step, and null before. Pipes with a row in states(pipe, profile, trust, inlet) go on from there instead.
 
     A pipe's history is one task's work. Pipes of equally many cells share a
     task as far as GROUP_ROWS allows, and are stepped together.
@@ -154,6 +154,8 @@ def advected(inlets: DataFrame, pipes: DataFrame, dt: float, initial: float, sub
             out["inlet"][at], out["outlet"][at], out["confident"][at] = last[:live], cells[np.arange(live), end], trust[np.arange(live), end] > CONFIDENT
             if profiles:
                 for i, row in enumerate(at):
+                    if profiles == "last" and k < size[i] - 1:
+                        continue
                     kept[row], trusted[row] = cells[i].tolist(), trust[i].tolist()
         if profiles:
             out |= {"profile": kept, "trust": trusted}

@@ -49,26 +49,45 @@ def analysed(meters: DataFrame, edges: list[tuple], time: str = "t") -> DataFram
     return flows.reconciled(meters, meters.sparkSession.createDataFrame(rows, f"constraint long, edge {kind}, sign long"), time)
 
 
+def loops_of(edges: list[tuple], metered: list) -> list[list]:
+    """The loops, as lists of two-sided edges, that are left when metered edges are cut."""
+    two = [(e, a, b) for e, a, b in edges if a is not None and b is not None and e not in set(metered)]
+    return [[two[i][0] for i in block] for block in biconnected([(i, a, b) for i, (_, a, b) in enumerate(two)]) if len(block) > 1]
+
+
 def compile_block_flows(edges: list[tuple], metered: list, halve_pairs: bool = False) -> tuple[dict, list, list]:
     """flows.compile_flows() on the tree of blocks: loops are nodes with a balance of their own.
 
-    A bridge or one-sided edge gets the combination of meters that the balances
+    Metered edges cut the network first, so a meter within a loop opens it. A
+    bridge or one-sided edge gets the combination of meters that the balances
     of vertices and blocks give it; an edge within a loop gets none, unless
-    halve_pairs: two parallel edges that are a block each carry half of it. A
-    meter within a loop is an error.
+    halve_pairs: two parallel edges that are a block each carry half of it. The
+    connector of a loop i at a vertex v, as ("into", i, v), is a combination, too.
     """
-    two = [(e, a, b) for e, a, b in edges if a is not None and b is not None]
-    ends = {e: (a, b) for e, a, b in two}
-    number = {e: i for i, (e, _, _) in enumerate(two)}
-    loops = [[two[i][0] for i in block] for block in biconnected([(number[e], a, b) for e, a, b in two]) if len(block) > 1]
+    asked = set(metered)
+    loops = loops_of(edges, metered)
+    ends = {e: (a, b) for e, a, b in edges}
     inside = {e for loop in loops for e in loop}
-    if bad := [m for m in metered if m in inside]:
-        raise ValueError(f"meters within loops: {', '.join(map(str, bad))}")
-    tree = [x for x in edges if x[0] not in inside]
+    tree, halves = [], {}
+    for e, a, b in edges:
+        if e in asked and a is not None and b is not None:
+            halves[e] = (("half", e, 0), ("half", e, 1))
+            tree += [(halves[e][0], a, None), (halves[e][1], None, b)]
+        elif e not in inside:
+            tree.append((e, a, b))
     for i, loop in enumerate(loops):
         for v in sorted({v for e in loop for v in ends[e]}):
             tree.append((("into", i, v), v, ("loop", i)))
-    known, useless, _ = flows.compile_flows(tree, metered)
+    listed = [h for m in metered for h in halves.get(m, (m,))]
+    known, useless, _ = flows.compile_flows(tree, listed)
+    whole = {h: e for e, pair in halves.items() for h in pair}
+    joined: dict = {}
+    for e, combination in known.items():
+        sums: dict = {}
+        for m, c in combination.items():
+            sums[whole.get(m, m)] = sums.get(whole.get(m, m), 0.0) + c
+        joined[e] = {m: c for m, c in sums.items() if c}
+    known = {e: c for e, c in joined.items() if e not in whole} | {e: {e: 1.0} for e in halves}
     if halve_pairs:
         for i, loop in enumerate(loops):
             if len(loop) == 2 and set(ends[loop[0]]) == set(ends[loop[1]]):
@@ -76,8 +95,8 @@ def compile_block_flows(edges: list[tuple], metered: list, halve_pairs: bool = F
                     into = known.get(("into", i, ends[e][0]))
                     if into is not None:
                         known[e] = {m: c / 2 for m, c in into.items()}
-    found = {e: c for e, c in known.items() if not (isinstance(e, tuple) and e[:1] == ("into",))}
-    return found, useless, [e for e, _, _ in edges if e not in found]
+    spare = set(useless)
+    return known, [m for m in metered if all(h in spare for h in halves.get(m, (m,)))], [e for e, _, _ in edges if e not in known]
 
 
 def block_levels(edges: list[tuple], sources: list) -> dict:
