@@ -7,9 +7,9 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.plans import graph, mixtures, networks, pipes, reconcile, series, solvers
+from tidewright.plans import bindings, graph, laws, mixtures, networks, pipes, reconcile, series, solvers
 
-MODULES = [reconcile, series, graph, mixtures, pipes, networks, solvers]
+MODULES = [reconcile, series, graph, bindings, laws, mixtures, pipes, networks, solvers]
 
 
 def _without_zones(query):
