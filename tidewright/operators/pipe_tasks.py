@@ -109,20 +109,20 @@ def identified(history: DataFrame, pipes: DataFrame, dt: float, what: str) -> tu
     All variants of a round run as scenarios of one job, so many pipes and
     variants share the cluster.
     """
-    from tidewright.operators.identify import gauss_newton
+    from tidewright.operators.identify import Products, gauss_newton
 
     if what not in ("friction_factor", "diameter_factor"):
         raise ValueError(f"{what} can't be identified")
     spark = history.sparkSession
 
-    def residuals(vectors: list[np.ndarray]) -> list[np.ndarray]:
+    def residuals(vectors: list[np.ndarray]) -> Products:
         factors = spark.createDataFrame([(i, float(x[0])) for i, x in enumerate(vectors)], "scenario int, factor double")
-        name = lambda c: F.concat_ws("/", F.col("scenario").cast("string"), F.col(c).cast("string"))
+        name = lambda c: F.concat_ws("/", F.col("scenario").cast("string"), F.replace(F.col(c).cast("string"), F.lit("/"), F.lit(" ")))
         many = F.broadcast(factors)  # a handful of variants
         runs = quasistatic(history.join(many).withColumn("pipe", name("pipe")).drop("scenario", "factor"), pipes.join(many).withColumn("pipe", name("pipe")).withColumn(what, F.col("factor")).drop("scenario", "factor"), dt)
         seen = history.join(many).select(name("pipe").alias("pipe"), "step", "scenario", F.col("p_out").alias("seen"))
-        table = runs.join(seen, ["pipe", "step"]).select("scenario", "pipe", "step", ((F.col("p_out") - F.col("seen")) / 1e5).alias("r")).toPandas().sort_values(["scenario", "pipe", "step"])
-        return [table.loc[table["scenario"] == i, "r"].to_numpy() for i in range(len(vectors))]
+        keyed = F.struct(F.substring_index("pipe", "/", -1).alias("pipe"), "step").alias("key")
+        return Products.summed(runs.join(seen, ["pipe", "step"]).select("scenario", keyed, ((F.col("p_out") - F.col("seen")) / 1e5).alias("r")), len(vectors))
 
     x, history_of, outcome = gauss_newton(residuals, np.array([1.0]), (np.array([0.2]), np.array([5.0])))
     return float(x[0]), history_of, outcome

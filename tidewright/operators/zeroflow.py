@@ -47,6 +47,7 @@ def spread_zeros(edges: list[tuple], zeros: set) -> set:
         for v in (a, b):
             if v is not None:
                 at.setdefault(v, set()).add(e)
+    ends = {e: [v for v in (a, b) if v is not None] for e, a, b in edges}
     todo = list(at)
     while todo:
         v = todo.pop()
@@ -54,7 +55,7 @@ def spread_zeros(edges: list[tuple], zeros: set) -> set:
         if len(rest) == 1:
             e = rest.pop()
             known.add(e)
-            todo += [u for u in next((a, b) for x, a, b in edges if x == e) if u is not None]
+            todo += ends[e]
     return known
 
 
@@ -71,10 +72,11 @@ def split(edges: list[tuple], closed: set = frozenset(), zero_sources: set = fro
     whole = open_edges + halves
     zeros = spread_zeros(whole, set(zero_sources) | {h[0] for h in halves})
     moving = [x for x in whole if x[0] not in zeros]
+    one_sided = {e for e, a, b in moving if a is None or b is None}
     out = []
     for names, vertices in _parts(moving):
-        ends = [e for e, a, b in moving if e in set(names) and (a is None or b is None)]
-        out.append(Part(names, vertices, len(ends) >= least_sources))
+        own = set(names) & one_sided
+        out.append(Part(names, vertices, len(own) >= least_sources))
     resting = [x for x in whole if x[0] in zeros]
     for names, vertices in _parts(resting):
         out.append(Part(names, vertices, False, names))

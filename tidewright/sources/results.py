@@ -22,6 +22,13 @@ def write_layers(rows: DataFrame, path: str) -> None:
     rows.select("value").write.mode("overwrite").text(path)
 
 
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(step, name, flow) of the sources of written layers."""
+    shape = "struct<step:string,buffers:struct<sources:map<string,struct<std_volumetric_flow:string>>>>"
+    rows = spark.read.text(path).select(F.from_json("value", shape).alias("l")).select(F.col("l.step").cast("long").alias("step"), F.explode("l.buffers.sources").alias("name", "o"))
+    return rows.select("step", "name", F.col("o.std_volumetric_flow").try_cast("double").alias("flow"))
+
+
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """(step, name, flow, coordinates, profiles) of the pipes of written layers."""
     shape = "struct<step:string,buffers:struct<pipes:map<string,struct<std_volumetric_flow:string,coordinates:array<string>,profiles:map<string,array<string>>>>>>"

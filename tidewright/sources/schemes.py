@@ -32,7 +32,10 @@ class Scheme:
     controls: DataFrame
 
 
-def _documents(spark: SparkSession, source: str | list[str], inline: bool) -> DataFrame:
+def _documents(spark: SparkSession, source: str | list[str] | DataFrame, inline: bool) -> DataFrame:
+    """value: one document a row, from a path, from texts, or from a DataFrame's first column."""
+    if isinstance(source, DataFrame):
+        return source.select(F.col(source.columns[0]).alias("value"))
     if inline:
         return spark.createDataFrame([(s,) for s in ([source] if isinstance(source, str) else source)], "value string")
     return spark.read.text(source, wholetext=True)

@@ -22,12 +22,14 @@ def moment(text: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
+    path_of = F.input_file_name()
+    folder = F.regexp_extract(path_of, r"/tag=([^/]+)/", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract(path_of, r"([^/]+)\.csv$", 1))
     return spark.read.schema("ts string, text string, status string").option("sep", ";").csv(path).select(F.url_decode(name).alias("tag"), moment(F.col("ts")).alias("ts"), F.trim("text").alias("text"), F.trim("status").alias("status"))
 
 
 def read_tags(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, kind: str = "double") -> DataFrame:
-    """tags(tag, ts, value) of all <tag>.csv files that path (a folder or a glob) matches, in one scan; begin and end are both within.
+    """tags(tag, ts, value) of all <tag>.csv files that path (a folder or a glob) matches, or of what write_tags() wrote there, in one scan; begin and end are both within.
 
     kind is double, int or boolean; a boolean other than 0 or 1 raises.
     """
@@ -65,6 +67,11 @@ def write_tags(tags: DataFrame, path: str, by: list[str] | None = None) -> None:
     tags.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, "ts").write.mode("overwrite").partitionBy(*keys).option("sep", ";").csv(path)
 
 
+def write_profile(points: DataFrame, path: str) -> None:
+    """x;height of points(pipe, x, height), below a folder for each pipe, in order of x."""
+    points.select("pipe", F.col("x").cast("string").alias("at"), F.col("height").cast("string").alias("height"), "x").repartition("pipe").sortWithinPartitions("pipe", "x").drop("x").write.mode("overwrite").partitionBy("pipe").option("sep", ";").csv(path)
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """(x, height) of a pipe's profile; decimal comma or point."""
     rows = spark.read.schema("x string, height string").option("sep", ";").csv(path)
