@@ -1,6 +1,6 @@
 """Histories of single pipes: quasi-stationary pressures over advected profiles, temperatures, and fast transients.
 
-Each pipe is one ordered group; its kernels are NumPy over cells.
+A pipe's history is one task's work, and tasks hold several pipes up to a number of rows; kernels are NumPy over cells.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.scalar import GRAVITY
-from tidewright.operators.advection import fv_step, uniform_cells
+from tidewright.operators.advection import GROUP_ROWS, fv_step, uniform_cells
 from tidewright.operators.hydraulics import bracketed_root, friction
 
 
@@ -38,10 +38,19 @@ class Pipe:
         return math.pi * self.inner**2 / 4
 
 
+def frictions(re: np.ndarray, roughness: float) -> np.ndarray:
+    """hydraulics.friction() of many Reynolds numbers."""
+    re = np.maximum(np.abs(re), 1e-12)
+    share = 1 - np.exp(-0.002 * (re - 2320))
+    passage = 64 / re * (1 - share) + 0.3164 / re**0.25 * share
+    turbulent = (-1.8 * np.log10(6.8 / re + (roughness / 3.7) ** 1.1)) ** -2
+    return np.where(re < 2320, 64 / np.maximum(re, 1.0), np.where(re < 4000, passage, turbulent))
+
+
 def gradients(pipe: Pipe, flow: float, density: np.ndarray, viscosity: np.ndarray, reduction: np.ndarray | float = 0.0) -> np.ndarray:
     """dp/dx of each cell: friction, less what an additive takes from it, and the profile's slope. It doesn't depend on pressure."""
     v = flow / pipe.area
-    lam = np.array([friction(v * pipe.inner / nu, pipe.roughness / pipe.inner) for nu in viscosity])
+    lam = frictions(v * pipe.inner / np.asarray(viscosity, float), pipe.roughness / pipe.inner)
     loss = lam * pipe.friction_factor * (1 - reduction) / pipe.inner * density * v * abs(v) / 2
     return -loss - density * GRAVITY * pipe.rise / pipe.length
 
@@ -75,8 +84,7 @@ def quasistatic(history: DataFrame, pipes: DataFrame, dt: float, unsteady: bool
     """
     known = [c for c in ("length", "diameter", "roughness", "rise", "friction_factor", "diameter_factor") if c in pipes.columns]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step").reset_index(drop=True)
+    def one(rows: pd.DataFrame) -> list[tuple]:
         pipe = Pipe(**{c: float(rows[c].iloc[0]) for c in known})
         n, cell = uniform_cells(pipe.length)
         layers = {c: np.full(n, float(rows[c].iloc[0])) for c in ("density", "viscosity", "reduction")}
@@ -93,14 +101,20 @@ def quasistatic(history: DataFrame, pipes: DataFrame, dt: float, unsteady: bool
             profile = (layers["density"], layers["viscosity"], layers["reduction"])
             flow = flow_between(pipe, r.p_in, r.p_out, *profile) if pd.isna(r.flow) else float(r.flow)
             out.append((r.pipe, r.step, flow, r.p_in, outlet_pressure(pipe, flow, r.p_in, *profile)))
-        return pd.DataFrame(out, columns=["pipe", "step", "flow", "p_in", "p_out"])
+        return out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pipe", "step"])
+        return pd.DataFrame([x for _, own in rows.groupby("pipe", sort=False) for x in one(own)], columns=["pipe", "step", "flow", "p_in", "p_out"])
 
     kind = history.schema["pipe"].dataType.simpleString()
     given = history.join(pipes.select("pipe", *known), "pipe")
     for c in ("flow", "p_in", "p_out", "density", "viscosity", "reduction"):
         given = given.withColumn(c, F.col(c).cast("double")) if c in given.columns else given.withColumn(c, F.lit({"reduction": 0.0}.get(c)).cast("double"))
-    given = given.withColumn("step", F.col("step").cast("long"))
-    return given.groupBy("pipe").applyInPandas(run, f"pipe {kind}, step long, flow double, p_in double, p_out double")
+    counted = history.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("pipe").alias("pipes")).first()
+    groups = max(1, math.ceil(counted["rows"] / GROUP_ROWS), min(counted["pipes"], 4 * int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    given = given.withColumn("step", F.col("step").cast("long")).withColumn("group", F.pmod(F.xxhash64("pipe"), F.lit(groups)))
+    return given.groupBy("group").applyInPandas(run, f"pipe {kind}, step long, flow double, p_in double, p_out double")
 
 
 def identified(history: DataFrame, pipes: DataFrame, dt: float, what: str) -> tuple[float, list[float], str]:

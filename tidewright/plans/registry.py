@@ -7,9 +7,9 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.plans import batches, bindings, files, graph, laws, mixtures, networks, pipes, reconcile, series, solvers
+from tidewright.plans import batches, bindings, files, graph, laws, mixtures, networks, pipes, reconcile, series, solved, solvers
 
-MODULES = [reconcile, series, graph, bindings, laws, mixtures, pipes, networks, solvers, batches, files]
+MODULES = [reconcile, series, graph, bindings, laws, mixtures, pipes, networks, solvers, solved, batches, files]
 
 
 def _without_zones(query):
