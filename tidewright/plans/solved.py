@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.functions import profiles
-from tidewright.operators import advection, balance, blocks, compare, flows, hydraulics, identify, mixing, pipe_tasks, transport, zeroflow
+from tidewright.operators import advection, balance, blocks, compare, flows, hydraulics, identify, mixing, pipe_tasks, thermal, transport, zeroflow
 from tidewright.operators.transport import Edge
 from tidewright.plans.networks import _daily
 from tidewright.plans.pipes import _ISAEV
@@ -84,6 +84,22 @@ def pipe_histories(spark, sf_dir):
     return pipe_tasks.quasistatic(history, parts, 60.0).select("pipe", "step", F.round("p_out", 2).alias("p_out"))
 
 
+#: What suppliers' pipes carry at a Courant number of 1: metres, m3/s, heat transfer and cells.
+THERMAL_LENGTH, THERMAL_FLOW, TRANSFER, THERMAL_CELLS = 2000.0, 0.2, 3.0, 10
+
+
+def thermal_histories(spark, sf_dir):
+    """Outlet temperatures of suppliers' pipes, each with its own inlet temperature, until the pipe is replaced and after."""
+    inlet = 290 + F.abs("s_acctbal") / 500
+    velocity = THERMAL_FLOW / (math.pi * 0.25 / 4)
+    history = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("pipe"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("step"), F.lit(THERMAL_FLOW).alias("flow"), F.lit(5e6).alias("p_in"), inlet.alias("temperature"), F.lit(850.0).alias("density"), F.lit(1e-5).alias("viscosity"), F.lit(0.0).alias("fall"), F.lit(280.0).alias("ambient")
+    )
+    pipes = history.select("pipe").distinct().select("pipe", F.lit(THERMAL_LENGTH).alias("length"), F.lit(0.5).alias("diameter"), F.lit(1e-4).alias("roughness"), F.lit(TRANSFER).alias("transfer"))
+    found = thermal.quasistatic(history, pipes, thermal.fastest_step(THERMAL_LENGTH / THERMAL_CELLS, velocity))
+    return found.select("pipe", "step", F.round("t_out", 6).alias("t_out"), F.round("p_out", 2).alias("p_out"))
+
+
 def euler_steps(spark, sf_dir):
     """y' = -0.1 y from the first reading of each user in steps of 1, plain and corrected."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", "ts").alias("start"))
@@ -170,7 +186,7 @@ def friction_identified(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (face_schemes, head_curves, searches, pipe_histories, euler_steps, redundant_parts, cuts_turned, cycle_count, zero_flow_split, loop_transport, confident_places, viscosity_and_trust, friction_identified)
+    for f in (face_schemes, head_curves, searches, pipe_histories, thermal_histories, euler_steps, redundant_parts, cuts_turned, cycle_count, zero_flow_split, loop_transport, confident_places, viscosity_and_trust, friction_identified)
 }
 
 _C = f"{COURANT}::DOUBLE"
@@ -200,6 +216,12 @@ WITH p AS (SELECT p_partkey AS pipe, p_size * 100.0::DOUBLE + 400 AS length, p_s
 v AS (SELECT *, (0.05::DOUBLE + i * 0.1::DOUBLE) / ({math.pi}::DOUBLE * 0.25::DOUBLE / 4) AS v FROM p),
 r AS (SELECT *, v * 0.5::DOUBLE / 1.2e-5::DOUBLE AS re FROM v)
 SELECT pipe, i::BIGINT AS step, round(5e6 - (({_ISAEV.format(k="2e-4")}) / 0.5::DOUBLE * 860 * v * v / 2 + 860 * 9.81::DOUBLE * rise / length) * length, 2) AS p_out FROM r""",
+    "thermal_histories": f"""
+WITH k AS (SELECT {THERMAL_FLOW}::DOUBLE / ({math.pi}::DOUBLE * 0.25::DOUBLE / 4) AS v), r AS (SELECT *, v * 0.5::DOUBLE / 1e-5::DOUBLE AS re FROM k),
+l AS (SELECT *, {_ISAEV.format(k="2e-4")} AS lam FROM r),
+t AS (SELECT *, 280 + lam * 850 * pow(v, 3) / (8 * {TRANSFER}::DOUBLE) AS tends, 4 * {TRANSFER}::DOUBLE * ({THERMAL_LENGTH / THERMAL_CELLS}::DOUBLE / v) / (850 * 2000 * 0.5::DOUBLE) AS rate FROM l)
+SELECT s_suppkey AS pipe, i::BIGINT AS step, round(tends + (290 + abs(s_acctbal) / 500 - tends) * exp(-rate * least(i, {THERMAL_CELLS})), 6) AS t_out, round(5e6 - lam / 0.5::DOUBLE * 850 * v * v / 2 * {THERMAL_LENGTH}::DOUBLE, 2) AS p_out
+FROM supplier, range(15) AS x(i), t""",
     "euler_steps": """
 WITH f AS (SELECT user_id, arg_min(value, ts) AS s FROM events GROUP BY 1)
 SELECT user_id, round(s * pow(0.9::DOUBLE, 8), 6) AS plain, round(s * pow(1 - 0.1::DOUBLE * (1 + 0.9::DOUBLE) / 2, 8), 6) AS corrected FROM f""",
