@@ -59,3 +59,21 @@ def test_near_copies_and_toxic_documents_go(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         docs = stage(spark, docs, SF)
     assert {r["doc_id"] for r in docs.collect()} <= {1, 3, 4}
+
+
+def test_every_stage_takes_odd_tables(spark):
+    """Clashing names, ties, repeated and null ids, null and empty texts, long texts, and no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, target double, copy string, fp string, key string, number int"
+    extra = (1.5, "c", "f", "k", 7)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words, "en", None, 1), (None, words, "de", "s", 2), (None, None, None, None, None), (None, "of its own", None, "t", 3), (4, "", "en", "t", 0), (4, "other text of 4", "en", "t", 0), (5, "long " * 100_000, "en", "s", 9)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.schema == docs.schema, name
+        assert all(tuple(r)[5:] == extra for r in kept.collect()), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+    once = corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()
+    assert sorted((str(r["text"])[:12], r["doc_id"]) for r in once) == sorted([(words[:12], 1), ("None", None), ("of its own", None), ("other text o", 4), ("long long lo", 5)][:1] + [("", 4), ("of its own", None), ("other text o", 4), ("long long lo", 5)])

@@ -12,8 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words whose codes a worker remembers, at most; only speed depends on it.
-CACHE = 300_000
+#: What a worker remembers of distinct words, at most: so many of them, none longer than LONGEST characters. Only speed depends on it, and memory on nothing else than it and one text.
+CACHE, LONGEST = 300_000, 100
 #: What \s means to the pattern's own engine, in natural order; Python's \s also has four separators of ASCII.
 WHITE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -90,10 +90,11 @@ class Coder:
         words, known = self.words(text), self.known
         if len(known) > CACHE:
             known.clear()
+        own: dict[str, str] = {}
         for w in set(words):
             if w not in known:
-                known[w] = ",".join(map(str, fold(w.encode(), self.ranks)))
-        return ",".join([known[w] for w in words])
+                (known if len(w) <= LONGEST else own)[w] = ",".join(map(str, fold(w.encode(), self.ranks)))
+        return ",".join([known[w] if w in known else own[w] for w in words] if own else [known[w] for w in words])
 
     def decode(self, ids: str) -> bytes:
         """The concatenated pieces of decimal ids joined by commas."""

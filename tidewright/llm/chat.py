@@ -65,7 +65,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     Turns are in order of turn, then role, then text, nulls first; rows equal in
     all four columns are one turn. A null role is rendered as unknown and a null
     text as empty, but null and empty texts are different turns. Rows with a
-    null conv_id form one conversation. Other columns are ignored; no rows give
+    null conv_id form one conversation. A conversation of any length, and a turn
+    of any length, is rendered whole: it is one row and one task's work. Other columns are ignored; no rows give
     no rows.
     """
     conversations = written(listed(turns), "conversations")
