@@ -106,3 +106,22 @@ def test_grid_of_many_steps(spark):
     assert len(got) == 61 and got[-1][0] == 60 and str(got[-1][1]) == "2024-01-01 01:00:00"
     assert series.grid(spark.sql("select timestamp'2024-01-01' as t_start, timestamp'2024-01-01' as t_end"), 60).count() == 0
     assert series.grid(spark.sql("select cast(null as timestamp) as t_start, cast(null as timestamp) as t_end"), 60).count() == 0
+
+
+def test_rows_before_and_means_across_slices_and_pieces(spark):
+    rng = np.random.default_rng(6)
+    data = {t: [(pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(s)), float(v)) for s, v in zip(np.sort(rng.choice(2_000_000, n, replace=False)), rng.uniform(0, 100, n), strict=True)] for t, n in ((1, 300), (2, 1), (3, 40))}
+    frame = spark.createDataFrame([(t, ts.to_pydatetime(), v) for t, h in data.items() for ts, v in h], "tag long, ts timestamp, value double").repartition(3)
+    clean, turns, means = {}, {}, {}
+    for t, h in data.items():
+        inside = [x for x in h if 5 <= x[1] <= 95]
+        clean |= {(t, ts): v for i, (ts, v) in enumerate(inside) if i == 0 or abs(v - inside[i - 1][1]) <= 40}
+        turns |= {(t, ts): v < 25 for i, (ts, v) in enumerate(h) if i == 0 or (v < 25) != (h[i - 1][1] < 25)}
+        means |= {(t, ts): float(np.mean([x for _, x in h[i - 3 : i + 4]])) if 3 <= i < len(h) - 3 else None for i, (ts, _) in enumerate(h)}
+    assert {(r["tag"], pd.Timestamp(r["ts"])): r["value"] for r in series.cleaned(frame, 5.0, 95.0, 40.0).collect()} == clean
+    assert {(r["tag"], pd.Timestamp(r["ts"])): r["is_zeroflow"] for r in series.switchings(frame, 25.0).collect()} == turns
+    for piece in (8, 50, 100_000):
+        got = {(r["tag"], pd.Timestamp(r["ts"])): r["mean"] for r in series.centred_mean(frame, 7, piece).collect()}
+        assert set(got) == set(means) and all(got[k] == pytest.approx(means[k]) if means[k] is not None else got[k] is None for k in means)
+    with pytest.raises(ValueError):
+        series.centred_mean(frame, 7, 7)

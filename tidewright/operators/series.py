@@ -101,18 +101,44 @@ def grid_step(ts: Column, start: Column, step_seconds: int) -> Column:
     return F.floor((F.unix_micros(ts.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / (step_seconds * 1_000_000)).cast("long")
 
 
+def _slice(seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
+
+
+def preceded(rows: DataFrame, value: str, name: str, slice_seconds: int = 86_400) -> DataFrame:
+    """rows(tag, ts, ...) with what value was at the tag's row before, as name; null at its first.
+
+    Rows are dealt by tag and slice of time; a slice's first row has it from
+    one row for each slice, so a tag of any size is many tasks' work.
+    """
+    sliced = rows.withColumn("slice", _slice(slice_seconds))
+    here = Window.partitionBy("tag", "slice").orderBy("ts")
+    ends = sliced.groupBy("tag", "slice").agg(F.max_by(value, "ts").alias("last"))
+    carried = ends.select("tag", "slice", F.lag("last").over(Window.partitionBy("tag").orderBy("slice")).alias("carried"))
+    placed = sliced.withColumn("own", F.lag(value).over(here)).withColumn("nth", F.row_number().over(here))
+    return placed.join(carried, ["tag", "slice"]).withColumn(name, F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("own"))).select(*rows.columns, name)
+
+
+def numbered(rows: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+    """rows(tag, ts, ...) with nth: their numbers within the tag, from 0 in order of ts, by slices of time."""
+    sliced = rows.withColumn("slice", _slice(slice_seconds))
+    so_far = Window.partitionBy("tag").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy("tag", "slice").agg(F.count(F.lit(1)).alias("n")).select("tag", "slice", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    placed = sliced.withColumn("nth", F.row_number().over(Window.partitionBy("tag", "slice").orderBy("ts")) - 1)
+    return placed.join(counts, ["tag", "slice"]).withColumn("nth", F.col("nth") + F.col("before")).select(*rows.columns, "nth")
+
+
 def cleaned(tags: DataFrame, low: float, high: float, most_change: float) -> DataFrame:
     """Readings within [low, high] that are at most most_change from the one before within that range."""
-    order = Window.partitionBy("tag").orderBy("ts")
     within = tags.filter(F.col("value").between(low, high) & ~F.isnan("value"))
-    return within.withColumn("change", F.abs(F.col("value") - F.lag("value").over(order))).filter(F.col("change").isNull() | (F.col("change") <= most_change)).drop("change")
+    change = F.abs(F.col("value") - F.col("before"))
+    return preceded(within, "value", "before").filter(F.col("before").isNull() | (change <= most_change)).drop("before")
 
 
 def switchings(tags: DataFrame, threshold: float) -> DataFrame:
     """(tag, ts, is_zeroflow) where a flow comes to rest or sets off, its first state included."""
-    order = Window.partitionBy("tag").orderBy("ts")
     state = tags.select("tag", "ts", (F.abs("value") < threshold).alias("is_zeroflow"))
-    return state.withColumn("was", F.lag("is_zeroflow").over(order)).filter("was is null or was <> is_zeroflow").drop("was")
+    return preceded(state, "is_zeroflow", "was").filter("was is null or was <> is_zeroflow").drop("was")
 
 
 def regimes(steps: DataFrame, step_seconds: int, every_seconds: int = 3600) -> DataFrame:
@@ -120,11 +146,21 @@ def regimes(steps: DataFrame, step_seconds: int, every_seconds: int = 3600) -> D
     return steps.filter(F.pmod(F.col("step") * F.lit(float(step_seconds)), F.lit(float(every_seconds))) < 1e-4)
 
 
-def centred_mean(tags: DataFrame, width: int) -> DataFrame:
-    """tags with mean: that of width (odd) readings around each; null where the window isn't full."""
+def centred_mean(tags: DataFrame, width: int, piece: int = 100_000) -> DataFrame:
+    """tags with mean: that of width (odd) readings around each; null where the window isn't full.
+
+    A tag's readings are numbered and dealt in pieces; those next to a piece's
+    ends are copied to its neighbour, which needs them for its windows.
+    """
     half = width // 2
-    frame = Window.partitionBy("tag").orderBy("ts").rowsBetween(-half, half)
-    return tags.withColumn("mean", F.when(F.count("value").over(frame) == 2 * half + 1, F.avg("value").over(frame)))
+    if piece <= width:
+        raise ValueError("a piece must be larger than a window")
+    own = F.floor(F.col("nth") / piece)
+    near = F.array_distinct(F.array(own, F.floor((F.col("nth") - half) / piece), F.floor((F.col("nth") + half) / piece)))
+    dealt = numbered(tags).withColumn("own", own).withColumn("piece", F.explode(near))
+    frame = Window.partitionBy("tag", "piece").orderBy("nth").rowsBetween(-half, half)
+    mean = F.when(F.count("value").over(frame) == 2 * half + 1, F.avg("value").over(frame))
+    return dealt.withColumn("mean", mean).filter("own = piece").select(*tags.columns, "mean")
 
 
 def smoothed(tags: DataFrame, alpha: float, slice_seconds: int = 86_400) -> DataFrame:
