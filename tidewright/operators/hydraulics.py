@@ -214,21 +214,28 @@ def _solved(size: int, a: np.ndarray, b: np.ndarray, slope_in: np.ndarray, slope
             way = z + now / before * way
         return x
     jacobian = np.zeros((size, size))
-    for i, j, g, h in zip(a, b, slope_in, slope_out, strict=True):
-        for v, sign in ((i, -1.0), (j, 1.0)):
-            if v >= 0:
-                if i >= 0:
-                    jacobian[v, i] += sign * g
-                if j >= 0:
-                    jacobian[v, j] += sign * h
+    for v, sign in ((a, -1.0), (b, 1.0)):
+        for w, slope in ((a, slope_in), (b, slope_out)):
+            both = (v >= 0) & (w >= 0)
+            np.add.at(jacobian, (v[both], w[both]), sign * slope[both])
     return np.linalg.solve(jacobian, -r)
 
 
+def root_coefficient(e: dict) -> float:
+    """What the signed root of the drop is multiplied by, if that is the edge's law; not a number otherwise."""
+    params, law = e.get("params") or {}, LAWS[e["kind"]]
+    if law is quadratic_law:
+        return 1 / math.sqrt(params["resistance"])
+    if law is local_law and params.get("opening", 1.0) > OPEN_ABOVE:
+        return math.pi * params["diameter"] ** 2 / 4 * math.sqrt(2 / (params["xi"] * params.get("density", 850.0)))
+    return 0.0 if law is local_law else math.nan
+
+
 def solve_part(part: Part, spread: float = 0.0, start: dict | None = None) -> tuple[dict, dict, bool]:
     """(pressure by vertex, flow by edge, whether it converged) of a part with a given pressure, by Newton's method.
 
     Unknown pressures are numbered first. Slopes are taken over a reach that
-    starts wide and is halved each round, as roots are steep at rest. Steps are
+    starts wide and shrinks each round, as roots are steep at rest. Steps are
     halved while they don't lessen the residual; once converged, a few full steps
     with close slopes follow as long as they lessen it.
     """
@@ -250,8 +257,15 @@ def solve_part(part: Part, spread: float = 0.0, start: dict | None = None) -> tu
             e["params"] = {}
         return LAWS[e["kind"]](float(p), float(q), e["params"])
 
+    root = np.array([root_coefficient(e) for e in part.edges])
+    others = np.flatnonzero(np.isnan(root)).tolist()
+
     def flows(p, q):
-        return np.array([law(i, p[i], q[i]) for i in range(len(part.edges))])
+        drop = p - q
+        out = root * np.sign(drop) * np.sqrt(np.abs(drop))
+        for i in others:
+            out[i] = law(i, p[i], q[i])
+        return out
 
     def residual(x):
         q = flows(*ends(x))
@@ -264,7 +278,7 @@ def solve_part(part: Part, spread: float = 0.0, start: dict | None = None) -> tu
     for i in range(NEWTON_ROUNDS if unknown else 0):
         p, q = ends(x)
         least = 1e-11 * np.maximum(np.abs(p), np.abs(q)) + 1e-9
-        h = 100 * least if converged else np.maximum(least, FIRST_REACH / 2**i)
+        h = 100 * least if converged else np.maximum(least, FIRST_REACH / 4**i)
         slope_in = np.maximum((flows(p + h, q) - flows(p - h, q)) / (2 * h), LEAST_SLOPE)
         slope_out = np.minimum((flows(p, q + h) - flows(p, q - h)) / (2 * h), -LEAST_SLOPE)
         step = _solved(len(unknown), a, b, slope_in, slope_out, r)
