@@ -55,14 +55,14 @@ def loops_of(edges: list[tuple], metered: list) -> list[list]:
     return [[two[i][0] for i in block] for block in biconnected([(i, a, b) for i, (_, a, b) in enumerate(two)]) if len(block) > 1]
 
 
-def compile_block_flows(edges: list[tuple], metered: list, halve_pairs: bool = False) -> tuple[dict, list, list]:
+def compile_block_flows(edges: list[tuple], metered: list, halve_pairs: bool = False, connectors: bool = False) -> tuple[dict, list, list]:
     """flows.compile_flows() on the tree of blocks: loops are nodes with a balance of their own.
 
     Metered edges cut the network first, so a meter within a loop opens it. A
     bridge or one-sided edge gets the combination of meters that the balances
     of vertices and blocks give it; an edge within a loop gets none, unless
-    halve_pairs: two parallel edges that are a block each carry half of it. The
-    connector of a loop i at a vertex v, as ("into", i, v), is a combination, too.
+    halve_pairs: two parallel edges that are a block each carry half of it. With
+    connectors, what flows from vertex v into loop i is there as ("into", i, v).
     """
     asked = set(metered)
     loops = loops_of(edges, metered)
@@ -96,6 +96,8 @@ def compile_block_flows(edges: list[tuple], metered: list, halve_pairs: bool = F
                     if into is not None:
                         known[e] = {m: c / 2 for m, c in into.items()}
     spare = set(useless)
+    if not connectors:
+        known = {e: c for e, c in known.items() if not (isinstance(e, tuple) and e[:1] == ("into",))}
     return known, [m for m in metered if all(h in spare for h in halves.get(m, (m,)))], [e for e, _, _ in edges if e not in known]
 
 

@@ -200,7 +200,7 @@ def metered_transport(edges: list[Edge], meters: DataFrame, entering: DataFrame,
     spark = meters.sparkSession
     named = sorted(r["name"] for r in meters.select("name").distinct().collect())
     tree, connectors = lumped_loops(edges, named)
-    known, useless, lacking = balance.compile_block_flows([(e.name, e.from_v, e.to_v) for e in edges], named, halve_pairs=True)
+    known, useless, lacking = balance.compile_block_flows([(e.name, e.from_v, e.to_v) for e in edges], named, halve_pairs=True, connectors=True)
     inside = {e for _, loop in connectors.values() for e in loop}
     known = {(f"loop {e[1]} at {e[2]}" if isinstance(e, tuple) else e): c for e, c in known.items()}
     if bad := [e for e in lacking if e not in inside] + [e.name for e in tree if e.name not in known and e.name not in lacking]:

@@ -30,7 +30,7 @@ def balanced_network(spark, sf_dir):
     days = _daily(spark, sf_dir)
     total = days.groupBy("t").agg(F.sum(F.when(F.col("edge") != "s3", F.col("value"))).alias("value"), F.sum("value").alias("all"))
     middle = total.select("t", F.lit("m").alias("edge"), (F.col("value") * 1.01).alias("value")).union(total.select("t", F.lit("d"), F.col("all") * 0.4)).filter("value is not null")
-    return balance.analysed(days.union(middle).withColumnRenamed("value", "measured"), CHAIN).select("t", "edge", F.round("corrected", 6).alias("corrected"), F.round("delta", 6).alias("delta"))
+    return balance.analysed(days.union(middle).withColumnRenamed("value", "measured"), CHAIN).select("t", "edge", F.round("corrected", 6).alias("corrected"), (F.round("delta", 6) + 0.0).alias("delta"))
 
 
 def steady_transport(spark, sf_dir):
@@ -77,6 +77,16 @@ WITH {_DAILY},
 c(edge, meter, k) AS (VALUES ('s1', 's1', 1.0), ('u1', 's1', 1.0), ('s2', 's2', 1.0), ('p1', 's1', 0.5), ('p1', 's2', 0.5), ('p2', 's1', 0.5), ('p2', 's2', 0.5),
   ('m', 's1', 1.0), ('m', 's2', 1.0), ('s3', 's3', 1.0), ('d', 's1', 1.0), ('d', 's2', 1.0), ('d', 's3', -1.0))
 SELECT t, c.edge, round(sum(k::DOUBLE * value), 6) AS flow FROM daily JOIN c ON daily.edge = c.meter GROUP BY t, c.edge""",
+    "balanced_network": f"""
+WITH {_DAILY},
+w AS (SELECT t, coalesce(sum(value) FILTER (edge = 's1'), 0) AS a, coalesce(sum(value) FILTER (edge = 's2'), 0) AS b, coalesce(sum(value) FILTER (edge = 's3'), 0) AS c,
+             sum(value) FILTER (edge <> 's3') * 1.01::DOUBLE AS m, sum(value) * 0.4::DOUBLE AS d FROM daily GROUP BY t),
+z AS (SELECT *, coalesce(m, 0) AS mm, a + b - coalesce(m, 0) AS r1, coalesce(m, 0) - c - d AS r2 FROM w),
+k AS (SELECT *, a + b + mm AS k11, mm + c + d AS k22 FROM z),
+l AS (SELECT *, CASE WHEN k11 = 0 THEN 0 ELSE (r1 * k22 + mm * r2) / (k11 * k22 - mm * mm) END AS l1, CASE WHEN k11 = 0 THEN r2 / k22 ELSE (k11 * r2 + mm * r1) / (k11 * k22 - mm * mm) END AS l2 FROM k),
+x AS (SELECT t, edge, measured, shift FROM l, LATERAL (VALUES ('s1', a, -a * l1), ('s2', b, -b * l1), ('s3', c, c * l2), ('m', mm, mm * (l1 - l2)), ('d', d, d * l2)) AS v(edge, measured, shift))
+SELECT x.t, x.edge, round(measured + shift, 6) AS corrected, round(shift, 6) + 0.0 AS delta FROM x LEFT JOIN daily ON daily.t = x.t AND daily.edge = x.edge
+WHERE daily.edge IS NOT NULL OR (x.edge = 'm' AND measured <> 0) OR x.edge = 'd'""",
     "steady_transport": f"""
 WITH {_DAILY}, w AS (SELECT t, sum(value) FILTER (edge = 's1') AS a, sum(value) FILTER (edge = 's2') AS b FROM daily GROUP BY t)
 SELECT (t - DATE '1990-01-01')::BIGINT AS step, round((a * 800 + b * 900) / (a + b), 6) AS density, false AS confident FROM w WHERE a IS NOT NULL AND b IS NOT NULL""",
