@@ -86,6 +86,7 @@ def test_no_block_of_the_given_articles_is_lost():
         ("<article></i></p></div><p>stray</u> ends</p></article>", "stray ends"),
         ("<body><p>A short line.</p><p>Another.</p><p>Yes, " + "so it went on and on " * 5 + "</p><p>No.</p>", "A short line.\nAnother.\nYes, " + ("so it went on and on " * 5).strip() + "\nNo."),
         ("<div class='legal article'><p>" + "word " * 30 + "</p></div><p>&copy; 2020 x</p>", ("word " * 30).strip()),
+        ("<p>Copyright law is hard.</p><p>(c) the third point is this one.</p><p>Copyright 2020 x</p><p>(c) 2021 y</p><p>Copyright © z</p>", "Copyright law is hard.\n(c) the third point is this one."),
         ("<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><p>Log in</p><ul><li><a href=c>Us</a><li><a href=d>Help</a></ul>", ""),
     ],
 )

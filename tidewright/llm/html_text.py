@@ -44,7 +44,7 @@ _STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _ROLE = re.compile(r"(?<![\w-])role\s*=\s*[\"']?([\w-]+)", re.I)
 #: What a block begins with if it says whose the page is; outside articles only.
-_COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
+_COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\)\s*(?=\d{4}\b))|copyright\s+\d{4}\b", re.I)
 
 
 @dataclass
