@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewright.llm import bpe, chat, chat_repair, exact_dedup, hard_negatives, html_text, mixing, quality_nbsvm, quality_rules, simhash, substring_dedup, toxicity
+from tidewright.llm import bpe, chat, chat_repair, exact_dedup, hard_negatives, html_text, jaccard_join, mixing, quality_nbsvm, quality_rules, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -51,6 +51,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def op13_chat_repair(spark, sf_dir):
     return chat_repair.report(chat_repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = (op1_source_mix, op2_substring_dedup, op3_chat_collapse, op4_quality_nbsvm, op5_simhash_golay, op6_byte_bpe, op7_quality_rules, op8_toxicity, op9_html_text, op10_exact_dedup, op12_hard_negatives, op13_chat_repair)
+QUERIES = (op1_source_mix, op2_substring_dedup, op3_chat_collapse, op4_quality_nbsvm, op5_simhash_golay, op6_byte_bpe, op7_quality_rules, op8_toxicity, op9_html_text, op10_exact_dedup, op11_ngram_jaccard, op12_hard_negatives, op13_chat_repair)
 
 
 def queries() -> dict:
@@ -67,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op3_chat_collapse": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat_repair": chat_repair.ORACLE}
+    return {"op1_source_mix": mixing.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op3_chat_collapse": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_ngram_jaccard": jaccard_join.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat_repair": chat_repair.ORACLE}
