@@ -48,15 +48,17 @@ def test_articles_of_generated_pages_are_whole():
 
 def test_tree_over_a_grid():
     sizes, shares = [1, 2, 3, 5, 8, 12, 20, 100], [0.0, 0.3, 0.6, 1.0]
-    for n, d, bn, bd, an, ad, place, head in product(sizes, shares, [0, *sizes], shares, [0, *sizes], shares, (0, 1, 2), (0, 1)):
+    for n, d, bn, bd, an, ad, place, (head, sentence) in product(sizes, shares, [0, *sizes], shares, [0, *sizes], shares, (0, 1, 2), ((0, 0), (1, 0), (0, 1))):
         if (bn == 0 and bd) or (an == 0 and ad):
             continue
-        said = is_article((n, d, bn, bd, an, ad, place, head))
+        said = is_article((n, d, bn, bd, an, ad, place, head, sentence))
         among_links = bd > 0.5 and ad > 0.5
         if place == 2:
             assert not said
+        elif place == 0:
+            assert said
         elif d <= 0.3:
-            assert said == (place == 0 or n > 12 or not among_links)
+            assert said == (sentence or n > 12 or not among_links)
         elif bd <= 0.3 and ad <= 0.3:
             assert said
         elif not head:
@@ -94,6 +96,41 @@ def test_broken_pages(html, text):
     assert main_text(html) == text
 
 
+TEXT = "So it went on and on until the boats came in."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<form action=x.aspx><div id=content><h1>Title</h1><p>Long article text in old pages.</p></div></form>", "Title\nLong article text in old pages."),
+        (f"<form id=aspnet><input type=hidden><nav><a href=/>Home</a></nav><p>{TEXT}</p><p>{TEXT}</p></form>", f"{TEXT}\n{TEXT}"),
+        (f"<p>{TEXT}</p><p>{TEXT}</p><form><p>Write to us.</p><input><textarea></textarea></form>", f"{TEXT}\n{TEXT}"),
+        (f"<form><h1>T</h1><p>{TEXT}</p><form class=search><p>Find it here.</p><input></form></form>", f"T\n{TEXT}"),
+        (f"<nav><a href=/>Home</a></nav><p>{TEXT}</p><p><a href=/a>Link one</a></p><p>Short.</p><p><a href=/b>Link two</a></p>", f"{TEXT}\nLink one\nShort.\nLink two"),
+        ("<p><a href=/a>One</a></p><p>Short text here.</p><p><a href=/a>Two</a></p>", "One\nShort text here.\nTwo"),
+        ("<div id='search'><p>Article about search engines and what they find.</p></div>", "Article about search engines and what they find."),
+        (f"<div id=search><form><input><p>Find it here.</p></form></div><p>{TEXT}</p>", TEXT),
+        (f"<main><p>{TEXT}</p><div class='newsletter'><p>Text.</p></div></main>", f"{TEXT}\nText."),
+        (f"<main><p>{TEXT}</p><div class='newsletter'><p>Our letter, each week.</p><form><input></form></div></main>", TEXT),
+        (f"<article><p>{TEXT}</p><h2>Sources</h2><ul><li><a href=a>First</a><li><a href=b>Second</a></ul><table><tr><td><a href=c>x</a><td><a href=d>y</a></table></article>", f"{TEXT}\nSources\nFirst\nSecond\nx\ny"),
+        (f"<p>{TEXT}</p><div class='discussion-thread'><p>{TEXT} I say.</p></div><div class=paywall><p>Read on for a coin.</p></div><div class='ad-slot-1'><p>Buy it.</p></div>", TEXT),
+        (f"<p>{TEXT}</p><div id='sponsored_content'><p>{TEXT}</p></div><p>All rights reserved. Company 2020</p><div class='seitenleiste'><p>{TEXT}</p></div><ol id=kommentare><li>{TEXT}</ol>", TEXT),
+    ],
+)
+def test_forms_names_and_links(html, text):
+    assert main_text(html) == text
+
+
+def test_no_sentence_of_a_page_without_article_is_lost():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        kinds = rng.integers(0, 3, int(rng.integers(2, 12)))
+        texts = [sentence(rng, int(rng.choice([1, 2, 3, 5, 8, 13, 40]))) for _ in kinds]
+        body = "".join(f"<p>{t}</p>" if k else f"<div><a href=/x>{t[:-1]}</a></div>" for k, t in zip(kinds, texts, strict=True))
+        kept = main_text(f"<body>{body}</body>").split("\n")
+        assert [t for k, t in zip(kinds, texts, strict=True) if k] == [t for t in kept if t.endswith(".")]
+
+
 @pytest.mark.parametrize("part", ["<b ", "<b><i></u>", "<a =\"", "<a b='c", "<!--", "&", "<", "<script>", "<div class=\"", "<p><li><b>", "</", "<p title='x> "])
 def test_a_megabyte_of_anything_takes_linear_time(part):
     began = time.process_time()
