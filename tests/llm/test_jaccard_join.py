@@ -65,6 +65,11 @@ def corpus(seed, bases, sizes, lines):
 def test_equals_all_pairs(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "REPORTED", 2)
+    if seed == 1:
+        monkeypatch.setattr(jaccard_join, "PAIRS_FROM", 6)
+    if seed == 2:
+        monkeypatch.setattr(jaccard_join, "FIRST_ROUND", 1)
+        monkeypatch.setattr(jaccard_join, "GROWTH", 2)
     rows = corpus(seed, 70, [0, 1, 2, 5, 10, 11, 12, 20, 60, 130, 300], 5)
     want = brute(rows)
     assert found(spark, rows) == want
@@ -91,7 +96,7 @@ def test_nulls_repeats_and_long_texts(spark):
 def test_any_two_that_link_share_a_key_of_the_right_kinds():
     draw = random.Random(4)
     for trial in range(400):
-        n = draw.choice([9, 10, 15, 18, 19, 20, 31, 33, 64, 70, 127, 140, 300, 1000])
+        n = draw.choice([9, 10, 15, 18, 19, 20, 31, 33, 64, 70, 127, 140, 300, 1000, 1030, 1150, 2100])
         x = np.array(sorted(draw.sample(range(1 << 62), n)), np.uint64)
         gone, more = draw.randrange(n // 10 + 1), draw.randrange(n // 10 + 2)
         y = np.array(sorted([*draw.sample(x.tolist(), n - gone), *draw.sample(range(1 << 62), more)]), np.uint64)

@@ -6,7 +6,8 @@ of x, so of a long enough prefix of x it has some. A rare token that both have
 is a key of its own. Frequent tokens are told apart into classes by their hash,
 and two tokens of one class that both have are a key: one shared token of a
 class isn't enough, which is why such prefixes are extended until, with one
-token of each class left out, they still have one more than y may lack.
+token of each class left out, they still have one more than y may lack. In very large
+sets every token counts as frequent.
 
 Of the two documents of a link the smaller one needs the shorter prefix (it
 lacks less of the larger one); keys are told apart by the binary order of
@@ -39,22 +40,26 @@ CHUNK, REPORTED = 1 << 22, 4
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Tokens of a document's order of magnitude for each class of frequent tokens.
 CLASS_SHARE = 20
+#: From this order of magnitude on (sets of 1024 and more) all tokens are indexed in pairs: long texts share single tokens with many others.
+PAIRS_FROM = 11
 #: Sets that a task remembers so as not to tell their keys again.
 REMEMBERED = 1 << 20
 #: Sets whose keys a task gives at a time.
 KEYED = 2048
-#: Bits of a set's parity sketch, in words of 64.
+#: Least words of 64 bits of a set's parity sketch; a set of more tokens than bits has the next power of two that holds them.
 SKETCH = 8
 #: Bits of the table of documents whose sets a round verifies.
 SLOTS = 1 << 26
 #: Documents of a bucket that the rest of it is compared with in the first round, and how much more in each later one.
-FIRST_ROUND, GROWTH = 1, 16
+FIRST_ROUND, GROWTH = 64, 64
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _APART = np.uint64(0x27D4EB2F165667C5)
 _ASCII_UPPER = np.array([0x20 if 0x41 <= c <= 0x5A else 0 for c in range(256)], np.uint8)
 
 PROBE, BOTH, INDEX = 0, 1, 2
+#: The words of a sketch halved down to the least size, which go with a document's keys.
+FOLDED = [f"f{i}" for i in range(SKETCH)]
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,8 +87,14 @@ def set_hashes(tokens: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """For each of 64 * SKETCH hash values, whether an odd number of tokens has it: two sets differ by at least as many tokens as bits."""
-    odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    """For each of some hash values, whether an odd number of tokens has it: two sets differ by at least as many tokens as bits.
+
+    They are a power of two, at least as many as tokens, so sets that have
+    little in common differ in far more bits than linked ones may. The two halves of a
+    sketch, one exclusive or the other, are the sketch of half the size.
+    """
+    bits = max(64 * SKETCH, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
@@ -102,11 +113,11 @@ class Remembered:
         return False
 
 
-_FACTS = [StructField(c, LongType()) for c in ("h1", "h2", *[f"s{i}" for i in range(SKETCH)])]
+_FACTS = [StructField("h1", LongType()), StructField("h2", LongType()), StructField("sketch", ArrayType(LongType())), StructField("folded", ArrayType(LongType()))]
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, h1, h2, s0..) for each document, and (token, many) for tokens of many documents of a chunk."""
+    """Rows of two kinds: (doc_id, n, h1, h2, sketch, folded) for each document, and (token, many) for tokens of many documents of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, count, seen = [], 0, Remembered()
@@ -119,13 +130,15 @@ def described(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*empty, pa.array(tokens[keep].view(np.int64)), pa.array(many[keep])], schema=arrow)
 
         for batch in batches:
-            sizes, facts = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2 + SKETCH), np.int64)
+            sizes, facts = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
+            sketches, folded = [np.zeros(0, np.int64)] * batch.num_rows, np.zeros((batch.num_rows, SKETCH), np.int64)
             for row, tokens in shingle_sets(batch.column("text")):
                 sizes[row] = len(tokens)
                 if not len(tokens):
                     continue
                 h = np.array(set_hashes(tokens), np.uint64)
-                facts[row, :2], facts[row, 2:] = h.view(np.int64), parities(tokens)
+                facts[row], sketches[row] = h.view(np.int64), parities(tokens)
+                folded[row] = np.bitwise_xor.reduce(sketches[row].reshape(-1, SKETCH), 0)
                 if not seen(tuple(h.tolist())):
                     waiting.append(tokens)
                     count += len(tokens)
@@ -133,7 +146,10 @@ def described(docs: DataFrame) -> DataFrame:
                         yield reported()
                         waiting, count = [], 0
             none = [pa.nulls(batch.num_rows, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *[pa.array(np.ascontiguousarray(f)) for f in facts.T], *none], schema=arrow)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
+            least = pa.ListArray.from_arrays(pa.array(np.arange(0, folded.size + 1, SKETCH, dtype=np.int32)), pa.array(folded.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *[pa.array(np.ascontiguousarray(f)) for f in facts.T], lists, least, *none], schema=arrow)
         if waiting:
             yield reported()
 
@@ -177,6 +193,8 @@ def classes_of(band: int) -> int:
 
 def prefix_keys(rare: np.ndarray, frequent: np.ndarray, band: int, lacks: int, lacks_index: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, whether each is one of the shorter prefix too) of a prefix that shares a key with whatever lacks at most so many of its tokens."""
+    if band >= PAIRS_FROM:
+        rare, frequent = rare[:0], np.concatenate([rare, frequent])
     salt = mix64(np.array([band], np.uint64) * _ODD[1])[0]
     single = rare[: lacks + 1]
     keys, inner = [mix64(single ^ salt)], [np.arange(len(single)) <= lacks_index]
@@ -317,21 +335,43 @@ def _differ_at_most(n: Column, m: Column) -> Column:
     return n + m - 2 * F.ceil(PERCENT * (n + m) / (ALIKE + PERCENT))
 
 
-def _candidates(buckets: DataFrame, facts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the first size smaller sets of each bucket with larger ones of it that may link; and the last of those first, by key."""
+def _differing(x: Column, y: Column) -> Column:
+    """Bits that differ between two sketches, the larger one halved: sizes of sets that may link are within a factor of two."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), xor)
+    folded = lambda s, other: F.when(F.size(s) > F.size(other), half(s)).otherwise(s)
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+
+def _may_link(a: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows of rest joined with those of a(of, a, n_a, part_a, folded words) in their bucket that are smaller, in another component, and may link by size and sketch."""
+    met = rest.filter(F.col("kind") <= BOTH).join(a.hint("merge"), F.col("key") == F.col("of"))
+    differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_a"))) for f in FOLDED), F.lit(0))
+    met = met.filter("(n > n_a or (n = n_a and id > a)) and part <> part_a").filter(F.col("n") * PERCENT <= F.col("n_a") * ALIKE)
+    return met.filter(differ <= _differ_at_most(F.col("n_a").cast("long"), F.col("n").cast("long")))
+
+
+def _nearest(buckets: DataFrame) -> DataFrame:
+    """(a, b): for each set the smallest of those that are the first of a bucket of it and may link with it; a row for each set at most."""
+    first = buckets.filter(F.col("kind") >= BOTH).groupBy(F.col("key").alias("of")).agg(F.min(F.struct("n", "id", "part", *FOLDED)).alias("m"))
+    first = first.select("of", F.col("m.id").alias("a"), F.col("m.n").alias("n_a"), F.col("m.part").alias("part_a"), *[F.col(f"m.{f}").alias(f"{f}_a") for f in FOLDED])
+    return _may_link(first, buckets).groupBy("id").agg(F.min(F.struct("n_a", "a")).alias("m")).select("m.a", F.col("id").alias("b"))
+
+
+def _first(buckets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, last): (a, b) of the first size smaller sets of each bucket with larger ones of it that may link; and the last of those first, by key."""
     order = Window.partitionBy("key").orderBy("n", "id")
     first = buckets.filter(F.col("kind") >= BOTH).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
-    first = written(first.select(F.col("key").alias("of"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a")), "first")
-    met = buckets.filter(F.col("kind") <= BOTH).join(first.hint("merge"), F.col("key") == F.col("of"))
-    met = met.filter("(n > n_a or (n = n_a and id > a)) and part <> part_a").filter(F.col("n") * PERCENT <= F.col("n_a") * ALIKE)
-    pairs = met.select("a", F.col("id").alias("b")).distinct()
-    columns = ("doc_id", "size", *[f"s{i}" for i in range(SKETCH)])
+    first = written(first.select(F.col("key").alias("of"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), *[F.col(f).alias(f"{f}_a") for f in FOLDED]), "first")
+    return _may_link(first, buckets).select("a", F.col("id").alias("b")).distinct(), first.groupBy("of").agg(F.max(F.struct("n_a", "a")).alias("last"))
+
+
+def _candidates(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs(a, b) that may link by their whole sketches, with their sizes and documents."""
     for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).hint("merge"), side)
-    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH)), F.lit(0))
-    close = pairs.filter(differ <= _differ_at_most(F.col("size_a"), F.col("size_b")))
-    last = first.groupBy("of").agg(F.max(F.struct("n_a", "a")).alias("last"))
-    return written(close.select("a", "b", "size_a", "size_b", "doc_id_a", "doc_id_b"), "candidates"), last
+        pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "sketch")]).hint("merge"), side)
+    close = pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= _differ_at_most(F.col("size_a"), F.col("size_b")))
+    return written(close.select("a", "b", "size_a", "size_b", "doc_id_a", "doc_id_b"), "candidates")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -344,39 +384,63 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(ALIKE * shared >= PERCENT * (F.col("size_a") + F.col("size_b") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFrame | None:
-    """(node, root) of sets that link with others; root names the component. None if there are no links.
+class _Links:
+    """The links found so far and their components."""
 
-    In each round the smallest sets of each bucket are compared with the rest of
-    it, unless both are in one component already; a group of near copies is
-    done after the first round or two, and never gives all its pairs. What a
-    round has compared leaves the bucket, and buckets of one component go.
-    """
-    buckets = shared_keys(docs, frequent)
-    live = written(buckets.withColumn("part", F.col("id")), "buckets")
-    discarded(buckets)
-    buckets, size = live, FIRST_ROUND
-    found: list[DataFrame] = []
-    rooted: DataFrame | None = None
-    while not buckets.isEmpty():
-        pairs, last = _candidates(buckets, facts, size)
-        if not pairs.isEmpty():
-            found.append(written(_verified(docs, pairs), "links"))
-            links = found[0]
-            for more in found[1:]:
+    def __init__(self, docs: DataFrame, facts: DataFrame) -> None:
+        self.docs, self.facts = docs, facts
+        self.found: list[DataFrame] = []
+        self.rooted: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        candidates = _candidates(pairs, self.facts)
+        if not candidates.isEmpty():
+            self.found.append(written(_verified(self.docs, candidates), "links"))
+            links = self.found[0]
+            for more in self.found[1:]:
                 links = links.union(more)
-            rooted = components(links)
-        rest = buckets.join(last.hint("merge"), F.col("key") == F.col("of")).filter("n > last.n_a or (n = last.n_a and id > last.a)").select("key", "id", "n", "kind")
-        if rooted is not None:
-            rest = rest.join(rooted.hint("merge"), rest.id == rooted.node, "left").select("key", "id", "n", "kind", F.coalesce("root", "id").alias("part"))
-        else:
-            rest = rest.withColumn("part", F.col("id"))
+            self.rooted = components(links)
+        discarded(candidates)
+
+    def still(self, buckets: DataFrame) -> DataFrame:
+        """buckets with the components of their sets as part, without those that are of one component or have no smaller set left."""
+        rest = buckets
+        if self.rooted is not None:
+            rest = rest.drop("part").join(self.rooted.hint("merge"), rest.id == self.rooted.node, "left").withColumn("part", F.coalesce("root", "id")).drop("node", "root")
         rest = written(rest, "rest")
         alive = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("kind").alias("k")).filter(f"p <> q and k >= {BOTH}").select(F.col("key").alias("of"))
         left = written(rest.join(alive.hint("merge"), F.col("key") == F.col("of"), "left_semi"), "buckets")
-        discarded(pairs, rest, buckets)
+        discarded(rest)
+        return left
+
+
+def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFrame | None:
+    """(node, root) of sets that link with others; root names the component. None if there are no links.
+
+    First each set is compared with one other, the smallest that is first in a
+    bucket of both, which makes groups of near copies components of few pairs.
+    Then, in each round, the smallest sets of each bucket are compared with the
+    rest of it, unless both are in one component already. What a round has
+    compared leaves the bucket, and buckets of one component go, so groups of
+    near copies never give all their pairs.
+    """
+    links = _Links(docs, facts)
+    live = shared_keys(docs, frequent)
+    facts = facts.select("id", *FOLDED)
+    buckets = written(live.join(facts.hint("merge"), "id").withColumn("part", F.col("id")), "buckets")
+    discarded(live)
+    links.add(_nearest(buckets))
+    whole, size = buckets, FIRST_ROUND
+    buckets = links.still(whole)
+    discarded(whole)
+    while not buckets.isEmpty():
+        pairs, last = _first(buckets, size)
+        links.add(pairs)
+        rest = buckets.join(last.hint("merge"), F.col("key") == F.col("of")).filter("n > last.n_a or (n = last.n_a and id > last.a)").drop("of", "last")
+        left = links.still(rest)
+        discarded(buckets)
         buckets, size = left, size * GROWTH
-    return rooted
+    return links.rooted
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -398,7 +462,7 @@ def similar(docs: DataFrame) -> DataFrame:
     often = described_rows.filter("token is not null").groupBy("token").agg(F.sum("many").alias("many")).filter(F.col("many") >= least).toArrow()  # at most MOST_FREQUENT: each is in so many documents
     frequent = Frequent(np.asarray(often.column("token").combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(often.column("many").combine_chunks()))
     facts = written(
-        prints.filter("n > 0").groupBy(F.struct("h1", "h2").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("size"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)]),
+        prints.filter("n > 0").groupBy(F.struct("h1", "h2").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("size"), F.any_value("sketch").alias("sketch"), *[F.min(F.col("folded")[i]).alias(f) for i, f in enumerate(FOLDED)]),
         "facts",
     )
     named = facts.select("id", "doc_id", "copies")
