@@ -31,18 +31,11 @@ def test_constraints_of_redundant_meters(spark):
         assert x["in1"] + x["in2"] == pytest.approx(x["b"]) == pytest.approx(x["side"] + x["out"])
 
 
-def test_levels_cycles_and_nesting():
+def test_levels_of_blocks():
     level = balance.block_levels(EDGES, [0])
     assert level[0] == 0 < level[1] < level[2] < level[3] < level[5]
     with pytest.raises(ValueError, match="not reached"):
         balance.block_levels([*EDGES, ("far", 8, 9)], [0])
-    two = [(e, a, b) for e, a, b in EDGES if a is not None and b is not None]
-    cycles = balance.fundamental_cycles(two)
-    assert sorted(map(sorted, cycles)) == [["p1", "p2"], ["t1", "t2", "t3"]]
-    ends = {e: (a, b) for e, a, b in two}
-    assert len(balance.nested(cycles, ends)) == 2
-    ladder = [("a", 0, 1), ("b", 1, 2), ("c", 2, 0), ("d", 1, 3), ("e", 3, 2)]
-    assert len(balance.nested(balance.fundamental_cycles(ladder), {e: (u, v) for e, u, v in ladder})) == 1
 
 
 def test_comparison_of_series(spark):

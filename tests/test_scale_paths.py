@@ -20,20 +20,35 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_networks_on_the_driver_and_by_rounds(spark, net, monkeypatch):
+def test_parts_and_hops_of_networks(spark, net):
     starts = spark.createDataFrame([(100,), (5,)], "vertex long")
-    forward = net.filter("from_v < to_v")
-    few = [rows(graph.components(net)), rows(graph.hops(net, starts)), rows(graph.levels(forward)), rows(graph.components(net, net.edge % 3 != 0))]
-    monkeypatch.setattr(graph, "DRIVER_EDGES", 0)
-    many = [rows(graph.components(net)), rows(graph.hops(net, starts)), rows(graph.levels(forward)), rows(graph.components(net, net.edge % 3 != 0))]
-    assert few == many
-    with pytest.raises(ValueError):
-        graph.levels(spark.createDataFrame([(0, 1, 2), (1, 2, 1)], "edge long, from_v long, to_v long"))
-
-
-def test_cycles_are_found_on_the_driver(spark):
-    with pytest.raises(ValueError):
-        graph.levels(spark.createDataFrame([(0, 1, 2), (1, 2, 1)], "edge long, from_v long, to_v long"))
+    near = {}
+    for _, a, b in net.collect():
+        for v in (a, b):
+            if v is not None:
+                near.setdefault(v, set())
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    part, rank = {}, {100: (0, None), 5: (0, None)}
+    for root in sorted(near):
+        todo = [root]
+        while todo:
+            v = todo.pop()
+            if v not in part:
+                part[v] = root
+                todo += near[v]
+    front = [100, 5]
+    while front:
+        fresh = {}
+        for v in front:
+            for w in near[v]:
+                if w not in rank:
+                    fresh[w] = min(fresh.get(w, v), v)
+        rank |= {w: (rank[v][0] + 1, v) for w, v in fresh.items()}
+        front = list(fresh)
+    assert {r["vertex"]: r["component"] for r in graph.components(net).collect()} == part
+    assert {r["vertex"]: (r["rank"], r["before"]) for r in graph.hops(net, starts).collect()} == rank
 
 
 def one_pipe(history, length, diameter, dt, initial, substeps, state=None):

@@ -43,13 +43,13 @@ def test_integrity(spark, folder, change, message):
 
 
 def test_tags(spark, tmp_path):
-    (tmp_path / "F1.csv").write_text("01.01.2025 3:00:00;1662,396814\n1.1.2025 04:00:00;7200.5\n01.01.2025 5:00:00;x\n")
+    (tmp_path / "F1.csv").write_text("01.01.2025 3:00:00;5400,25\n1.1.2025 04:00:00;7200.5\n01.01.2025 5:00:00;x\n")
     (tmp_path / "V1.csv").write_text("01.01.2025 3:00:00;1\n01.01.2025 9:00:00;3\n")
     got = {(r["tag"], r["ts"].hour): r["value"] for r in tags.read_tags(spark, str(tmp_path), end="2025-01-01 05:00:00").collect()}
-    assert got == {("F1", 3): 1662.396814, ("F1", 4): 7200.5, ("F1", 5): None, ("V1", 3): 1.0}
+    assert got == {("F1", 3): 5400.25, ("F1", 4): 7200.5, ("F1", 5): None, ("V1", 3): 1.0}
     bindings = spark.createDataFrame([("F1", "m3/h", 7)], "tag string, dim string, place int")
     bound = tags.read_bound_tags(spark, str(tmp_path / "F1.csv"), bindings).filter("value is not null").orderBy("ts").collect()
-    assert [(r["place"], round(r["value"], 9)) for r in bound] == [(7, round(1662.396814 / 3600, 9)), (7, round(7200.5 / 3600, 9))]
+    assert [(r["place"], round(r["value"], 9)) for r in bound] == [(7, round(5400.25 / 3600, 9)), (7, round(7200.5 / 3600, 9))]
     assert [r["is_opened"] for r in tags.read_valve_states(spark, str(tmp_path / "V1.csv")).orderBy("ts").collect()] == [True, False]
     with pytest.raises(Exception, match="not a flag"):
         tags.read_tags(spark, str(tmp_path / "V1.csv"), kind="boolean").collect()
@@ -57,7 +57,7 @@ def test_tags(spark, tmp_path):
     with pytest.raises(Exception, match="no valve state"):
         tags.read_valve_states(spark, str(tmp_path / "V2.csv")).collect()
     tags.write_tags(tags.read_tags(spark, str(tmp_path / "F1.csv")).filter("value is not null"), str(tmp_path / "out"))
-    assert "01.01.2025 03:00:00;1662.396814" in "".join(p.read_text() for p in (tmp_path / "out" / "tag=F1").glob("*.csv"))
+    assert "01.01.2025 03:00:00;5400.25" in "".join(p.read_text() for p in (tmp_path / "out" / "tag=F1").glob("*.csv"))
 
 
 def test_synthetic_tags_are_reproducible(spark):

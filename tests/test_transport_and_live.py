@@ -61,17 +61,21 @@ def test_versions_of_the_topology(spark):
     assert got == [(0, 3, []), (4, 6, ["v"]), (7, 9, ["w"])]
 
 
-def test_zero_flow_parts():
-    edges = [(e.name, e.from_v, e.to_v) for e in NET]
-    whole = zeroflow.split(edges)
-    assert [(p.is_flow, len(p.edges)) for p in whole] == [(True, 7)]
-    parts = zeroflow.split(edges, closed={"GateB"})
-    flowing = [p for p in parts if p.is_flow]
-    assert len(flowing) == 1 and set(flowing[0].edges) == {"WellA", "GateA", "Vlv", "Main", "Depot"}
-    assert {e for p in parts if not p.is_flow for e in p.edges} == {"WellB", ("GateB", "sink"), ("GateB", "source")}
-    resting = zeroflow.split(edges, zero_sources={"WellB"})
-    part = next(p for p in resting if not p.is_flow)
-    assert set(part.edges) == {"WellB", "GateB"} and zeroflow.common_vertex(part, [p for p in resting if p.is_flow]) == 1
+def test_zero_flow_parts(spark):
+    def split(closed="", resting=""):
+        rows = [(i, e.from_v, e.to_v, e.name == closed, e.name == resting) for i, e in enumerate(NET)]
+        return zeroflow.split(spark.createDataFrame(rows, "edge long, from_v long, to_v long, is_closed boolean, is_resting boolean"))
+
+    def named(parts, flow):
+        return {(NET[r["edge"]].name, r["half"]) for r in parts.filter(f"is_flow = {flow}").collect()}
+
+    assert {n for n, _ in named(split(), True)} == {e.name for e in NET}
+    cut = split(closed="GateB")
+    assert {n for n, _ in named(cut, True)} == {"WellA", "GateA", "Vlv", "Main", "Depot"}
+    assert named(cut, False) == {("WellB", "whole"), ("GateB", "sink"), ("GateB", "source")}
+    still = split(resting="WellB")
+    assert {n for n, _ in named(still, False)} == {"WellB", "GateB"}
+    assert [(r["n"], r["vertex"]) for r in zeroflow.common_vertices(still).collect()] == [(1, 1)]
 
 
 def test_scalar_laws(spark):

@@ -117,72 +117,12 @@ def block_levels(edges: list[tuple], sources: list) -> dict:
                 near.setdefault(v, set()).add(("loop", k))
                 near.setdefault(("loop", k), set()).add(v)
     level = dict.fromkeys(sources, 0)
-    front = list(sources)
+    front, away = list(sources), 0
     while front:
+        away += 1
         fresh = {w for v in front for w in near.get(v, ()) if w not in level}
-        level.update(dict.fromkeys(fresh, max(level.values()) + 1))
+        level.update(dict.fromkeys(fresh, away))
         front = list(fresh)
     if rest := [v for v in near if v not in level]:
         raise ValueError(f"not reached from the sources: {rest[:5]}")
     return level
-
-
-def fundamental_cycles(edges: list[tuple]) -> list[list]:
-    """One cycle, as edges, for each edge (edge, u, v) beyond a spanning forest: that edge and the way back."""
-    above: dict = {}
-    near: dict = {}
-    for e, u, v in edges:
-        near.setdefault(u, []).append((e, v))
-        near.setdefault(v, []).append((e, u))
-    depth: dict = {}
-    tree = set()
-    for root in sorted(near):
-        if root in depth:
-            continue
-        depth[root], todo = 0, [root]
-        while todo:
-            v = todo.pop()
-            for e, w in near[v]:
-                if w not in depth:
-                    depth[w] = depth[v] + 1
-                    above[w] = (e, v)
-                    tree.add(e)
-                    todo.append(w)
-    out = []
-    for e, u, v in edges:
-        if e in tree:
-            continue
-        way = [e]
-        while u != v:
-            if depth[u] < depth[v]:
-                u, v = v, u
-            step, u = above[u]
-            way.append(step)
-        out.append(way)
-    return out
-
-
-def nested(cycles: list[list], ends: dict) -> list[list[int]]:
-    """Groups of cycles that share two vertices or more, directly or through others."""
-    vertices = [{v for e in c for v in ends[e]} for c in cycles]
-    at: dict = {}
-    for i, vs in enumerate(vertices):
-        for v in vs:
-            at.setdefault(v, []).append(i)
-    root = list(range(len(cycles)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, vs in enumerate(vertices):
-        for j in {j for v in vs for j in at[v] if j > i}:
-            if len(vs & vertices[j]) >= 2:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    groups: dict = {}
-    for i in range(len(cycles)):
-        groups.setdefault(find(i), []).append(i)
-    return list(groups.values())

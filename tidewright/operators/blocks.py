@@ -1,12 +1,13 @@
-"""Biconnected blocks, bridges and cut vertices; one component is one task."""
+"""Biconnected blocks, bridges and cut vertices of networks of any size."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators import graph
+from tidewright.operators import forest
+from tidewright.operators.components import components
+from tidewright.storage import discarded, written
 
 
 def biconnected(edges: list[tuple[int, int, int]]) -> list[list[int]]:
@@ -24,6 +25,7 @@ def biconnected(edges: list[tuple[int, int, int]]) -> list[list[int]]:
             continue
         depth[root] = low[root] = 0
         held: list[int] = []
+        place: dict[int, int] = {}
         path = [(root, -1, iter(near[root]))]
         while path:
             v, came, ways = path[-1]
@@ -32,6 +34,7 @@ def biconnected(edges: list[tuple[int, int, int]]) -> list[list[int]]:
                     continue
                 if w not in depth:
                     depth[w] = low[w] = depth[v] + 1
+                    place[e] = len(held)
                     held.append(e)
                     path.append((w, e, iter(near[w])))
                     break
@@ -44,24 +47,46 @@ def biconnected(edges: list[tuple[int, int, int]]) -> list[list[int]]:
                     u = path[-1][0]
                     low[u] = min(low[u], low[v])
                     if low[v] >= depth[u]:
-                        cut = held.index(came)
+                        cut = place[came]
                         blocks.append(sorted(held[cut:]))
                         del held[cut:]
     return blocks
 
 
 def blocks(edges: DataFrame) -> DataFrame:
-    """(edge, from_v, to_v, block, is_bridge) of two-sided edges; a block is named by its smallest edge."""
-    two = edges.filter("from_v is not null and to_v is not null").select(F.col("edge").cast("long").alias("edge"), F.col("from_v").cast("long").alias("from_v"), F.col("to_v").cast("long").alias("to_v"))
-    parts = graph.components(two)
-    placed = two.join(parts.withColumnRenamed("vertex", "from_v"), "from_v")
+    """(edge, from_v, to_v, block, is_bridge) of two-sided edges; a block is named by its smallest edge, a self-loop is in none.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        of = {e: (min(b), len(b) == 1) for b in biconnected(list(zip(rows["edge"], rows["from_v"], rows["to_v"], strict=True))) for e in b}
-        kept = rows[rows["edge"].isin(of)]
-        return kept.assign(block=[of[e][0] for e in kept["edge"]], is_bridge=[of[e][1] for e in kept["edge"]])[["edge", "from_v", "to_v", "block", "is_bridge"]]
-
-    return placed.groupBy("component").applyInPandas(run, "edge long, from_v long, to_v long, block long, is_bridge boolean")
+    A tree edge of a spanning forest is named by its lower end. It is in one
+    block with the edge above it if an edge beyond the tree leads from below it
+    to outside of what hangs below that one, and with another branch's edge if
+    an edge beyond the tree joins their lower ends. What is joined so, directly
+    or by others, is a block, and an edge beyond the tree is in that of its end
+    that the tour reaches later. So blocks are components of a graph with a row
+    for each edge at most; no component of the network is one task.
+    """
+    two = edges.filter("from_v is not null and to_v is not null").select(F.col("edge").cast("long").alias("edge"), F.col("from_v").cast("long").alias("u"), F.col("to_v").cast("long").alias("v"))
+    two = written(two, "two-sided")
+    tree, labels = forest.spanning_forest(two)
+    if tree.isEmpty():
+        return two.limit(0).select("edge", F.col("u").alias("from_v"), F.col("v").alias("to_v"), F.col("edge").alias("block"), F.lit(True).alias("is_bridge"))
+    tour = forest.euler_tour(tree, labels)
+    places = written(forest.numbered(tour), "places")
+    extra = written(forest.beyond_tree(two, tree, places), "beyond")
+    reached = extra.select(F.col("x").alias("vertex"), F.col("opens_y").alias("p")).union(extra.select("y", "opens_x"))
+    reached = reached.groupBy("vertex").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    below = forest.subtrees(tour, reached, {"lo": "min", "hi": "max"})
+    upper = tour.select(F.col("child").alias("parent"), F.col("opens").alias("opens_p"), F.col("closes").alias("closes_p"))
+    hung = tour.select("child", "parent").join(below.hint("merge"), "child").join(upper.hint("merge"), "parent")
+    joined = hung.filter("lo < opens_p or hi > closes_p").select(F.col("child").alias("u"), F.col("parent").alias("v"))
+    links = written(joined.union(extra.filter("closes_x < opens_y").select("x", "y")), "block-links")
+    named = components(links)
+    ends = tour.select("edge", F.col("child").alias("node")).union(extra.select("edge", "y"))
+    labelled = written(ends.join(named.hint("merge"), "node", "left").select("edge", F.coalesce("root", "node").alias("label")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("edge").alias("block"), F.count(F.lit(1)).alias("n"))
+    found = labelled.join(least.hint("merge"), "label").select("edge", "block", (F.col("n") == 1).alias("is_bridge"))
+    found = written(found.join(two.hint("merge"), "edge").select("edge", F.col("u").alias("from_v"), F.col("v").alias("to_v"), "block", "is_bridge"), "blocks")
+    discarded(two, tree, labels, tour, places, extra, links, labelled)
+    return found
 
 
 def cut_vertices(blocked: DataFrame) -> DataFrame:

@@ -13,65 +13,6 @@ from pyspark.sql.window import Window
 from tidewright.operators.components import components as _star_components
 from tidewright.storage import discarded, written
 
-#: A network of at most so many edges is gone through on the driver, in one pass; rounds of jobs are for larger ones. The number is checked each time.
-DRIVER_EDGES = 100_000
-
-
-def _few(edges: DataFrame) -> list[tuple] | None:
-    """(from_v, to_v) of all edges, ends that are null included, if they are few."""
-    rows = edges.select("from_v", "to_v").limit(DRIVER_EDGES + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= DRIVER_EDGES else None
-
-
-def _neighbours(pairs: list[tuple]) -> dict:
-    near: dict = {}
-    for a, b in pairs:
-        if a is not None and b is not None and a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    return near
-
-
-def _walk(near: dict, starts: list) -> dict:
-    """{vertex: (rank, smallest neighbour one step nearer)} from starts on."""
-    found, front, rank = {v: (0, None) for v in starts}, list(starts), 0
-    while front:
-        rank += 1
-        fresh: dict = {}
-        for v in front:
-            for w in near.get(v, ()):
-                if w not in found:
-                    fresh[w] = min(fresh.get(w, v), v)
-        found |= {w: (rank, v) for w, v in fresh.items()}
-        front = list(fresh)
-    return found
-
-
-def _peeled(pairs: list[tuple]) -> dict:
-    """{vertex: level}; raises on cycles."""
-    after: dict = {}
-    left: dict = {}
-    for a, b in pairs:
-        left.update({v: left.get(v, 0) for v in (a, b) if v is not None})
-    for a, b in {(a, b) for a, b in pairs if a is not None and b is not None}:
-        after.setdefault(a, []).append(b)
-        left[b] += 1
-    level, ready = {}, [v for v, n in left.items() if n == 0]
-    at = 0
-    while ready:
-        level |= dict.fromkeys(ready, at)
-        at += 1
-        coming = []
-        for v in ready:
-            for w in after.get(v, ()):
-                left[w] -= 1
-                if left[w] == 0:
-                    coming.append(w)
-        ready = coming
-    if len(level) < len(left):
-        raise ValueError("the graph has a cycle")
-    return level
-
 
 def ends(edges: DataFrame) -> DataFrame:
     """(vertex, edge, incidence): -1 where an edge leaves a vertex, +1 where it enters one; a sparse incidence matrix."""
@@ -121,13 +62,6 @@ def oriented(edges: DataFrame, flow: str = "flow") -> DataFrame:
 def components(edges: DataFrame, keep: Column | None = None) -> DataFrame:
     """(vertex, component): connected parts of the graph of the edges that keep allows; isolated vertices are parts of their own."""
     allowed = edges if keep is None else edges.filter(keep)
-    if (few := _few(allowed)) is not None:
-        near, root = _neighbours(few), {}
-        for v in sorted(near):
-            if v not in root:
-                root |= dict.fromkeys(_walk(near, [v]), v)
-        table = edges.sparkSession.createDataFrame([(int(v), int(r)) for v, r in root.items()], "vertex long, root long")
-        return vertices(edges).join(F.broadcast(table), "vertex", "left").select("vertex", F.coalesce("root", F.col("vertex").cast("long")).alias("component"))  # at most two for each of DRIVER_EDGES
     rooted = _star_components(allowed.filter("from_v is not null and to_v is not null").select(F.col("from_v").cast("long").alias("u"), F.col("to_v").cast("long").alias("v")))
     return vertices(edges).join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("vertex", F.coalesce("root", F.col("vertex").cast("long")).alias("component"))
 
@@ -155,10 +89,6 @@ def boundary(edges: DataFrame, inside: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(vertex, rank, before): least number of edges, in either direction, from starts(vertex), and the smallest neighbour one step nearer."""
-    kind = edges.schema["from_v"].dataType.simpleString()
-    if (few := _few(edges)) is not None:
-        found = _walk(_neighbours(few), [r["vertex"] for r in starts.select("vertex").distinct().collect()])
-        return edges.sparkSession.createDataFrame([(v, r, b) for v, (r, b) in found.items()], f"vertex {kind}, rank int, before long")
     both = edges.select(F.col("from_v").alias("u"), F.col("to_v").alias("v")).unionByName(edges.select(F.col("to_v").alias("u"), F.col("from_v").alias("v"))).filter("u is not null and v is not null and u <> v").distinct()
     both = written(both, "hops")
     layers = Layers(written(starts.select("vertex").distinct().select("vertex", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("before")), "hops"))
@@ -207,30 +137,77 @@ class Layers:
         return out
 
 
+def _hung_up(single: DataFrame) -> DataFrame:
+    """(v, u, a, b): for each v of single(v, u, a, b), the vertex where its chain of single edges begins, and the map x -> max(x + a, b) along it.
+
+    Maps of this kind give one of this kind again, so chains are doubled:
+    their number of rounds is the logarithm of the longest. Raises if a chain
+    never ends.
+    """
+    now = written(single.select("v", "u", "a", "b"), "chains")
+    longest, rounds = now.count(), 0
+    while True:
+        above = now.select(F.col("v").alias("u"), F.col("u").alias("u2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        met = now.join(above.hint("merge"), "u", "left")
+        after = written(
+            met.select("v", F.coalesce("u2", "u").alias("u"), (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), F.when(F.col("u2").isNull(), F.col("b")).otherwise(F.greatest(F.col("b2") + F.col("a"), F.col("b"))).alias("b"), F.col("u2").isNotNull().alias("moved")), "chains"
+        )
+        discarded(now)
+        now, rounds = after, rounds + 1
+        if after.filter("moved").isEmpty():
+            return after.drop("moved")
+        if 1 << rounds > 2 * longest:
+            raise ValueError("the graph has a cycle")
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(vertex, level): 0 for vertices that no edge enters, else one more than the highest level before; raises on cycles.
 
-    Each round peels the vertices without edges left from the remaining part
-    and hands the rest one more level.
+    The level of a vertex is max(x + a, b) of the level x before it, for each
+    edge that is left. Each round, vertices with one edge left hang on where
+    their chain begins, by doubling, and hand that on to the vertices after
+    them; edges from one vertex to another become one; and what hangs on a vertex whose
+    level is known leaves. So a chain or a tree of any length takes as many rounds
+    as its length has digits in base two, and a network as many as what is left
+    of it when chains are single edges has levels.
     """
-    if (few := _few(edges)) is not None:
-        return edges.sparkSession.createDataFrame(list(_peeled(few).items()), f"vertex {edges.schema['from_v'].dataType.simpleString()}, level int")
-    left = edges.filter("from_v is not null and to_v is not null").select("from_v", "to_v").distinct()
-    rest = written(vertices(edges), "levels")
-    layers, level = None, 0
-    while not rest.isEmpty():
-        inner = left.join(rest.select(F.col("vertex").alias("from_v")), "from_v", "left_semi")
-        ready = written(rest.join(inner.select(F.col("to_v").alias("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)), "levels")
-        if ready.isEmpty():
+    kind = edges.schema["from_v"].dataType
+    live = edges.filter("from_v is not null and to_v is not null").select(F.col("from_v").alias("u"), F.col("to_v").alias("v"), F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
+    live = written(live, "level-edges")
+    if not live.filter("u = v").isEmpty():
+        raise ValueError("the graph has a cycle")
+    entered = live.select(F.col("v").alias("vertex")).distinct()
+    known = written(vertices(edges).join(entered.hint("merge"), "vertex", "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    layers = Layers(known)
+    hanging: list[DataFrame] = []
+    while not live.isEmpty():
+        many = live.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("v").alias("w"))
+        single = live.join(many.hint("merge"), F.col("v") == F.col("w"), "left_anti")
+        hung = written(_hung_up(single), "hung")
+        if hung.isEmpty():
+            raise ValueError("the graph has a cycle")
+        hanging.append(hung)
+        above = hung.select(F.col("v").alias("u"), F.col("u").alias("top"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        rest = live.join(many.hint("merge"), F.col("v") == F.col("w"), "left_semi").join(above.hint("merge"), "u", "left")
+        moved = rest.select(F.coalesce("top", "u").alias("u"), "v", (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), F.when(F.col("top").isNull(), F.col("b")).otherwise(F.greatest(F.col("b2") + F.col("a"), F.col("b"))).alias("b"))
+        joined = moved.groupBy("u", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        joined = written(_met_by_known(joined, layers.all()), "level-edges")
+        if not joined.filter("u = v").isEmpty():
             raise ValueError("the graph has a cycle")
-        if layers is None:
-            layers = Layers(ready)
-        else:
-            layers.add(ready)
-        peeled, rest = rest, written(rest.join(ready.select("vertex"), "vertex", "left_anti"), "levels")
-        discarded(peeled)
-        level += 1
-    return layers.all() if layers else rest.withColumn("level", F.lit(0))
+        discarded(live)
+        live = joined
+    for hung in reversed(hanging):
+        tops = layers.all().select(F.col("vertex").alias("u"), "level")
+        layers.add(written(hung.join(tops.hint("merge"), "u").select(F.col("v").alias("vertex"), F.greatest(F.col("level") + F.col("a"), F.col("b")).alias("level")), "levels"))
+    return layers.all().select(F.col("vertex").cast(kind).alias("vertex"), F.col("level").cast("int").alias("level"))
+
+
+def _met_by_known(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """edges(u, v, a, b) with all that come to a vertex from known(vertex, level) ones made one, from one of them."""
+    met = edges.join(known.select(F.col("vertex").alias("u"), "level").hint("merge"), "u", "left")
+    sure = met.filter("level is not null").groupBy("v").agg(F.min_by(F.struct("u", "level"), "u").alias("m"), F.max(F.greatest(F.col("level") + F.col("a"), F.col("b"))).alias("least"))
+    at_least = sure.select("m.u", "v", F.lit(0).cast("long").alias("a"), F.greatest(F.col("least"), F.col("m.level")).alias("b"))
+    return met.filter("level is null").select("u", "v", "a", "b").unionByName(at_least)
 
 
 def cut_apart(edges: DataFrame, splittable: Column) -> DataFrame:

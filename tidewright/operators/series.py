@@ -109,22 +109,23 @@ def preceded(rows: DataFrame, value: str, name: str, slice_seconds: int = 86_400
     """rows(tag, ts, ...) with what value was at the tag's row before, as name; null at its first.
 
     Rows are dealt by tag and slice of time; a slice's first row has it from
-    one row for each slice, so a tag of any size is many tasks' work.
+    one row for each slice, so a tag of any size is many tasks' work. Rows of
+    one time come in order of value.
     """
     sliced = rows.withColumn("slice", _slice(slice_seconds))
-    here = Window.partitionBy("tag", "slice").orderBy("ts")
-    ends = sliced.groupBy("tag", "slice").agg(F.max_by(value, "ts").alias("last"))
+    here = Window.partitionBy("tag", "slice").orderBy("ts", value)
+    ends = sliced.groupBy("tag", "slice").agg(F.max_by(value, F.struct("ts", value)).alias("last"))
     carried = ends.select("tag", "slice", F.lag("last").over(Window.partitionBy("tag").orderBy("slice")).alias("carried"))
     placed = sliced.withColumn("own", F.lag(value).over(here)).withColumn("nth", F.row_number().over(here))
     return placed.join(carried, ["tag", "slice"]).withColumn(name, F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("own"))).select(*rows.columns, name)
 
 
 def numbered(rows: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
-    """rows(tag, ts, ...) with nth: their numbers within the tag, from 0 in order of ts, by slices of time."""
+    """rows(tag, ts, ...) with nth: their numbers within the tag, from 0 in order of ts, by slices of time; rows of one time in order of a hash of all they hold."""
     sliced = rows.withColumn("slice", _slice(slice_seconds))
     so_far = Window.partitionBy("tag").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = sliced.groupBy("tag", "slice").agg(F.count(F.lit(1)).alias("n")).select("tag", "slice", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
-    placed = sliced.withColumn("nth", F.row_number().over(Window.partitionBy("tag", "slice").orderBy("ts")) - 1)
+    placed = sliced.withColumn("nth", F.row_number().over(Window.partitionBy("tag", "slice").orderBy("ts", F.xxhash64(*rows.columns))) - 1)
     return placed.join(counts, ["tag", "slice"]).withColumn("nth", F.col("nth") + F.col("before")).select(*rows.columns, "nth")
 
 

@@ -57,7 +57,7 @@ def valve_states(spark, sf_dir):
 def profile_files(spark, sf_dir):
     """Parts as pipes whose heights are written and read back."""
     path = _place(spark, "profiles")
-    points = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select((F.col("l_suppkey") % 20).alias("pipe"), (F.col("l_orderkey") * 10.0 + F.col("l_linenumber")).alias("x"), F.col("l_quantity").alias("height"))
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("pipe"), (F.col("l_orderkey") * 10.0 + F.col("l_linenumber")).alias("x"), F.col("l_quantity").alias("height"))
     tags.write_profile(points, path)
     return tags.read_profile(spark, path).groupBy("x").agg(F.round(F.sum("height"), 4).alias("height"))
 
@@ -99,7 +99,7 @@ def _bounds(spark, sf_dir):
     day = F.to_date("l_shipdate")
     kinds = F.array(*[F.lit(k) for k in ("density_std", "vol_flow_std_in", "temperature_out")])
     one = F.struct(F.concat(F.lit("line "), F.col("l_suppkey").cast("string")).alias("edge"), F.lit(None).cast("long").alias("vertex"), F.element_at(kinds, (F.col("l_linenumber") % 3 + 1).cast("int")).alias("type"), F.col("l_quantity").alias("value"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    lines = table(spark, sf_dir, "lineitem")
     layer = lines.groupBy(day.alias("day"), "l_linenumber").agg(F.collect_list(one).alias("transport_measurements"), F.max("l_quantity").alias("most"))
     controls = F.struct(F.map_from_arrays(F.array(F.lit("gate")), F.array(F.struct(F.when(F.col("most") > 40, 1.0).otherwise(0.0).alias("opening")))).alias("valves"), F.map_from_arrays(F.array(F.lit("well")), F.array(F.struct(F.col("most").alias("std_vol_flow")))).alias("sources"))
     shaped = layer.select("day", F.struct(F.concat_ws("/", F.col("day").cast("string"), F.col("l_linenumber").cast("string")).alias("step"), "transport_measurements", controls.alias("controls")).alias("l"))
@@ -171,7 +171,7 @@ WITH b(tag, d, o, name, mtype) AS (VALUES ('click', 3600.0::DOUBLE, 0.0::DOUBLE,
 SELECT name, mtype, count(*) AS n, round(sum(value / d - o) / 1e6, 6) AS total FROM events JOIN b ON event_type = tag GROUP BY 1, 2""",
     "valve_states": """
 SELECT 'v' || user_id % 10 AS tag, count(*) AS n, count(*) FILTER (floor(value)::BIGINT % 6 + 1 <> 3) AS n_open FROM events GROUP BY 1""",
-    "profile_files": "SELECT l_orderkey * 10.0::DOUBLE + l_linenumber AS x, round(sum(l_quantity), 4) AS height FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1",
+    "profile_files": "SELECT l_orderkey * 10.0::DOUBLE + l_linenumber AS x, round(sum(l_quantity), 4) AS height FROM lineitem GROUP BY 1",
     "topology_read": f"""
 WITH {strong_sql(0.9)} SELECT 'line ' || edge AS name, 'Edge2' AS edge_type, from_v, to_v FROM e UNION ALL SELECT s_name, 'Edge1', NULL, s_nationkey::BIGINT FROM supplier""",
     "objects_read": """
@@ -184,9 +184,9 @@ SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'density_std' WHEN 1 THEN
  CASE WHEN s_suppkey % 5 = 3 OR length(s_name) % 2 = 0 THEN '' ELSE 'K-C' END AS dim FROM supplier""",
     "bounds_measurements": """
 SELECT CAST(l_shipdate AS DATE)::VARCHAR || '/' || l_linenumber AS step, CASE l_linenumber % 3 WHEN 0 THEN 'density_std' WHEN 1 THEN 'vol_flow_std' ELSE 'temperature' END AS mtype,
- CASE l_linenumber % 3 WHEN 1 THEN 'Inlet' WHEN 2 THEN 'Outlet' END AS side, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3""",
+ CASE l_linenumber % 3 WHEN 1 THEN 'Inlet' WHEN 2 THEN 'Outlet' END AS side, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY 1, 2, 3""",
     "bounds_controls": """
-WITH m AS (SELECT CAST(l_shipdate AS DATE)::VARCHAR || '/' || l_linenumber AS step, max(l_quantity) AS most FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+WITH m AS (SELECT CAST(l_shipdate AS DATE)::VARCHAR || '/' || l_linenumber AS step, max(l_quantity) AS most FROM lineitem GROUP BY 1)
 SELECT step, 'valve' AS kind, 'gate' AS name, most > 40 AS is_opened, NULL::DOUBLE AS std_vol_flow FROM m UNION ALL SELECT step, 'source', 'well', NULL, most FROM m""",
     "confidence_flags": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false END AS is_confident FROM part",
     "result_layers": """

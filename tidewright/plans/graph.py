@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewright.operators import graph
 from tidewright.plans.tables import NET_SQL, net, strong, strong_sql, table
@@ -55,6 +56,14 @@ def topo_levels(spark, sf_dir):
     return graph.levels(_strong(spark, sf_dir, 0.8).filter("from_v < to_v")).select("vertex", F.col("level").cast("long").alias("level"))
 
 
+def order_levels(spark, sf_dir):
+    """How many orders come before each at least, where an order waits for its customer's last one and for the last one of the desk that serves every 50th customer."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("to_v"), "o_custkey", (F.col("o_custkey") % 50).alias("desk"))
+    before = orders.select("to_v", *[F.lag("to_v").over(Window.partitionBy(by).orderBy("to_v")).alias(by) for by in ("o_custkey", "desk")])
+    waits = before.select("to_v", F.explode(F.array("o_custkey", "desk")).alias("from_v")).select((F.col("to_v") * 2).alias("edge"), "from_v", "to_v")
+    return graph.levels(waits).select("vertex", F.col("level").cast("long").alias("level"))
+
+
 def break_splittables(spark, sf_dir):
     edges = net(spark, sf_dir).filter("from_v <> to_v")
     least = _strong(spark, sf_dir, 0.95).select("edge", F.lit(True).alias("cut"))
@@ -81,7 +90,7 @@ def jumper_collapse(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vertex_degree_ranked, source_sink_vertices, incidence_coo, reduced_incidence_split, orient_by_flow, components_threshold, quotient_graph, bfs_rank, topo_levels, break_splittables, zeroflow_classify, descend_ascend_roundtrip, jumper_collapse)
+    for f in (vertex_degree_ranked, source_sink_vertices, incidence_coo, reduced_incidence_split, orient_by_flow, components_threshold, quotient_graph, bfs_rank, topo_levels, order_levels, break_splittables, zeroflow_classify, descend_ascend_roundtrip, jumper_collapse)
 }
 
 
@@ -118,6 +127,7 @@ WITH RECURSIVE {strong_sql(0.9)},
 walk AS (SELECT min(u) AS vertex, 0 AS rank FROM both_ways UNION SELECT b.v, rank + 1 FROM walk JOIN both_ways b ON b.u = vertex WHERE rank < 25),
 r AS (SELECT vertex, min(rank) AS rank FROM walk GROUP BY vertex)
 SELECT r.vertex, r.rank::BIGINT AS rank, (SELECT min(q.vertex) FROM r q JOIN both_ways b ON b.u = q.vertex AND b.v = r.vertex WHERE q.rank = r.rank - 1) AS before FROM r""",
+    "order_levels": "SELECT o_orderkey AS vertex, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS level FROM orders",
     "topo_levels": f"""
 WITH RECURSIVE {strong_sql(0.8)}, d AS (SELECT from_v, to_v FROM e WHERE from_v < to_v),
 walk AS (SELECT v AS vertex, 0 AS level FROM (SELECT from_v AS v FROM d UNION SELECT to_v FROM d) UNION SELECT d.to_v, level + 1 FROM walk JOIN d ON d.from_v = vertex)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.functions import profiles
-from tidewright.operators import advection, balance, blocks, compare, flows, hydraulics, identify, mixing, pipe_tasks, thermal, transport, zeroflow
+from tidewright.operators import advection, blocks, compare, flows, forest, hydraulics, identify, mixing, pipe_tasks, thermal, transport, zeroflow
 from tidewright.operators.transport import Edge
 from tidewright.plans.networks import _daily
 from tidewright.plans.pipes import _ISAEV
-from tidewright.plans.tables import net, strong, strong_sql, table
+from tidewright.plans.tables import BLOCKS_SQL, net, strong, strong_sql, table
 
 COURANT = 0.4
 
@@ -124,23 +124,52 @@ def cuts_turned(spark, sf_dir):
     return blocks.turned_by_flow(cuts).withColumn("flow", F.round("flow", 2))
 
 
+def _links(spark, sf_dir, share):
+    return strong(net(spark, sf_dir), share).select("edge", F.col("from_v").alias("u"), F.col("to_v").alias("v"))
+
+
 def cycle_count(spark, sf_dir):
-    """Independent cycles of the network of nations, and how many edges they have together at least."""
-    edges = [(r["edge"], r["from_v"], r["to_v"]) for r in strong(net(spark, sf_dir), 0.8).select("edge", "from_v", "to_v").collect()]
-    cycles = balance.fundamental_cycles(edges)
-    return spark.createDataFrame([(len(cycles), all(len(set(c)) == len(c) for c in cycles))], "n_cycles long, are_simple boolean")
+    """Independent cycles of the network of nations, and whether each is one way round: two of its edges at each of its vertices."""
+    edges = _links(spark, sf_dir, 0.8)
+    cycles = forest.fundamental_cycles(edges)
+    ends = cycles.join(edges, "edge").select("cycle", F.explode(F.array("u", "v")).alias("vertex")).groupBy("cycle", "vertex").agg(F.count(F.lit(1)).alias("n"))
+    return ends.groupBy("cycle").agg(F.bool_and(F.col("n") == 2).alias("is_simple")).agg(F.count(F.lit(1)).alias("n_cycles"), F.coalesce(F.bool_and("is_simple"), F.lit(True)).alias("are_simple"))
+
+
+def nested_cycles(spark, sf_dir):
+    """Edges of cycles that share edges, directly or through others."""
+    return forest.nested_cycles(forest.fundamental_cycles(_links(spark, sf_dir, 0.93)))
+
+
+def _gated(spark, sf_dir):
+    """The network of nations cut at every third edge; one-sided edges of nations with suppliers, those whose suppliers owe much at rest."""
+    two = strong(net(spark, sf_dir), 0.95).select("edge", "from_v", "to_v", (F.col("edge") % 3 == 0).alias("is_closed"), F.lit(False).alias("is_resting"))
+    inside = two.select(F.explode(F.array("from_v", "to_v")).alias("v")).distinct()
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("v")).agg(F.max("s_acctbal").alias("most"))
+    one = suppliers.join(inside, "v").select((F.lit(10_000) + F.col("v")).alias("edge"), F.lit(None).cast("long").alias("from_v"), F.col("v").alias("to_v"), F.lit(False).alias("is_closed"), (F.col("most") < 9000).alias("is_resting"))
+    return two.unionByName(one)
 
 
 def zero_flow_split(spark, sf_dir):
-    """The network of nations cut at every third edge; one-sided edges of suppliers, those in debt at rest: which nations are in parts that flow reaches."""
-    edges = [(r["edge"], r["from_v"], r["to_v"]) for r in strong(net(spark, sf_dir), 0.95).select("edge", "from_v", "to_v").collect()]
-    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("v")).agg(F.max("s_acctbal").alias("most")).collect()
-    one = [(10_000 + r["v"], None, r["v"]) for r in suppliers]
-    resting = {10_000 + r["v"] for r in suppliers if r["most"] < 9000}
-    inside = {v for _, a, b in edges for v in (a, b)}
-    parts = zeroflow.split([*edges, *[x for x in one if x[2] in inside]], {e for e, _, _ in edges if e % 3 == 0}, resting)
-    rows = sorted((v, any(v in p.vertices for p in parts if p.is_flow)) for v in inside)
-    return spark.createDataFrame(rows, "vertex long, carries_flow boolean")
+    """Which nations are in parts that flow reaches."""
+    at = zeroflow.part_vertices(zeroflow.split(_gated(spark, sf_dir)))
+    return at.groupBy("vertex").agg(F.bool_or("is_flow").alias("carries_flow"))
+
+
+def zero_flow_edges(spark, sf_dir):
+    """Which edges, and halves of closed ones, rest, and which are in parts that carry flow."""
+    return zeroflow.split(_gated(spark, sf_dir)).select("edge", "half", "is_zero", "is_flow")
+
+
+def zero_flow_members(spark, sf_dir):
+    """How many vertices and edges the subgraphs have, and that going down to local numbers and up again changes nothing."""
+    parts = zeroflow.split(_gated(spark, sf_dir))
+    vertices, edges = zeroflow.members(parts)
+    up = vertices.select(F.col("subgraph").alias("s"), F.col("local").alias("to_local"), F.col("vertex").alias("to_v"))
+    back = edges.filter("to_local is not null").join(up, (F.col("subgraph") == F.col("s")) & (edges.to_local == up.to_local)).select("edge", "half", "to_v")
+    same = parts.select("edge", "half", "to_v").filter("to_v is not null").intersect(back).agg(F.count(F.lit(1)).alias("n_same"))
+    sizes = vertices.agg(F.countDistinct("subgraph").alias("n_subgraphs"), F.count(F.lit(1)).alias("n_places"))
+    return sizes.crossJoin(same)  # one row each
 
 
 #: A triangle of gates fed at two corners, a side outlet at the third and a pair of pipes behind.
@@ -186,12 +215,33 @@ def friction_identified(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (face_schemes, head_curves, searches, pipe_histories, thermal_histories, euler_steps, redundant_parts, cuts_turned, cycle_count, zero_flow_split, loop_transport, confident_places, viscosity_and_trust, friction_identified)
+    for f in (face_schemes, head_curves, searches, pipe_histories, thermal_histories, euler_steps, redundant_parts, cuts_turned, cycle_count, nested_cycles, zero_flow_split, zero_flow_edges, zero_flow_members, loop_transport, confident_places, viscosity_and_trust, friction_identified)
 }
 
 _C = f"{COURANT}::DOUBLE"
 _W = "a AS (SELECT edge, from_v, to_v FROM e)"
 
+#: After strong_sql(0.95): the cut network; what rests is told by walking from both ends of each edge without it.
+GATED_SQL = f"""{strong_sql(0.95)},
+cut AS (SELECT edge, h AS half, CASE h WHEN 'source' THEN NULL ELSE from_v END AS from_v, CASE h WHEN 'sink' THEN NULL ELSE to_v END AS to_v, edge % 3 = 0 AS rests
+    FROM e, unnest(CASE WHEN edge % 3 = 0 THEN ['sink', 'source'] ELSE ['whole'] END) AS t(h)
+  UNION ALL SELECT 10000 + s_nationkey, 'whole', NULL, s_nationkey, max(s_acctbal) < 9000 FROM supplier WHERE s_nationkey IN (SELECT u FROM both_ways) GROUP BY s_nationkey),
+two AS (SELECT * FROM cut WHERE NOT rests AND from_v IS NOT NULL AND to_v IS NOT NULL),
+ways AS (SELECT edge, from_v AS a, to_v AS b FROM two UNION ALL SELECT edge, to_v, from_v FROM two),
+starts AS (SELECT edge AS without, from_v AS start FROM two UNION ALL SELECT edge, to_v FROM two UNION ALL SELECT -edge, to_v FROM cut WHERE edge >= 10000),
+walk AS (SELECT without, start, start AS here FROM starts UNION SELECT without, start, b FROM walk JOIN ways ON a = here AND edge <> without),
+sides AS (SELECT without, start, count(*) AS n_v, (SELECT count(*) FROM two WHERE edge <> w.without AND from_v IN (SELECT here FROM walk AS x WHERE x.without = w.without AND x.start = w.start)) AS n_e,
+    (SELECT count(*) FROM cut WHERE NOT rests AND from_v IS NULL AND edge <> -w.without AND to_v IN (SELECT here FROM walk AS x WHERE x.without = w.without AND x.start = w.start)) AS n_s FROM walk AS w GROUP BY without, start),
+dead AS (SELECT abs(without) AS edge FROM sides WHERE n_s = 0 AND n_e = n_v - 1),
+bridges AS (SELECT edge FROM two WHERE NOT EXISTS (SELECT 1 FROM walk WHERE without = edge AND start = from_v AND here = to_v)),
+zero AS (SELECT edge FROM dead WHERE edge >= 10000 OR edge IN (SELECT edge FROM bridges)),
+marked AS (SELECT cut.*, rests OR edge IN (SELECT edge FROM zero) AS is_zero FROM cut),
+joined AS (SELECT is_zero, from_v AS a, to_v AS b FROM marked WHERE from_v IS NOT NULL AND to_v IS NOT NULL UNION SELECT is_zero, to_v, from_v FROM marked WHERE from_v IS NOT NULL AND to_v IS NOT NULL),
+near AS (SELECT is_zero, v, v AS other FROM marked, unnest([from_v, to_v]) AS t(v) WHERE v IS NOT NULL UNION SELECT near.is_zero, v, b FROM near JOIN joined ON joined.is_zero = near.is_zero AND a = other),
+named AS (SELECT is_zero, v, min(other) AS part FROM near GROUP BY is_zero, v),
+inside AS (SELECT marked.*, part FROM marked JOIN named ON named.is_zero = marked.is_zero AND v = coalesce(from_v, to_v)),
+placed AS (SELECT *, NOT is_zero AND count(*) FILTER (from_v IS NULL OR to_v IS NULL) OVER (PARTITION BY is_zero, part) >= 2 AS is_flow FROM inside)"""
+
 ORACLES = {
     "face_schemes": f"""
 WITH n AS (SELECT user_id AS pipe, row_number() OVER w AS nth, count(*) OVER (PARTITION BY user_id) AS n, value + 800 AS c, lag(value + 800) OVER w AS l, lead(value + 800) OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -235,6 +285,14 @@ WITH RECURSIVE {strong_sql(0.8)}, v AS (SELECT DISTINCT u AS vertex FROM both_wa
 reach AS (SELECT vertex, vertex AS root FROM v UNION SELECT b.v, reach.root FROM reach JOIN both_ways AS b ON b.u = reach.vertex),
 parts AS (SELECT count(DISTINCT r) AS n FROM (SELECT vertex, min(root) AS r FROM reach GROUP BY vertex))
 SELECT (SELECT count(*) FROM e) - (SELECT count(*) FROM v) + n AS n_cycles, true AS are_simple FROM parts""",
+    "nested_cycles": f"""
+WITH RECURSIVE {strong_sql(0.93)}, {BLOCKS_SQL} SELECT edge, block AS nest FROM blocks WHERE NOT is_bridge""",
+    "zero_flow_split": f"""
+WITH RECURSIVE {GATED_SQL} SELECT vertex, bool_or(is_flow) AS carries_flow FROM placed, unnest([from_v, to_v]) AS t(vertex) WHERE vertex IS NOT NULL GROUP BY vertex""",
+    "zero_flow_edges": f"WITH RECURSIVE {GATED_SQL} SELECT edge, half, is_zero, is_flow FROM placed",
+    "zero_flow_members": f"""
+WITH RECURSIVE {GATED_SQL}, spots AS (SELECT DISTINCT is_zero, part, vertex FROM placed, unnest([from_v, to_v]) AS t(vertex) WHERE vertex IS NOT NULL)
+SELECT count(DISTINCT (is_zero, part)) AS n_subgraphs, count(*) AS n_places, (SELECT count(*) FROM placed WHERE to_v IS NOT NULL) AS n_same FROM spots""",
     "loop_transport": """
 WITH d AS (SELECT CAST(l_shipdate AS DATE) AS t, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'N') AS b, sum(l_quantity) FILTER (l_returnflag = 'R') / 1000 AS c FROM lineitem GROUP BY 1),
 f AS (SELECT *, (t - DATE '1990-01-01')::BIGINT AS step, a - c AS through FROM d WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)

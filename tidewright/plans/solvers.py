@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.operators import advection, blocks, graph, hydraulics
-from tidewright.plans.tables import NET_SQL, net, strong, strong_sql, table
+from tidewright.plans.tables import BLOCKS_SQL, NET_SQL, net, strong, strong_sql, table
 
 
 def batch_advection(spark, sf_dir):
@@ -100,6 +100,8 @@ k AS (SELECT *, 850 * 9.81::DOUBLE AS w, {HEADS[0][0]}::DOUBLE AS a1, {-HEADS[0]
 f AS (SELECT *, (-w * (b1 + b2) * 3600 + sqrt(pow(w * (b1 + b2) * 3600, 2) + 4 * r * (w * (a1 + a2) - 2e6))) / (2 * r) AS q FROM k)
 SELECT s_suppkey, vertex, round(CASE vertex WHEN 0 THEN p WHEN 1 THEN p + w * (a1 - b1 * 3600 * q) WHEN 2 THEN p + w * (a1 - b1 * 3600 * q) + w * (a2 - b2 * 3600 * q) WHEN 3 THEN p + 2e6 END, 1) AS pressure, true AS converged
 FROM f, (SELECT i AS vertex FROM range(5) AS t(i))""",
+    "biconnected_blocks": f"""
+WITH RECURSIVE {strong_sql(0.93)}, {BLOCKS_SQL} SELECT e.edge, from_v, to_v, block, is_bridge FROM blocks JOIN e ON e.edge = blocks.edge""",
     "block_cut_vertices": f"""
 WITH RECURSIVE {strong_sql(0.97)}, v AS (SELECT DISTINCT u AS vertex FROM both_ways),
 walk AS (SELECT x.vertex AS without, y.vertex AS a, y.vertex AS b FROM v x, v y WHERE x.vertex <> y.vertex

@@ -52,5 +52,15 @@ e AS (SELECT * FROM apart WHERE flow >= (SELECT quantile_disc(flow, {share}) FRO
 both_ways AS (SELECT from_v AS u, to_v AS v FROM e UNION SELECT to_v, from_v FROM e)"""
 
 
+#: After strong_sql(): two edges are in one block if no vertex that is taken out parts them.
+BLOCKS_SQL = """
+bv AS (SELECT DISTINCT u AS vertex FROM both_ways),
+bwalk AS (SELECT x.vertex AS without, y.vertex AS a, y.vertex AS b FROM bv x, bv y WHERE x.vertex <> y.vertex
+  UNION SELECT without, a, v FROM bwalk JOIN both_ways ON u = b WHERE v <> without),
+bpart AS (SELECT without, a, min(b) AS part FROM bwalk GROUP BY without, a),
+bside AS (SELECT edge, vertex AS without, part FROM e, bv JOIN bpart ON bpart.without = vertex WHERE a = CASE WHEN from_v = vertex THEN to_v ELSE from_v END),
+bsame AS (SELECT x.edge, y.edge AS other FROM bside x JOIN bside y ON x.without = y.without AND x.part = y.part GROUP BY x.edge, y.edge HAVING count(*) = (SELECT count(*) FROM bv)),
+blocks AS (SELECT edge, min(other) AS block, count(*) = 1 AS is_bridge FROM bsame GROUP BY edge)"""
+
 TAGS_SQL = "tags AS (SELECT user_id AS tag, ts, value FROM events)"
 PERIOD_SQL = "period AS (SELECT max(a) AS t_start, min(b) AS t_end FROM (SELECT min(ts) AS a, max(ts) AS b FROM tags WHERE value IS NOT NULL GROUP BY tag))"
