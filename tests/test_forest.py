@@ -104,8 +104,8 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     n = 20_000
     chain = spark.range(n).selectExpr("id edge", "id * 7919 % 20011 x", "id").selectExpr("edge", "id from_v", "id + 1 to_v")
     rounds = []
-    kept = graph.written
-    monkeypatch.setattr(graph, "written", lambda df, label: rounds.append(label) or kept(df, label))
+    kept = graph.observed
+    monkeypatch.setattr(graph, "observed", lambda df, label, **asked: rounds.append(label) or kept(df, label, **asked))
     top = graph.levels(chain).selectExpr("max(level)", "count(*)").first()
     assert tuple(top) == (n, n + 1)
     assert len([x for x in rounds if x == "chains"]) <= 25

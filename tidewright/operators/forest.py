@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.operators.components import components
-from tidewright.storage import discarded, written
+from tidewright.storage import discarded, observed, written
 
 #: Places of a tour that are one row of an index.
 PIECE = 1024
@@ -33,10 +33,11 @@ def _roots_of(pointers: DataFrame) -> DataFrame:
     now = written(pointers.select("c", F.coalesce("o", "c").alias("o")), "pointers")
     while True:
         ahead = now.select(F.col("c").alias("o"), F.col("o").alias("further"))
-        after = written(_joined(now, ahead, "o").select("c", F.col("further").alias("o"), (F.col("further") != F.col("o")).alias("moved")), "pointers")
+        doubled = _joined(now, ahead, "o").select("c", F.col("further").alias("o"), (F.col("further") != F.col("o")).alias("moved"))
+        after, seen = observed(doubled, "pointers", moved=F.count_if("moved"))
         discarded(now)
         now = after
-        if after.filter("moved").isEmpty():
+        if not seen["moved"]:
             return after.select("c", F.col("o").alias("root"))
 
 
@@ -49,10 +50,10 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     between two parts the least stays. Vertices without edges to others are
     left out.
     """
-    live = written(edges.filter("u <> v").select("edge", "u", "v", F.col("u").alias("a"), F.col("v").alias("b"), F.xxhash64("edge").alias("w")), "live")
+    live, seen = observed(edges.filter("u <> v").select("edge", "u", "v", F.col("u").alias("a"), F.col("v").alias("b"), F.xxhash64("edge").alias("w")), "live", n=F.count(F.lit(1)))
     chosen: list[DataFrame] = []
     maps: list[DataFrame] = []
-    while not live.isEmpty():
+    while seen["n"]:
         both = live.select(F.col("a").alias("c"), F.col("b").alias("o"), "w", "edge", "u", "v").union(live.select(F.col("b").alias("c"), F.col("a").alias("o"), "w", "edge", "u", "v"))
         taken = written(both.groupBy("c").agg(F.min(F.struct("w", "edge", "o", "u", "v")).alias("m")).select("c", "m.*"), "taken")
         chosen.append(written(taken.select("edge", "u", "v").distinct(), "tree"))
@@ -65,7 +66,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             moved = _joined(moved, roots.select(F.col("c").alias(side), F.col("root").alias(f"{side}_root")), side).drop(side).withColumnRenamed(f"{side}_root", side)
         low, high = F.least("a", "b"), F.greatest("a", "b")
         fewer = moved.filter("a <> b").groupBy(low.alias("p"), high.alias("q")).agg(F.min(F.struct("w", "edge", "u", "v", "a", "b")).alias("m"))
-        rest = written(fewer.select("m.edge", "m.u", "m.v", "m.a", "m.b", "m.w"), "live")
+        rest, seen = observed(fewer.select("m.edge", "m.u", "m.v", "m.a", "m.b", "m.w"), "live", n=F.count(F.lit(1)))
         discarded(live, taken)
         live = rest
     spark = edges.sparkSession
@@ -116,11 +117,12 @@ def euler_tour(tree: DataFrame, labels: DataFrame) -> DataFrame:
     ahead = _joined(met.withColumnRenamed("head", "at"), sides, ["at", "follow"])
     stops = F.col("last") & (F.col("at") == F.col("root"))
     first = ahead.select(arc(F.col("edge"), F.col("side")).alias("a"), F.when(~stops, arc(F.col("follow"), F.col("next_side"))).alias("to"), F.when(stops, F.lit(0)).otherwise(1).cast("long").alias("far"), "root")
-    now = written(first, "tour")
+    now, seen = observed(first, "tour", n=F.count("to"))
     discarded(around)
-    while not now.filter("to is not null").isEmpty():
+    while seen["n"]:
         further = now.select(F.col("a").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
-        after = written(_joined(now, further, "to", "left").select("a", F.col("next").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "root"), "tour")
+        doubled = _joined(now, further, "to", "left").select("a", F.col("next").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "root")
+        after, seen = observed(doubled, "tour", n=F.count("to"))
         discarded(now)
         now = after
     place = now.select(F.shiftright("a", 1).alias("edge"), F.pmod("a", F.lit(2)).alias("side"), (-F.col("far")).alias("place"), "root")
@@ -170,8 +172,8 @@ def over_intervals(values: DataFrame, queries: DataFrame, asked: dict[str, str])
         answers = met.select("id", *[_ASKED[how][0](inside(c)).alias(c) for c, how in asked.items()])
         parts = answers if parts is None else parts.union(answers)
         middle = spread.select("id", "root", (piece("i") + 1).alias("i"), (piece("j") - 1).alias("j")).filter("i <= j")
-        middle = written(middle, "middle")
-        if middle.isEmpty():
+        middle, seen = observed(middle, "middle", n=F.count(F.lit(1)))
+        if not seen["n"]:
             return parts.groupBy("id").agg(*[_ASKED[how][1](c).alias(c) for c, how in asked.items()])
         values = rows.select("root", F.col("piece").alias("place"), *[_ASKED[how][0](F.col("held")[c]).alias(c) for c, how in asked.items()])
         spread, level = middle, level + 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.operators.components import components as _star_components
-from tidewright.storage import discarded, written
+from tidewright.storage import discarded, observed, written
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -149,12 +149,14 @@ def _hung_up(single: DataFrame) -> DataFrame:
     while True:
         above = now.select(F.col("v").alias("u"), F.col("u").alias("u2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         met = now.join(above.hint("merge"), "u", "left")
-        after = written(
-            met.select("v", F.coalesce("u2", "u").alias("u"), (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), F.when(F.col("u2").isNull(), F.col("b")).otherwise(F.greatest(F.col("b2") + F.col("a"), F.col("b"))).alias("b"), F.col("u2").isNotNull().alias("moved")), "chains"
+        after, seen = observed(
+            met.select("v", F.coalesce("u2", "u").alias("u"), (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), F.when(F.col("u2").isNull(), F.col("b")).otherwise(F.greatest(F.col("b2") + F.col("a"), F.col("b"))).alias("b"), F.col("u2").isNotNull().alias("moved")),
+            "chains",
+            moved=F.count_if("moved"),
         )
         discarded(now)
         now, rounds = after, rounds + 1
-        if after.filter("moved").isEmpty():
+        if not seen["moved"]:
             return after.drop("moved")
         if 1 << rounds > 2 * longest:
             raise ValueError("the graph has a cycle")
@@ -173,14 +175,15 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["from_v"].dataType
     live = edges.filter("from_v is not null and to_v is not null").select(F.col("from_v").alias("u"), F.col("to_v").alias("v"), F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
-    live = written(live, "level-edges")
-    if not live.filter("u = v").isEmpty():
+    counts = {"n": F.count(F.lit(1)), "loops": F.count_if(F.col("u") == F.col("v"))}
+    live, seen = observed(live, "level-edges", **counts)
+    if seen["loops"]:
         raise ValueError("the graph has a cycle")
     entered = live.select(F.col("v").alias("vertex")).distinct()
     known = written(vertices(edges).join(entered.hint("merge"), "vertex", "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
     layers = Layers(known)
     hanging: list[DataFrame] = []
-    while not live.isEmpty():
+    while seen["n"]:
         many = live.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("v").alias("w"))
         single = live.join(many.hint("merge"), F.col("v") == F.col("w"), "left_anti")
         hung = written(_hung_up(single), "hung")
@@ -191,8 +194,8 @@ def levels(edges: DataFrame) -> DataFrame:
         rest = live.join(many.hint("merge"), F.col("v") == F.col("w"), "left_semi").join(above.hint("merge"), "u", "left")
         moved = rest.select(F.coalesce("top", "u").alias("u"), "v", (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), F.when(F.col("top").isNull(), F.col("b")).otherwise(F.greatest(F.col("b2") + F.col("a"), F.col("b"))).alias("b"))
         joined = moved.groupBy("u", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-        joined = written(_met_by_known(joined, layers.all()), "level-edges")
-        if not joined.filter("u = v").isEmpty():
+        joined, seen = observed(_met_by_known(joined, layers.all()), "level-edges", **counts)
+        if seen["loops"]:
             raise ValueError("the graph has a cycle")
         discarded(live)
         live = joined

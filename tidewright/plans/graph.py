@@ -57,11 +57,13 @@ def topo_levels(spark, sf_dir):
 
 
 def order_levels(spark, sf_dir):
-    """How many orders come before each at least, where an order waits for its customer's last one and for the last one of the desk that serves every 50th customer."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("to_v"), "o_custkey", (F.col("o_custkey") % 50).alias("desk"))
-    before = orders.select("to_v", *[F.lag("to_v").over(Window.partitionBy(by).orderBy("to_v")).alias(by) for by in ("o_custkey", "desk")])
-    waits = before.select("to_v", F.explode(F.array("o_custkey", "desk")).alias("from_v")).select((F.col("to_v") * 2).alias("edge"), "from_v", "to_v")
-    return graph.levels(waits).select("vertex", F.col("level").cast("long").alias("level"))
+    """How many orders come before each at least: an order waits for its customer's last one, a customer's first for the first of the customer before at its desk, every 50th; so does its third."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("to_v"), F.col("o_custkey").alias("customer"))
+    own = Window.partitionBy("customer").orderBy("to_v")
+    placed = orders.select("to_v", "customer", F.row_number().over(own).alias("nth"), F.lag("to_v").over(own).alias("last"))
+    firsts = placed.filter("nth = 1").select("customer", F.lag("to_v").over(Window.partitionBy(F.col("customer") % 50).orderBy("customer")).alias("ahead"))
+    waits = placed.join(firsts, "customer").select("to_v", F.explode(F.array("last", F.when(F.col("nth").isin(1, 3), F.col("ahead")))).alias("from_v"))
+    return graph.levels(waits.withColumn("edge", F.col("to_v"))).select("vertex", F.col("level").cast("long").alias("level"))
 
 
 def break_splittables(spark, sf_dir):
@@ -127,7 +129,9 @@ WITH RECURSIVE {strong_sql(0.9)},
 walk AS (SELECT min(u) AS vertex, 0 AS rank FROM both_ways UNION SELECT b.v, rank + 1 FROM walk JOIN both_ways b ON b.u = vertex WHERE rank < 25),
 r AS (SELECT vertex, min(rank) AS rank FROM walk GROUP BY vertex)
 SELECT r.vertex, r.rank::BIGINT AS rank, (SELECT min(q.vertex) FROM r q JOIN both_ways b ON b.u = q.vertex AND b.v = r.vertex WHERE q.rank = r.rank - 1) AS before FROM r""",
-    "order_levels": "SELECT o_orderkey AS vertex, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS level FROM orders",
+    "order_levels": """
+WITH f AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_custkey) AS k FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_orderkey AS vertex, k + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 2 AS level FROM orders JOIN f USING (o_custkey)""",
     "topo_levels": f"""
 WITH RECURSIVE {strong_sql(0.8)}, d AS (SELECT from_v, to_v FROM e WHERE from_v < to_v),
 walk AS (SELECT v AS vertex, 0 AS level FROM (SELECT from_v AS v FROM d UNION SELECT to_v FROM d) UNION SELECT d.to_v, level + 1 FROM walk JOIN d ON d.from_v = vertex)

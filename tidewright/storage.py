@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _marked: set[str] = set()
@@ -63,6 +63,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def observed(df: DataFrame, label: str, **asked: Column) -> tuple[DataFrame, dict]:
+    """written() with aggregates of its rows, gathered in the pass that writes them.
+
+    A stage that runs again after a lost executor may count rows twice, so these
+    answer whether there are any, not how many.
+    """
+    seen = Observation()
+    table = written(df.observe(seen, *[c.alias(name) for name, c in asked.items()]), label)
+    return table, {name: seen.get.get(name) for name in asked}
+
+
 def discarded(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, as the last round's of an iteration."""
     for table in tables:
