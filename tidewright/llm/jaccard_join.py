@@ -50,6 +50,8 @@ KEYED = 2048
 SKETCH = 8
 #: Bits of the table of documents whose sets a round verifies.
 SLOTS = 1 << 26
+#: Sets of a bucket are of about one size within this factor; the shifts of such sizes that are gone through before the rounds; orders of magnitude up to which all keys are looked at there.
+ALIKE_SIZES, NEAREST, FEW_KEYS = 1.05, (0.0, 0.5), 8
 #: Documents of a bucket that the rest of it is compared with in the first round, and how much more in each later one.
 FIRST_ROUND, GROWTH = 64, 64
 
@@ -343,19 +345,27 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
 
 
-def _may_link(a: DataFrame, rest: DataFrame) -> DataFrame:
+def _may_link(a: DataFrame, rest: DataFrame, also: Column | None = None) -> DataFrame:
     """Rows of rest joined with those of a(of, a, n_a, part_a, folded words) in their bucket that are smaller, in another component, and may link by size and sketch."""
-    met = rest.filter(F.col("kind") <= BOTH).join(a.hint("merge"), F.col("key") == F.col("of"))
+    met = rest.filter(F.col("kind") <= BOTH).join(a.hint("merge"), (F.col("key") == F.col("of")) if also is None else (F.col("key") == F.col("of")) & also)
     differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_a"))) for f in FOLDED), F.lit(0))
     met = met.filter("(n > n_a or (n = n_a and id > a)) and part <> part_a").filter(F.col("n") * PERCENT <= F.col("n_a") * ALIKE)
     return met.filter(differ <= _differ_at_most(F.col("n_a").cast("long"), F.col("n").cast("long")))
 
 
-def _nearest(buckets: DataFrame) -> DataFrame:
-    """(a, b): for each set the smallest of those that are the first of a bucket of it and may link with it; a row for each set at most."""
-    first = buckets.filter(F.col("kind") >= BOTH).groupBy(F.col("key").alias("of")).agg(F.min(F.struct("n", "id", "part", *FOLDED)).alias("m"))
-    first = first.select("of", F.col("m.id").alias("a"), F.col("m.n").alias("n_a"), F.col("m.part").alias("part_a"), *[F.col(f"m.{f}").alias(f"{f}_a") for f in FOLDED])
-    return _may_link(first, buckets).groupBy("id").agg(F.min(F.struct("n_a", "a")).alias("m")).select("m.a", F.col("id").alias("b"))
+def _nearest(buckets: DataFrame, shift: float) -> DataFrame:
+    """(a, b): for each set one that is the first of about its size in a bucket of both and may link with it; a row for each set at most.
+
+    Sizes are told apart by powers of ALIKE_SIZES, moved by shift. Of large
+    sets only a share of the keys is looked at, about as many as small sets
+    have: what this misses is left to the rounds.
+    """
+    band = F.floor(F.log2("n")).cast("int") + 1
+    some = buckets.filter(F.pmod("key", F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(band - FEW_KEYS, F.lit(0)))) == 0)
+    some = some.withColumn("about", F.floor(F.log("n") / F.log(F.lit(ALIKE_SIZES)) + shift))
+    first = some.filter(F.col("kind") >= BOTH).groupBy(F.col("key").alias("of"), F.col("about").alias("about_a")).agg(F.min(F.struct("n", "id", "part", *FOLDED)).alias("m"))
+    first = first.select("of", "about_a", F.col("m.id").alias("a"), F.col("m.n").alias("n_a"), F.col("m.part").alias("part_a"), *[F.col(f"m.{f}").alias(f"{f}_a") for f in FOLDED])
+    return _may_link(first, some, F.col("about") == F.col("about_a")).groupBy("id").agg(F.min(F.struct("n_a", "a")).alias("m")).select("m.a", F.col("id").alias("b"))
 
 
 def _first(buckets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -417,9 +427,8 @@ class _Links:
 def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFrame | None:
     """(node, root) of sets that link with others; root names the component. None if there are no links.
 
-    First each set is compared with one other, the smallest that is first in a
-    bucket of both, which makes groups of near copies components of few pairs.
-    Then, in each round, the smallest sets of each bucket are compared with the
+    First each set is compared with one other of about its size for each of
+    NEAREST, which makes groups of near copies components of few pairs. Then, in each round, the smallest sets of each bucket are compared with the
     rest of it, unless both are in one component already. What a round has
     compared leaves the bucket, and buckets of one component go, so groups of
     near copies never give all their pairs.
@@ -429,10 +438,12 @@ def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFr
     facts = facts.select("id", *FOLDED)
     buckets = written(live.join(facts.hint("merge"), "id").withColumn("part", F.col("id")), "buckets")
     discarded(live)
-    links.add(_nearest(buckets))
-    whole, size = buckets, FIRST_ROUND
-    buckets = links.still(whole)
-    discarded(whole)
+    size = FIRST_ROUND
+    for shift in NEAREST:
+        links.add(_nearest(buckets, shift))
+        left = links.still(buckets)
+        discarded(buckets)
+        buckets = left
     while not buckets.isEmpty():
         pairs, last = _first(buckets, size)
         links.add(pairs)
