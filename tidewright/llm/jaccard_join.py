@@ -51,9 +51,9 @@ SKETCH = 8
 #: Bits of the table of documents whose sets a round verifies.
 SLOTS = 1 << 26
 #: Sets of a bucket are of about one size within this factor; the shifts of such sizes that are gone through before the rounds; orders of magnitude up to which all keys are looked at there.
-ALIKE_SIZES, NEAREST, FEW_KEYS = 1.05, (0.0, 0.5), 8
+ALIKE_SIZES, NEAREST, FEW_KEYS = 1.05, (0.0,), 8
 #: Documents of a bucket that the rest of it is compared with in the first round, and how much more in each later one.
-FIRST_ROUND, GROWTH = 64, 64
+FIRST_ROUND, GROWTH = 2, 16
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _APART = np.uint64(0x27D4EB2F165667C5)
