@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Groups that smoothed() looks back over: AHEAD - 1 of them hold so many rows that a value's factor is below the least double.
+AHEAD = 4
+
 
 def period(tags: DataFrame) -> DataFrame:
     """(t_start, t_end): the time that all tags cover; null values don't count.
@@ -167,36 +172,104 @@ def centred_mean(tags: DataFrame, width: int, piece: int = 100_000) -> DataFrame
 def smoothed(tags: DataFrame, alpha: float, slice_seconds: int = 86_400) -> DataFrame:
     """(tag, ts, value, smooth) with smooth = alpha * value + (1 - alpha) * smooth before, from the first value on.
 
-    The recurrence is linear: within a part of a slice of time, smooth is a
-    running sum of values weighted by powers of 1 / (1 - alpha), and what the
-    parts before leave decays over it. Parts are short enough for the powers.
-    Only the parts' ends, one row each, are gone through tag by tag. Ties in ts
-    are taken in order of value.
+    The recurrence is linear, so each stretch of rows is an affine map of what
+    it begins with, and maps compose in three tiers of running sums: rows
+    within a part of a slice of time, parts (one row each) within a group, and
+    groups. What is left of a value halves on and on: beyond AHEAD groups its
+    factor is zero in double precision, so a group asks only so many before it.
+    No tag is one row or one list, and the work is linear in its readings. Null
+    values are left out, ties in ts are taken in order of value.
     """
     if alpha >= 1:
         return tags.filter("value is not null").select("tag", "ts", "value", F.col("value").alias("smooth"))
     keep = 1.0 - alpha
-    longest = max(1, min(100_000, int(500 / -math.log(keep)))) if keep < 1 else 100_000
-    within = Window.partitionBy("tag", "slice")
-    sliced = tags.filter("value is not null").select("tag", "ts", "value", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds).alias("slice"))
-    placed = sliced.withColumn("nth", F.row_number().over(within.orderBy("ts", "value")) - 1).withColumn("part", F.floor(F.col("nth") / longest)).withColumn("place", F.col("nth") % longest + 1)
-    part = Window.partitionBy("tag", "slice", "part")
-    so_far = part.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = max(1, int(min(1 << 60, 250 / -math.log(keep)))) if keep < 1 else 1 << 60
+    longest = min(100_000, reach)
     power = lambda n: F.pow(F.lit(keep), n)
+    placed = (
+        tags.filter("value is not null").select("tag", "ts", "value", _slice(slice_seconds).alias("slice"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("tag", "slice").orderBy("ts", "value")) - 1)
+        .withColumn("part", F.floor(F.col("nth") / longest)).withColumn("place", F.col("nth") % longest + 1)
+    )
+    so_far = Window.partitionBy("tag", "slice", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     alone = placed.withColumn("own", alpha * power(F.col("place")) * F.sum(F.col("value") * power(-F.col("place"))).over(so_far))
-    ends = alone.groupBy("tag", "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("own", "place").alias("end"), F.min_by("value", "place").alias("first"))
-    listed = ends.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("slice", "part", "n", "end", "first"))).alias("ends"))
-    start = F.array(F.get("ends", 0)["first"])
-    left = F.aggregate("ends", start, lambda acc, e: F.concat(acc, F.array(e["end"] + power(e["n"]) * F.element_at(acc, -1))))
-    carried = listed.select("tag", F.explode(F.arrays_zip("ends", left.alias("left"))).alias("e")).filter("e.ends is not null").select("tag", "e.ends.slice", "e.ends.part", F.col("e.left").alias("carried"))
+    parts = alone.groupBy("tag", "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("own", "place").alias("end"), F.min_by("value", "place").alias("first"))
+
+    by_part = Window.partitionBy("tag").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = parts.withColumn("before", F.coalesce(F.sum("n").over(by_part), F.lit(0))).withColumn("group", F.floor(F.col("before") / reach))
+    in_group = Window.partitionBy("tag", "group")
+    passed = in_group.orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = counted.withColumn("done", F.sum("n").over(passed)).withColumn("sum", F.sum(F.col("end") * power(-F.col("done"))).over(passed) * power(F.col("done")))
+    before_it = in_group.orderBy("slice", "part")
+    ended = ended.withColumn("had", F.coalesce(F.lag("sum").over(before_it), F.lit(0.0))).withColumn("rows", F.col("done") - F.col("n"))
+    groups = ended.groupBy("tag", "group").agg(F.max("done").alias("n"), F.max_by("sum", "done").alias("end"), F.min_by("first", "done").alias("first"))
+    by_group = Window.partitionBy("tag").orderBy("group")
+    origin = F.first("first").over(by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = origin
+    for k in range(AHEAD, 0, -1):
+        lagged = F.lag(F.struct("end", "n"), k).over(by_group)
+        start = F.when(lagged.isNull(), origin).otherwise(lagged["end"] + power(lagged["n"]) * start)
+    started = groups.select("tag", "group", start.alias("start"))
+    carried = ended.join(started, ["tag", "group"]).select("tag", "slice", "part", (F.col("had") + power(F.col("rows")) * F.col("start")).alias("carried"))
     return alone.join(carried, ["tag", "slice", "part"]).select("tag", "ts", "value", (F.col("own") + power(F.col("place")) * F.col("carried")).alias("smooth"))
 
 
-def lag_correlations(a: DataFrame, b: DataFrame, most_lag: int) -> DataFrame:
-    """(lag, correlation) of steps(step, value) a and b shifted by up to most_lag steps either way.
+def _block_sums(most_lag: int, block: int):
+    """For one block of steps, the sums at each lag, by Fourier transforms of what both sides hold."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        base = int(rows["block"].iloc[0]) * block
+        size = 1 << (2 * block + 2 * most_lag - 1).bit_length()
+
+        def spectra(side: int, begin: int) -> list[np.ndarray]:
+            mine = rows[rows["side"] == side]
+            out = []
+            for column in ("n", "x", "xx"):
+                filled = np.zeros(size)
+                filled[mine["step"].to_numpy() - begin] = mine[column].to_numpy(float)
+                out.append(np.fft.rfft(filled))
+            return out
 
-    b's rows are copied to each lag and meet a's by step; each lag is one row
-    of partial sums for each task.
+        if rows["side"].nunique() < 2:
+            return pd.DataFrame({c: [] for c in ("lag", "n", "x", "y", "xx", "yy", "xy")})
+        a, b = spectra(0, base), spectra(1, base - most_lag)
+        met = lambda i, j: np.fft.irfft(np.conj(a[i]) * b[j], size)[: 2 * most_lag + 1]
+        return pd.DataFrame(
+            {"lag": np.arange(-most_lag, most_lag + 1), "n": np.rint(met(0, 0)), "x": met(1, 0), "y": met(0, 1), "xx": met(2, 0), "yy": met(0, 2), "xy": met(1, 1)}
+        )
+
+    return one
+
+
+def lag_correlations(a: DataFrame, b: DataFrame, most_lag: int) -> DataFrame:
+    """(lag, correlation) of steps(step, value) a and b shifted by up to most_lag steps either way: a at a step with b at step + lag.
+
+    Steps are cut into blocks of at least 2 * most_lag; a row of b goes to the
+    one or two blocks whose windows reach it, so what is shuffled doesn't grow
+    with the number of lags. A block's sums over all lags are products of
+    Fourier transforms of counts, values and squares, taken from the means for
+    precision. Steps may lack on either side, and a step that a side holds
+    several times counts with each of its rows; null and non-finite values are
+    left out. Lags at which no two rows meet have no row, and those at which
+    one side doesn't vary have a null correlation.
     """
-    shifted = b.select("step", F.col("value").alias("other"), F.explode(F.sequence(F.lit(-most_lag), F.lit(most_lag))).alias("lag")).withColumn("step", F.col("step") - F.col("lag"))
-    return a.join(shifted, "step").groupBy("lag").agg(F.corr("value", "other").alias("correlation"))
+    block = max(4096, 2 * most_lag)
+    known = lambda rows: rows.select("step", F.col("value").cast("double").alias("value")).filter("value is not null and not isnan(value) and abs(value) < double('Infinity')")
+
+    def steps(rows: DataFrame, side: int) -> DataFrame:
+        rows = known(rows)
+        mean = F.broadcast(rows.agg(F.avg("value").alias("mean")))  # one number
+        off = F.col("value") - F.col("mean")
+        return rows.join(mean).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("x"), F.sum(off * off).alias("xx")).withColumn("side", F.lit(side))
+
+    within = lambda shift: F.floor((F.col("step") + shift) / block)
+    left = steps(a, 0).withColumn("block", within(0))
+    right = steps(b, 1).withColumn("block", F.explode(F.array_distinct(F.array(within(-most_lag), within(most_lag)))))
+    kind = "lag long, n double, x double, y double, xx double, yy double, xy double"
+    columns = [F.col(c).cast("long").alias(c) for c in ("block", "side", "step", "n")] + [F.col("x"), F.col("xx")]
+    sums = left.select(*columns).unionByName(right.select(*columns)).groupBy("block").applyInPandas(_block_sums(most_lag, block), kind)
+    total = sums.groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).filter("n > 0")
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    varies = lambda s, ss: spread(s, ss) > 1e-11 * F.col("n") * F.col(ss)
+    both = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    return total.select("lag", F.when((F.col("n") > 1) & varies("x", "xx") & varies("y", "yy"), both).alias("correlation"))
