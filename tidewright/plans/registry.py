@@ -7,9 +7,9 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.plans import batches, bindings, files, graph, laws, lookups, mixtures, networks, parts, pipes, reconcile, series, solved, solvers
+from tidewright.plans import batches, bindings, files, graph, laws, lookups, mixtures, networks, parts, pipes, prepared, reconcile, series, solved, solvers
 
-MODULES = [reconcile, series, graph, bindings, laws, mixtures, pipes, networks, parts, solvers, solved, batches, files, lookups]
+MODULES = [reconcile, series, graph, bindings, laws, mixtures, pipes, networks, parts, solvers, solved, batches, files, lookups, prepared]
 
 
 def _without_zones(query):
