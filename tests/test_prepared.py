@@ -81,3 +81,15 @@ def test_wrong_states_and_objects_raise(spark, tags, bindings):
 
 def test_nothing_measured(spark, bindings):
     assert prepared.transport(spark.createDataFrame([], TAGS), bindings, 20, spark.createDataFrame([], SWITCHED)).count() == 0
+
+
+def test_the_last_tag_is_the_reference(spark, tags):
+    got = prepared.with_reference(tags, ["b", "a"], 60).orderBy("step").collect()
+    a, b = [(10 * i, i * i) for i in range(30)], [(7 + 13 * i, 3600.0 * i) for i in range(20)]
+    assert [r["step"] for r in got] == list(range(5))
+    for r in got:
+        t = 7 + 60 * r["step"]
+        assert math.isclose(r["reference"], linear(a, t)) and math.isclose(r["parameters"][0], linear(b, t), abs_tol=1e-9)
+    assert prepared.with_reference(tags, ["b", "nowhere", "a"], 60).count() == 0
+    with pytest.raises(ValueError):
+        prepared.with_reference(tags, ["a"], 60)

@@ -94,3 +94,20 @@ def hydraulic(batch_span: DataFrame, step_seconds: int, openings: DataFrame, obj
     fits = F.coalesce(F.col("kind").isin(*OPENED), F.lit(False))
     failed = F.raise_error(F.concat(F.lit("no opening can be told to "), F.col("name"), F.lit(": "), F.coalesce("kind", F.lit("unknown")))).cast("double")
     return _at_steps(known.withColumn("value", F.when(fits, F.col("value")).otherwise(failed)), batch_span, step_seconds, F.lit(OPENING))
+
+
+def with_reference(tags: DataFrame, names: list[str], step_seconds: int = 60) -> DataFrame:
+    """(step, t, parameters, reference) of the named tags on one grid: the last of them is what a model is held against.
+
+    parameters are the values of the other ones in their order. The grid covers
+    the time that all named tags cover; a tag without readings leaves no rows,
+    and neither do no tags.
+    """
+    if len(set(names)) != len(names) or len(names) < 2:
+        raise ValueError("a reference needs different tags before it")
+    mine = tags.filter(F.col("tag").isin(*names) & F.col("value").isNotNull())
+    there = mine.agg(F.countDistinct("tag").alias("there"))
+    span = bounds(mine).join(F.broadcast(there)).filter(F.col("there") == len(names)).drop("there")  # one row
+    read = series.interpolated(_gridded(mine, span, step_seconds), mine)
+    of = lambda name: F.max(F.when(F.col("tag") == name, F.col("value")))
+    return read.groupBy("step", "t").agg(F.array(*[of(n) for n in names[:-1]]).alias("parameters"), of(names[-1]).alias("reference"))

@@ -8,6 +8,7 @@ from tidewright.operators import prepared
 from tidewright.plans.tables import PERIOD_SQL, TAGS_SQL, table, tags
 
 STEP = 3600
+KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _bindings(spark, sf_dir):
@@ -37,7 +38,14 @@ def prepared_hydraulic(spark, sf_dir):
     return prepared.hydraulic(span, STEP, opened.withColumn("value", F.col("value") / 100), objects).select("step", "t", "name", "at", F.round("value", 6).alias("opening"))
 
 
-QUERIES = {f.__name__: f for f in (prepared_transport, prepared_hydraulic)}
+def referenced_series(spark, sf_dir):
+    """Mean values of kinds of events every ten minutes; views are what the others are held against."""
+    events = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tag"), F.col("ts").cast("timestamp").alias("ts")).agg(F.avg("value").alias("value"))
+    found = prepared.with_reference(events, KINDS, 600)
+    return found.select("step", "t", *[F.round(F.get("parameters", i), 6).alias(k) for i, k in enumerate(KINDS[:-1])], F.round("reference", 6).alias("reference"))
+
+
+QUERIES = {f.__name__: f for f in (prepared_transport, prepared_hydraulic, referenced_series)}
 
 _GRID = f"""{TAGS_SQL}, {PERIOD_SQL},
 g AS (SELECT row_number() OVER (ORDER BY t) - 1 AS step, t FROM (SELECT unnest(range(t_start, t_end, INTERVAL {STEP} SECOND)) AS t FROM period)),
@@ -57,4 +65,15 @@ SELECT step, t, 'flow' AS role, 'line ' || tag AS name, 'vol_flow_std' AS mtype,
 UNION ALL SELECT step, t, 'endogenous', 'tank ' || tag, 'density_std', round(v, 6), NULL FROM r WHERE tag % 3 = 0
 UNION ALL SELECT step, t, 'state', name, NULL, (value > 50)::DOUBLE, ts FROM told""",
     "prepared_hydraulic": f"WITH {_GRID} SELECT step, t, name, ts AS at, round(value / 100, 6) AS opening FROM told",
+    "referenced_series": """
+WITH e AS (SELECT event_type AS tag, ts, avg(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+period AS (SELECT max(a) AS t_start, min(b) AS t_end FROM (SELECT min(ts) AS a, max(ts) AS b FROM e GROUP BY tag)),
+g AS (SELECT row_number() OVER (ORDER BY t) - 1 AS step, t FROM (SELECT unnest(range(t_start, t_end, INTERVAL 10 MINUTE)) AS t FROM period)),
+points AS (SELECT tag, step, t FROM (SELECT DISTINCT tag FROM e), g),
+p AS (SELECT points.*, e.ts AS pt, e.value AS pv FROM points ASOF LEFT JOIN e ON points.tag = e.tag AND points.t >= e.ts),
+n AS (SELECT points.*, e.ts AS nt, e.value AS nv FROM points ASOF LEFT JOIN e ON points.tag = e.tag AND points.t <= e.ts),
+r AS (SELECT p.tag, p.step, p.t, CASE WHEN pt = nt THEN pv ELSE pv + (nv - pv) * ((epoch_us(p.t) - epoch_us(pt))::DOUBLE / (epoch_us(nt) - epoch_us(pt))::DOUBLE) END AS v
+  FROM p JOIN n ON p.tag = n.tag AND p.step = n.step)
+SELECT step, t, round(max(v) FILTER (tag = 'click'), 6) AS click, round(max(v) FILTER (tag = 'error'), 6) AS error, round(max(v) FILTER (tag = 'purchase'), 6) AS purchase,
+  round(max(v) FILTER (tag = 'signup'), 6) AS signup, round(max(v) FILTER (tag = 'view'), 6) AS reference FROM r GROUP BY step, t""",
 }

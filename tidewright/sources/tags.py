@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +23,41 @@ def moment(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text), F.lit(TIME))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _files_of(spark: SparkSession, path: str, only: list[str]) -> list[str]:
+    """What a folder has of the tags only, as <tag>.csv or as write_tags() put it; a tag that has neither raises.
+
+    The store is asked for these names, not for a listing, so neither the other
+    files nor their number matter.
+    """
+    found = []
+    for tag in dict.fromkeys(only):
+        here = []
+        for name in (f"{quote(tag, safe=' ')}.csv", f"{tag}.csv", f"tag={quote(tag, safe=' ')}", f"tag={tag}"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path, name.replace(":", "%3A"))
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) and at.toString() not in here:
+                here.append(at.toString())
+        if not here:
+            raise ValueError(f"no file of the tag {tag}")
+        found += here
+    return found
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     path_of = F.input_file_name()
     folder = F.regexp_extract(path_of, r"/tag=([^/]+)/", 1)
     name = F.when(folder != "", folder).otherwise(F.regexp_extract(path_of, r"([^/]+)\.csv$", 1))
     return spark.read.schema("ts string, text string, status string").option("sep", ";").csv(path).select(F.url_decode(name).alias("tag"), moment(F.col("ts")).alias("ts"), F.trim("text").alias("text"), F.trim("status").alias("status"))
 
 
-def read_tags(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, kind: str = "double") -> DataFrame:
+def read_tags(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, kind: str = "double", only: list[str] | None = None) -> DataFrame:
     """tags(tag, ts, value) of all <tag>.csv files that path (a folder or a glob) matches, or of what write_tags() wrote there, in one scan; begin and end are both within.
 
+    With only, a list of tags, path is a folder and no other tag's file is read.
     kind is double, int or boolean; a boolean other than 0 or 1 raises.
     """
-    rows = _lines(spark, path).filter("ts is not null")
+    if only is not None and not only:
+        raise ValueError("only names no tag")
+    rows = _lines(spark, path if only is None else _files_of(spark, path, only)).filter("ts is not null")
     if begin is not None:
         rows = rows.filter(F.col("ts") >= F.lit(begin).cast("timestamp"))
     if end is not None:
