@@ -52,6 +52,8 @@ def around(points: DataFrame, tags: DataFrame, slice_seconds: int = 86_400) -> D
     Rows are dealt by tag and slice of time, so that a tag of any size is many
     keys. What a slice needs from its neighbours, the last reading before and
     the first after it, is found from one row for each slice and handed to it.
+    What comes after is looked up backwards in time: a frame that runs to the
+    end is gone through anew for each row, one that runs from the start is not.
     """
     extra = [c for c in points.columns if c not in ("tag", "t")]
     slice_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / slice_seconds)
@@ -60,10 +62,10 @@ def around(points: DataFrame, tags: DataFrame, slice_seconds: int = 86_400) -> D
     asked = points.select("tag", slice_of("t").alias("slice")).distinct()
     order = Window.partitionBy("tag").orderBy("slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("tag").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     handed = (
         ends.join(asked, ["tag", "slice"], "full")
-        .select("tag", "slice", F.last("last", ignorenulls=True).over(before).alias("carried"), F.first("first", ignorenulls=True).over(after).alias("coming"))
+        .select("tag", "slice", F.last("last", ignorenulls=True).over(before).alias("carried"), F.last("first", ignorenulls=True).over(after).alias("coming"))
     )
     rows = (
         points.select("tag", "t", slice_of("t").alias("slice"), F.lit(None).cast("double").alias("value"), F.struct(*(extra or ["tag"])).alias("own"), F.lit(True).alias("asked"))
@@ -71,9 +73,9 @@ def around(points: DataFrame, tags: DataFrame, slice_seconds: int = 86_400) -> D
     )
     here = Window.partitionBy("tag", "slice").orderBy("t")
     back = here.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = here.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("tag", "slice").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reading = F.when(~F.col("asked"), F.struct("t", "value"))
-    looked = rows.withColumn("p", F.last(reading, ignorenulls=True).over(back)).withColumn("n", F.first(reading, ignorenulls=True).over(ahead)).filter("asked")
+    looked = rows.withColumn("p", F.last(reading, ignorenulls=True).over(back)).withColumn("n", F.last(reading, ignorenulls=True).over(ahead)).filter("asked")
     joined = looked.join(handed, ["tag", "slice"], "left")
     p, n = F.coalesce("p", "carried"), F.coalesce("n", "coming")
     return joined.select(
