@@ -25,11 +25,12 @@ def subdivided(points: DataFrame, most: float, values: list[str]) -> DataFrame:
 def decimated(exact: DataFrame, samples: DataFrame) -> DataFrame:
     """(pipe, sample, x): the first x of exact(pipe, x) at or after each sample of samples(pipe, sample), within 1e-8.
 
-    A look-up ahead: both meet in one sort by pipe.
+    A look-up ahead: both meet in one sort by pipe, from the end on, as a frame
+    that runs to the end would be gone through anew for each row.
     """
     rows = exact.select("pipe", (F.col("x") + 1e-8).alias("at"), "x", F.lit(None).cast("double").alias("sample")).unionByName(samples.select("pipe", F.col("sample").alias("at"), F.lit(None).cast("double").alias("x"), "sample"))
-    ahead = Window.partitionBy("pipe").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn("x", F.first("x", ignorenulls=True).over(ahead)).filter("sample is not null").select("pipe", "sample", "x")
+    ahead = Window.partitionBy("pipe").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("x", F.last("x", ignorenulls=True).over(ahead)).filter("sample is not null").select("pipe", "sample", "x")
 
 
 def uniform(points: DataFrame, least: float) -> DataFrame:
