@@ -1,21 +1,24 @@
 """Histories of single pipes: quasi-stationary pressures over advected profiles, temperatures, and fast transients.
 
-A pipe's history is one task's work, and tasks hold several pipes up to a number of rows; kernels are NumPy over cells.
+A pipe's history is one task's work, and a task steps pipes of equally many cells together; kernels are NumPy over pipes and cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.scalar import GRAVITY
-from tidewright.operators.advection import GROUP_ROWS, fv_step, uniform_cells
-from tidewright.operators.hydraulics import bracketed_root, friction
+from tidewright.operators.advection import fv_step, fv_steps, uniform_cells
+from tidewright.operators.hydraulics import bracketed_root, bracketed_roots, friction
+from tidewright.operators.scenarios import dealt, whole
+from tidewright.storage import discarded, written
 
 
 @dataclass
@@ -73,6 +76,91 @@ def flow_between(pipe: Pipe, p_in: float, p_out: float, density, viscosity, redu
     return bracketed_root(f, -reach, reach)
 
 
+#: Rows of histories that are held at once, about: those of whole pipes. Cells of pipes that are stepped together, at most, if one pipe hasn't more.
+HISTORY_ROWS, CELLS = 50_000, 1_000_000
+PIPE_FIELDS = ("length", "diameter", "roughness", "rise", "friction_factor", "diameter_factor")
+LAYERS = ("density", "viscosity", "reduction")
+
+
+def _flows_between(pipes: Pipe, p_in: np.ndarray, p_out: np.ndarray, layers: dict[str, np.ndarray]) -> np.ndarray:
+    """flow_between() of many pipes, a row each."""
+    f = lambda q, of: _outlets(_rows_of(pipes, of), q, p_in[of], {c: v[of] for c, v in layers.items()}) - p_out[of]
+    every = np.arange(len(p_in))
+    reach, open_ = np.ones(len(p_in)), every
+    while len(open_):
+        open_ = open_[(f(-reach[open_], open_) < 0) | (f(reach[open_], open_) > 0)]
+        reach[open_] *= 4
+    return bracketed_roots(f, -reach, reach)
+
+
+def _rows_of(pipes: Pipe, of: np.ndarray) -> Pipe:
+    return Pipe(**{c: getattr(pipes, c)[of] for c in PIPE_FIELDS})
+
+
+def _outlets(pipes: Pipe, flow: np.ndarray, p_in: np.ndarray, layers: dict[str, np.ndarray]) -> np.ndarray:
+    """outlet_pressure() of many pipes of equally many cells, a row each."""
+    return p_in + gradients(pipes, flow[:, None], *[layers[c] for c in LAYERS]).sum(1) * pipes.length[:, 0] / layers["density"].shape[1]
+
+
+def histories(rows: dict[str, np.ndarray], firsts: np.ndarray, dt: float, unsteady: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(flow, p_out) of the rows of whole pipes, in order of their steps; firsts is where pipes begin.
+
+    Pipes of equally many cells are stepped together, a row of cells each. A
+    layer that is what enters stays as it is.
+    """
+    sizes = np.diff([*firsts, len(rows["flow"])])
+    grids = [uniform_cells(x) for x in rows["length"][firsts]]
+    numbers, widths = np.array([n for n, _ in grids], int), np.array([c for _, c in grids], float)
+    flows, outlets = np.full(len(rows["flow"]), np.nan), np.full(len(rows["flow"]), np.nan)
+    for n in np.unique(numbers):
+        alike = np.flatnonzero(numbers == n)
+        alike = alike[np.argsort(-sizes[alike], kind="stable")]  # those with the longest histories first, so that the live ones are a head
+        most = max(1, CELLS // n)
+        for own in (alike[k : k + most] for k in range(0, len(alike), most)):
+            begin, size, cell = firsts[own], sizes[own], widths[own]
+            pipes = Pipe(**{c: rows[c][begin][:, None] if c in rows else np.full((len(own), 1), float(getattr(Pipe, c))) for c in PIPE_FIELDS})
+            layers = {c: np.repeat(rows[c][begin][:, None], n, 1) for c in LAYERS}
+            flow = np.zeros(len(own))
+            for k in range(int(size[0])):
+                live = int((size > k).sum())
+                at = begin[:live] + k
+                now = _rows_of(pipes, slice(0, live))
+                speed = flow[:live] / now.area[:, 0]
+                if k and unsteady:
+                    if np.isnan(speed).any():
+                        raise ValueError("a step needs the flow of the one before")
+                    parts = np.maximum(1, np.ceil(np.abs(speed) * dt / cell[:live])).astype(int)
+                    for c, values in layers.items():
+                        entering = rows[c][at]
+                        moved = np.flatnonzero((values[:live] != entering[:, None]).any(1))
+                        for j in range(int(parts[moved].max(initial=0))):
+                            of = moved[parts[moved] > j]
+                            values[of] = fv_steps(values[of], entering[of], entering[of], speed[of], cell[of], dt / parts[of])
+                elif k:
+                    for c, values in layers.items():
+                        values[:live] = rows[c][at][:, None]
+                inside = {c: values[:live] for c, values in layers.items()}
+                flow[:live] = rows["flow"][at]
+                follows = np.flatnonzero(np.isnan(flow[:live]))
+                if len(follows):
+                    flow[follows] = _flows_between(_rows_of(now, follows), rows["p_in"][at[follows]], rows["p_out"][at[follows]], {c: v[follows] for c, v in inside.items()})
+                flows[at], outlets[at] = flow[:live], _outlets(now, flow[:live], rows["p_in"][at], inside)
+    return flows, outlets
+
+
+def _given(history: DataFrame, pipes: DataFrame) -> DataFrame:
+    """history with what pipes are like; what may be left out has its default."""
+    known = [c for c in PIPE_FIELDS if c in pipes.columns]
+    given = history.join(pipes.select("pipe", *known), "pipe")
+    for c in ("flow", "p_in", "p_out", *LAYERS):
+        given = given.withColumn(c, F.col(c).cast("double")) if c in given.columns else given.withColumn(c, F.lit({"reduction": 0.0}.get(c)).cast("double"))
+    return given.select("pipe", F.col("step").cast("long").alias("step"), "flow", "p_in", "p_out", *LAYERS, *[F.col(c).cast("double").alias(c) for c in known])
+
+
+def _numbers(table: pa.Table) -> dict[str, np.ndarray]:
+    return {c: table[c].to_numpy() for c in table.column_names if c not in ("pipe", "step")}
+
+
 def quasistatic(history: DataFrame, pipes: DataFrame, dt: float, unsteady: bool = True) -> DataFrame:
     """(pipe, step, flow, p_in, p_out) of history(pipe, step, flow, p_in, p_out, density, viscosity, reduction).
 
@@ -82,63 +170,48 @@ def quasistatic(history: DataFrame, pipes: DataFrame, dt: float, unsteady: bool
     the pipe at once. pipes has pipe, length, diameter and, if it likes,
     roughness, rise, friction_factor and diameter_factor.
     """
-    known = [c for c in ("length", "diameter", "roughness", "rise", "friction_factor", "diameter_factor") if c in pipes.columns]
-
-    def one(rows: pd.DataFrame) -> list[tuple]:
-        pipe = Pipe(**{c: float(rows[c].iloc[0]) for c in known})
-        n, cell = uniform_cells(pipe.length)
-        layers = {c: np.full(n, float(rows[c].iloc[0])) for c in ("density", "viscosity", "reduction")}
-        flow, out = 0.0, []
-        for i, r in enumerate(rows.itertuples(index=False)):
-            if i and unsteady:
-                parts = max(1, math.ceil(abs(flow) / pipe.area * dt / cell))
-                for c, values in layers.items():
-                    for _ in range(parts):
-                        values = fv_step(values, getattr(r, c), getattr(r, c), flow / pipe.area, cell, dt / parts)
-                    layers[c] = values
-            elif i:
-                layers = {c: np.full(n, float(getattr(r, c))) for c in layers}
-            profile = (layers["density"], layers["viscosity"], layers["reduction"])
-            flow = flow_between(pipe, r.p_in, r.p_out, *profile) if pd.isna(r.flow) else float(r.flow)
-            out.append((r.pipe, r.step, flow, r.p_in, outlet_pressure(pipe, flow, r.p_in, *profile)))
-        return out
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pipe", "step"])
-        return pd.DataFrame([x for _, own in rows.groupby("pipe", sort=False) for x in one(own)], columns=["pipe", "step", "flow", "p_in", "p_out"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts in whole(batches, ["pipe"], HISTORY_ROWS):
+            flow, p_out = histories(_numbers(table), firsts, dt, unsteady)
+            found = [table[c].combine_chunks() for c in ("pipe", "step")] + [pa.array(flow, from_pandas=True), table["p_in"].combine_chunks(), pa.array(p_out, from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(found, ["pipe", "step", "flow", "p_in", "p_out"])
 
     kind = history.schema["pipe"].dataType.simpleString()
-    given = history.join(pipes.select("pipe", *known), "pipe")
-    for c in ("flow", "p_in", "p_out", "density", "viscosity", "reduction"):
-        given = given.withColumn(c, F.col(c).cast("double")) if c in given.columns else given.withColumn(c, F.lit({"reduction": 0.0}.get(c)).cast("double"))
-    counted = history.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("pipe").alias("pipes")).first()
-    groups = max(1, math.ceil(counted["rows"] / GROUP_ROWS), min(counted["pipes"], 4 * int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    given = given.withColumn("step", F.col("step").cast("long")).withColumn("group", F.pmod(F.xxhash64("pipe"), F.lit(groups)))
-    return given.groupBy("group").applyInPandas(run, f"pipe {kind}, step long, flow double, p_in double, p_out double")
+    return dealt(_given(history, pipes), ["pipe"], ("step",)).mapInArrow(run, f"pipe {kind}, step long, flow double, p_in double, p_out double")
 
 
 def identified(history: DataFrame, pipes: DataFrame, dt: float, what: str) -> tuple[float, list[float], str]:
     """(factor, sums of squares, outcome): the friction_factor or diameter_factor that brings outlet pressures closest to history's p_out.
 
-    All variants of a round run as scenarios of one job, so many pipes and
-    variants share the cluster.
+    What is run is written once. A round is one job: a pipe's variants are run
+    where the pipe is, and tasks hand on the products of their residuals.
     """
     from tidewright.operators.identify import Products, gauss_newton
 
     if what not in ("friction_factor", "diameter_factor"):
         raise ValueError(f"{what} can't be identified")
-    spark = history.sparkSession
+    given = written(_given(history, pipes), "identified")
 
     def residuals(vectors: list[np.ndarray]) -> Products:
-        factors = spark.createDataFrame([(i, float(x[0])) for i, x in enumerate(vectors)], "scenario int, factor double")
-        name = lambda c: F.concat_ws("/", F.col("scenario").cast("string"), F.replace(F.col(c).cast("string"), F.lit("/"), F.lit(" ")))
-        many = F.broadcast(factors)  # a handful of variants
-        runs = quasistatic(history.join(many).withColumn("pipe", name("pipe")).drop("scenario", "factor"), pipes.join(many).withColumn("pipe", name("pipe")).withColumn(what, F.col("factor")).drop("scenario", "factor"), dt)
-        seen = history.join(many).select(name("pipe").alias("pipe"), "step", "scenario", F.col("p_out").alias("seen"))
-        keyed = F.struct(F.substring_index("pipe", "/", -1).alias("pipe"), "step").alias("key")
-        return Products.summed(runs.join(seen, ["pipe", "step"]).select("scenario", keyed, ((F.col("p_out") - F.col("seen")) / 1e5).alias("r")), len(vectors))
+        factors = [float(x[0]) for x in vectors]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, firsts in whole(batches, ["pipe"], HISTORY_ROWS):
+                rows = _numbers(table)
+                off = [(histories(rows | {what: np.full(table.num_rows, x)}, firsts, dt)[1] - rows["p_out"]) / 1e5 for x in factors]
+                r = np.nan_to_num(np.stack(off), nan=0.0)
+                i, j = np.indices((len(factors), len(factors)))
+                yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array((r @ r.T).ravel())], ["i", "j", "s"])
+
+        sums = dealt(given, ["pipe"], ("step",)).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+        matrix = np.zeros((len(factors), len(factors)))
+        for row in sums:
+            matrix[row["i"], row["j"]] = row["s"]
+        return Products(matrix)
 
     x, history_of, outcome = gauss_newton(residuals, np.array([1.0]), (np.array([0.2]), np.array([5.0])))
+    discarded(given)
     return float(x[0]), history_of, outcome
 
 
