@@ -1,4 +1,4 @@
-"""Tag histories: one headless CSV file for each tag, ts;value with a decimal comma."""
+"""Tag histories: one headless CSV file for each tag, ts;value with a decimal comma, or files of many tags, tag;ts;value."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from tidewright.functions import units
 #: Fixed value: how times are written.
 TIME = "d.M.yyyy H:mm:ss"
 TIME_OUT = "dd.MM.yyyy HH:mm:ss"
+#: How write_shared() writes a null tag; no encoded one is spelled so.
+NO_TAG = "%"
 
 
 def number(text: Column) -> Column:
@@ -57,7 +59,18 @@ def read_tags(spark: SparkSession, path: str, begin: str | None = None, end: str
     """
     if only is not None and not only:
         raise ValueError("only names no tag")
-    rows = _lines(spark, path if only is None else _files_of(spark, path, only)).filter("ts is not null")
+    return _between(_lines(spark, path if only is None else _files_of(spark, path, only)), begin, end, kind)
+
+
+def read_shared(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, kind: str = "double") -> DataFrame:
+    """tags(tag, ts, value) of what write_shared() wrote, as read_tags() has them."""
+    rows = spark.read.schema("tag string, ts string, text string, status string").option("sep", ";").csv(path)
+    tag = F.when(F.col("tag") == NO_TAG, None).otherwise(F.url_decode(F.coalesce("tag", F.lit(""))))
+    return _between(rows.select(tag.alias("tag"), moment(F.col("ts")).alias("ts"), F.trim("text").alias("text"), F.trim("status").alias("status")), begin, end, kind)
+
+
+def _between(lines: DataFrame, begin: str | None, end: str | None, kind: str) -> DataFrame:
+    rows = lines.filter("ts is not null")
     if begin is not None:
         rows = rows.filter(F.col("ts") >= F.lit(begin).cast("timestamp"))
     if end is not None:
@@ -84,11 +97,26 @@ def read_valve_states(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_tags(spark, path, kind="int", **options).select("tag", "ts", units.open_by_code(F.col("value")).alias("is_opened"))
 
 
+def _written(tags: DataFrame) -> list[Column]:
+    return [F.date_format("ts", TIME_OUT).alias("ts"), F.col("value").cast("string").alias("value")] + ([F.col("status").cast("string").alias("status")] if "status" in tags.columns else [])
+
+
+def write_shared(tags: DataFrame, path: str) -> None:
+    """tag;ts;value (and ;status, if there is one) of all tags, in ranges of tag and time.
+
+    Files are as many as the rows ask for, not as the tags, each of which
+    otherwise costs a folder, a file and a look for both; a tag with many
+    readings goes on in the next file. Tags are spelled as in an address, so
+    that any text is one field of a line.
+    """
+    dealt = tags.repartitionByRange("tag", "ts").sortWithinPartitions("tag", "ts")
+    dealt.select(F.coalesce(F.url_encode("tag"), F.lit(NO_TAG)).alias("tag"), *_written(tags)).write.mode("overwrite").option("sep", ";").csv(path)
+
+
 def write_tags(tags: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """ts;value (and ;status, if there is one) below a folder for each tag, or for each combination of by."""
+    """ts;value (and ;status, if there is one) below a folder for each tag, or for each combination of by; for many thousands of tags there is write_shared()."""
     keys = by or ["tag"]
-    columns = [F.date_format("ts", TIME_OUT).alias("ts"), F.col("value").cast("string").alias("value")] + ([F.col("status").cast("string").alias("status")] if "status" in tags.columns else [])
-    tags.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, "ts").write.mode("overwrite").partitionBy(*keys).option("sep", ";").csv(path)
+    tags.select(*keys, *_written(tags)).repartition(*keys).sortWithinPartitions(*keys, "ts").write.mode("overwrite").partitionBy(*keys).option("sep", ";").csv(path)
 
 
 def write_profile(points: DataFrame, path: str) -> None:
