@@ -108,3 +108,45 @@ def test_any_two_that_link_share_a_key_of_the_right_kinds():
         small, large = sorted((x, y), key=len)
         a, b = ({k: kind for k, kind in zip(*jaccard_join.keys_of(z, frequent), strict=True)} for z in (small, large))
         assert any(a[k] >= jaccard_join.BOTH and b[k] <= jaccard_join.BOTH for k in a.keys() & b.keys()), trial
+
+
+def near_copies(draw, words, copies, edits):
+    return [" ".join(edited(draw, words, edits)) for _ in range(copies)]
+
+
+def test_pairs_are_told_once_not_for_each_key_they_share(spark, monkeypatch):
+    draw = random.Random(6)
+    told = []
+    whole = jaccard_join._may_link
+
+    def counted(a, rest, *also):
+        met = whole(a, rest, *also)
+        if "about_a" not in a.columns:
+            told.append((met.count(), met.select("a", "id").distinct().count()))
+        return met
+
+    monkeypatch.setattr(jaccard_join, "_may_link", counted)
+    rows = list(enumerate(near_copies(draw, [f"w{draw.randrange(10**6)}" for _ in range(1500)], 16, 20)))
+    assert found(spark, rows) == brute(rows)
+    made, pairs = (sum(t) for t in zip(*told, strict=True))
+    assert pairs > 30
+    assert made <= 3 * pairs
+
+
+def test_components_are_told_once_and_chains_are_whole(spark, monkeypatch):
+    draw = random.Random(8)
+    runs = []
+    whole = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: runs.append(1) or whole(edges))
+    monkeypatch.setattr(jaccard_join, "FIRST_ROUND", 1)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(24):
+        rows.append((i * 7 % 24, " ".join(words)))
+        at = i * 8 % 200
+        words = words[:at] + [f"x{i}a", f"x{i}b", f"x{i}c", f"x{i}d"] + words[at + 4 :]
+    rows += [(100 + i, t) for i, t in enumerate(near_copies(draw, [f"v{i}" for i in range(300)], 30, 4))]
+    want = brute(rows)
+    assert found(spark, rows) == want
+    assert {c for d, _, c in want if d < 100} == {0}
+    assert len(runs) <= 1

@@ -54,6 +54,8 @@ SLOTS = 1 << 26
 ALIKE_SIZES, NEAREST, FEW_KEYS = 1.05, (0.0,), 8
 #: Documents of a bucket that the rest of it is compared with in the first round, and how much more in each later one.
 FIRST_ROUND, GROWTH = 2, 16
+#: Least keys of a set that go with each of its rows, so that two sets that have one of them in common meet there only.
+LEADING = 6
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _APART = np.uint64(0x27D4EB2F165667C5)
@@ -285,6 +287,13 @@ def shared_keys(docs: DataFrame, frequent: Frequent) -> DataFrame:
     return live
 
 
+def _with_leading(live: DataFrame) -> DataFrame:
+    """(id, n, keys, leading, beyond) for each set of live: its keys with their kinds once each, and the first LEADING of those of kind BOTH and of kind INDEX."""
+    sets = live.groupBy("id").agg(F.min("n").alias("n"), F.sort_array(F.collect_set(F.struct("key", "kind"))).alias("keys"))
+    first = lambda kind: F.slice(F.transform(F.filter("keys", lambda k: k["kind"] == kind), lambda k: k["key"]), 1, LEADING)
+    return sets.withColumns({"leading": first(BOTH), "beyond": first(INDEX)})
+
+
 def _needed(doc_ids: DataFrame) -> np.ndarray:
     """A table of SLOTS bits with those of doc_ids set, gathered as words by executors."""
     slot = _slot(F.col("doc_id"))
@@ -345,12 +354,12 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
 
 
-def _may_link(a: DataFrame, rest: DataFrame, also: Column | None = None) -> DataFrame:
-    """Rows of rest joined with those of a(of, a, n_a, part_a, folded words) in their bucket that are smaller, in another component, and may link by size and sketch."""
-    met = rest.filter(F.col("kind") <= BOTH).join(a.hint("merge"), (F.col("key") == F.col("of")) if also is None else (F.col("key") == F.col("of")) & also)
+def _may_link(a: DataFrame, rest: DataFrame, also: Column) -> DataFrame:
+    """Rows of rest joined with those of a(of, a, n_a, part_a, folded words) in their bucket that are smaller, in another component, and may link by size and sketch; also holds for them, and is looked at last."""
+    met = rest.filter(F.col("kind") <= BOTH).join(a.hint("merge"), F.col("key") == F.col("of"))
     differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_a"))) for f in FOLDED), F.lit(0))
-    met = met.filter("(n > n_a or (n = n_a and id > a)) and part <> part_a").filter(F.col("n") * PERCENT <= F.col("n_a") * ALIKE)
-    return met.filter(differ <= _differ_at_most(F.col("n_a").cast("long"), F.col("n").cast("long")))
+    met = met.filter("(n > n_a or (n = n_a and id > a)) and coalesce(part, id) <> coalesce(part_a, a)").filter(F.col("n") * PERCENT <= F.col("n_a") * ALIKE)
+    return met.filter(differ <= _differ_at_most(F.col("n_a").cast("long"), F.col("n").cast("long"))).filter(also)
 
 
 def _nearest(buckets: DataFrame, shift: float) -> DataFrame:
@@ -369,11 +378,17 @@ def _nearest(buckets: DataFrame, shift: float) -> DataFrame:
 
 
 def _first(buckets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, last): (a, b) of the first size smaller sets of each bucket with larger ones of it that may link; and the last of those first, by key."""
+    """(pairs, last): (a, b) of the first size smaller sets of each bucket with larger ones of it that may link; and the last of those first, by key.
+
+    Near copies share hundreds of keys. Two sets with a common key among their
+    leading ones are told in the bucket of the least such key only. They meet
+    there in this round or another, or that bucket has become one component.
+    """
     order = Window.partitionBy("key").orderBy("n", "id")
     first = buckets.filter(F.col("kind") >= BOTH).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
-    first = written(first.select(F.col("key").alias("of"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), *[F.col(f).alias(f"{f}_a") for f in FOLDED]), "first")
-    return _may_link(first, buckets).select("a", F.col("id").alias("b")).distinct(), first.groupBy("of").agg(F.max(F.struct("n_a", "a")).alias("last"))
+    first = written(first.select(F.col("key").alias("of"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.concat("leading", "beyond").alias("leading_a"), *[F.col(f).alias(f"{f}_a") for f in FOLDED]), "first")
+    met_at = F.array_min(F.array_intersect("leading_a", "leading"))
+    return _may_link(first, buckets, F.coalesce(met_at, "key") == F.col("key")).select("a", F.col("id").alias("b")).distinct(), first.groupBy("of").agg(F.max(F.struct("n_a", "a")).alias("last"))
 
 
 def _candidates(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -395,30 +410,70 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """The links found so far and their components."""
+    """The links found so far, and for each set that has some a set of its component as label.
+
+    Between rounds labels needn't be the same in all of a component: each round
+    draws together what is two links of labels apart, and only at the end
+    components are told. Sets of one label are of one component at any time.
+    """
 
     def __init__(self, docs: DataFrame, facts: DataFrame) -> None:
         self.docs, self.facts = docs, facts
         self.found: list[DataFrame] = []
-        self.rooted: DataFrame | None = None
+        self.labels: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> None:
         candidates = _candidates(pairs, self.facts)
         if not candidates.isEmpty():
-            self.found.append(written(_verified(self.docs, candidates), "links"))
-            links = self.found[0]
-            for more in self.found[1:]:
-                links = links.union(more)
-            self.rooted = components(links)
+            links = written(_verified(self.docs, candidates), "links")
+            if links.isEmpty():
+                discarded(links)
+            else:
+                self.found.append(links)
+                self._draw_together()
         discarded(candidates)
 
+    def _across(self) -> DataFrame:
+        """(u, v): the links between different labels, in both directions."""
+        links = self.found[0]
+        for more in self.found[1:]:
+            links = links.union(more)
+        for side in ("u", "v") if self.labels is not None else ():
+            label = self.labels.select(F.col("node").alias("of"), F.col("root").alias("label"))
+            links = links.join(label.hint("merge"), F.col(side) == F.col("of"), "left").withColumn(side, F.coalesce("label", side)).drop("of", "label")
+        links = links.filter("u <> v")
+        return links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+
+    def _relabelled(self, roots: DataFrame) -> DataFrame:
+        """The labels after each label that is a node of roots(node, root) became its root there; sets without a label yet are nodes of their own."""
+        if self.labels is None:
+            return roots
+        to = roots.select(F.col("node").alias("at"), F.col("root").alias("to"))
+        moved = self.labels.join(to.hint("merge"), F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        return moved.union(roots.join(self.labels.select("node").hint("merge"), "node", "left_anti"))
+
+    def _draw_together(self) -> None:
+        """Each label becomes the least within two links of it."""
+        across = written(self._across(), "across")
+        near = written(across.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "near")
+        further = written(across.join(near.hint("merge"), F.col("v") == F.col("k")).groupBy("u").agg(F.min("m").alias("root")).withColumnRenamed("u", "node"), "further")
+        before, self.labels = self.labels, written(self._relabelled(further), "labels")
+        discarded(across, near, further, *([before] if before is not None else []))
+
+    def rooted(self) -> DataFrame | None:
+        """(node, root) of the components; None without links."""
+        if self.labels is None:
+            return None
+        across = written(self._across(), "across")
+        return self.labels if across.isEmpty() else self._relabelled(components(across))
+
     def still(self, buckets: DataFrame) -> DataFrame:
-        """buckets with the components of their sets as part, without those that are of one component or have no smaller set left."""
+        """buckets with the labels of their sets as part (null: a set of its own), without those that are of one label or have no smaller set left."""
         rest = buckets
-        if self.rooted is not None:
-            rest = rest.drop("part").join(self.rooted.hint("merge"), rest.id == self.rooted.node, "left").withColumn("part", F.coalesce("root", "id")).drop("node", "root")
+        if self.labels is not None:
+            rest = rest.drop("part").join(self.labels.hint("merge"), rest.id == self.labels.node, "left").withColumn("part", F.col("root")).drop("node", "root")
         rest = written(rest, "rest")
-        alive = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("kind").alias("k")).filter(f"p <> q and k >= {BOTH}").select(F.col("key").alias("of"))
+        alive = rest.groupBy("key").agg(F.min(own := F.coalesce("part", "id")).alias("p"), F.max(own).alias("q"), F.max("kind").alias("k")).filter(f"p <> q and k >= {BOTH}").select(F.col("key").alias("of"))
         left = written(rest.join(alive.hint("merge"), F.col("key") == F.col("of"), "left_semi"), "buckets")
         discarded(rest)
         return left
@@ -436,7 +491,8 @@ def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFr
     links = _Links(docs, facts)
     live = shared_keys(docs, frequent)
     facts = facts.select("id", *FOLDED)
-    buckets = written(live.join(facts.hint("merge"), "id").withColumn("part", F.col("id")), "buckets")
+    sets = _with_leading(live).join(facts.hint("merge"), "id")
+    buckets = written(sets.withColumn("k", F.explode("keys")).select("id", "k.key", "n", "k.kind", "leading", "beyond", *FOLDED, F.lit(None).cast(facts.schema["id"].dataType).alias("part")), "buckets")
     discarded(live)
     size = FIRST_ROUND
     for shift in NEAREST:
@@ -451,7 +507,7 @@ def linked_sets(docs: DataFrame, facts: DataFrame, frequent: Frequent) -> DataFr
         left = links.still(rest)
         discarded(buckets)
         buckets, size = left, size * GROWTH
-    return links.rooted
+    return links.rooted()
 
 
 def similar(docs: DataFrame) -> DataFrame:
